@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, lines
+from pagemill.llm import chat, lines, mixing
 
 QUERIES = {
+    "op4_mix": mixing.op4_mix,
     "op6_line_windows": lines.op6_line_windows,
     "op7_prefix_chat": chat.op7_prefix_chat,
 }
 ORACLES = {
+    "op4_mix": mixing.SQL,
     "op6_line_windows": lines.SQL,
     "op7_prefix_chat": chat.SQL,
 }
