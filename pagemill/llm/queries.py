@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, lines, mixing
+from pagemill.llm import chat, decontaminate, lines, mixing
 
 QUERIES = {
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op4_mix": mixing.op4_mix,
     "op6_line_windows": lines.op6_line_windows,
     "op7_prefix_chat": chat.op7_prefix_chat,
 }
 ORACLES = {
+    "op9_decontaminate": decontaminate.SQL,
     "op4_mix": mixing.SQL,
     "op6_line_windows": lines.SQL,
     "op7_prefix_chat": chat.SQL,
