@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, lines, mixing, rules
+from pagemill.llm import chat, decontaminate, lines, mixing, rules, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op10_quality": rules.op10_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op4_mix": mixing.op4_mix,
