@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, lines, mixing, rules, toxicity
+from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, rules, toxicity
 
 QUERIES = {
+    "op2_jaccard": jaccard.op2_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
     "op10_quality": rules.op10_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
