@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, rules, toxicity
+from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, repeats, rules, toxicity
 
 QUERIES = {
+    "op3_substrings": repeats.op3_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
     "op10_quality": rules.op10_quality,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_prefix_chat": chat.op7_prefix_chat,
 }
 ORACLES = {
+    "op3_substrings": repeats.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op4_mix": mixing.SQL,
     "op6_line_windows": lines.SQL,
