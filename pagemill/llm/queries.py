@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, repeats, rules, toxicity
+from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, repeats, rules, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_substrings": repeats.op3_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_prefix_chat": chat.op7_prefix_chat,
 }
 ORACLES = {
+    "op1_warc": warc.SQL,
     "op3_substrings": repeats.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op4_mix": mixing.SQL,
