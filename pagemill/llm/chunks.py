@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
 
         for batch in batches:
             text = batch.column("text")
-            ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), float)))
+            ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), float)))
             row = 0
             while row < len(batch):
                 base = ends[row - 1] if row else 0.0
@@ -83,18 +84,21 @@ def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
         if held and sum(map(len, held)):
             yield flush()
 
-    import pyarrow.compute  # noqa: F401  (so that workers have it loaded)
-
     return storage.written(docs.mapInArrow(run, "chunk long, blob binary"), name)
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)][: len(cuts)], strict=True))
+
+
 def dealt(chunk: int, part: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     """One row per part that has items; within a part the items keep their order."""
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    blobs = [pack(*(a[order[x:y]] for a in arrays)) for x, y in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-    return pa.record_batch([pa.array(np.full(len(cuts), chunk), pa.int64()), pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "asked"])
+    spans = runs(part[order])
+    blobs = [pack(*(a[order[x:y]] for a in arrays)) for x, y in spans]
+    return pa.record_batch([pa.array([chunk] * len(spans), pa.int64()), pa.array([int(part[order[x]]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "asked"])
 
 
 ASKED = "chunk long, part int, asked binary"
@@ -110,12 +114,8 @@ def ordered_answers(part: np.ndarray, said: list[dict], read) -> np.ndarray:
     """The answers in the order of the items, whose parts are given as when they were asked."""
     by = {x["part"]: read(x["answer"]) for x in said or []}
     order = np.argsort(part, kind="stable")
-    flat = np.concatenate([by[p] for p in np.unique(part)]) if len(part) else np.zeros(0, np.uint8)
-    out = np.empty(len(part), flat.dtype)
-    sizes = np.bincount(part, minlength=1)[np.unique(part)] if len(part) else []
-    pieces, at = [], 0
-    for p, n in zip(np.unique(part), sizes, strict=True):
-        pieces.append(flat[at : at + n] if len(by[p]) == n else by[p][:n])
-        at += len(by[p])
-    out[order] = np.concatenate(pieces) if pieces else flat
-    return out
+    pieces = [by[int(part[order[x]])][: y - x] for x, y in runs(part[order])]
+    out = np.concatenate(pieces) if pieces else np.zeros(0, bool)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
