@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, repeats, rules, toxicity, warc
+from pagemill.llm import chat, decontaminate, jaccard, lines, mixing, pitman_yor, repeats, rules, toxicity, warc
 
 QUERIES = {
+    "op8_pitman_yor": pitman_yor.op8_pitman_yor,
     "op1_warc": warc.op1_warc,
     "op3_substrings": repeats.op3_substrings,
     "op2_jaccard": jaccard.op2_jaccard,
