@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import components, storage, tokens
+from pagemill.llm import chunks, components, storage, tokens
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity, 0.8
@@ -152,10 +152,10 @@ def _band_rows(parts: int):
             part = ((heads["key"] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             heads, part = heads[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = [heads[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(heads)], strict=True)]
+            spans = chunks.runs(part)
+            blobs = [heads[a:b].tobytes() for a, b in spans]
             yield pa.record_batch(
-                [pa.array([*part[cuts], *[-1] * len(u)], pa.int32()), pa.array([*blobs, *[None] * len(u)], pa.binary()), pa.array([*[None] * len(blobs), *u], pa.binary()), pa.array([*[None] * len(blobs), *v], pa.binary())], ["part", "entries", "u", "v"]
+                [pa.array([*(int(part[a]) for a, _ in spans), *[-1] * len(u)], pa.int32()), pa.array([*blobs, *[None] * len(u)], pa.binary()), pa.array([*[None] * len(blobs), *u], pa.binary()), pa.array([*[None] * len(blobs), *v], pa.binary())], ["part", "entries", "u", "v"]
             )
 
     return run
@@ -222,8 +222,7 @@ def verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
     mark = np.zeros(len(flat) + 1, np.int8)
     good = np.zeros(len(i), bool)
-    cuts = np.flatnonzero(np.diff(i, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
+    for a, b in chunks.runs(i):
         own, partners = flat[starts[i[a]] : starts[i[a] + 1]], j[a:b]
         mark[own] = 1
         lo, hi = partners.min(), partners.max() + 1
