@@ -1,4 +1,488 @@
-"""Named queries and their oracle SQL."""
+"""Named queries over the driver's tables, and the SQL that each must equal."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions import templates, text, urls
+from pagemill.operators import article, dom, generators, incremental, links, news, sitemap
+from pagemill.sources import config, readers, sinks
+from pagemill.streaming import monitor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its own name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pagemill"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Pieces of oracle SQL.
+WS = r"[\x09-\x0D\x20\x{85}\x{A0}\p{Z}]"
+TRIM = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def UNESCAPE(c: str) -> str:
+    for entity, char in text.ENTITIES:
+        c = f"replace({c}, '{entity}', '{char}')"
+    return c
+
+
+TEXT = TRIM("regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.+?</style>', '', 'g'), '(?is)<script.+?</script>', '', 'g'), '(?s)<.+?>', chr(10), 'g'), '[\\x09\\x0A\\x0C\\x0D ]{2,}', chr(10), 'g')")
+SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
+ANCHORS = f"""
+raw AS (SELECT page_id, url, {HOST} AS host, {SITE} AS site, regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS hs,
+  regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS ts FROM pages),
+anchors AS (SELECT page_id, url, host, site, i AS pos, {UNESCAPE('hs[i]')} AS href, {UNESCAPE("regexp_replace(ts[i], '(?s)<.*?>', '', 'g')")} AS text
+  FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM raw))
+"""
+NEWS = f"""{ANCHORS},
+linked AS (SELECT page_id, host, pos, text AS title, CASE WHEN {TRIM('href')} LIKE '/%' THEN regexp_replace(regexp_replace(host || '/' || {TRIM('href')}, '/+', '/', 'g'), '/$', '')
+    WHEN {TRIM('href')} LIKE 'http%' THEN {TRIM('href')} END AS link FROM anchors WHERE strlen(text) >= 7),
+heads AS (SELECT page_id, host, link, max_by(title, pos) AS title FROM linked WHERE link IS NOT NULL GROUP BY ALL)
+"""
+LINKS = f"""WITH {ANCHORS}, page_links AS (SELECT DISTINCT page_id, regexp_replace(site, '/$', '') || href AS link FROM anchors WHERE href LIKE '/%' AND href <> '/')"""
+
+
+# -- page scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {UNESCAPE('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title FROM pages")
+def page_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.title(F.col("html")).alias("title"))
+
+
+@query(ORACLES["page_title"])
+def page_title_dom(spark, sf):
+    return dom.titles(table(spark, sf, "pages"))
+
+
+@query(f"WITH t AS (SELECT page_id, {TEXT} AS t FROM pages) SELECT page_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CASE WHEN t = '' THEN '' ELSE md5(t) END AS text_hash FROM t")
+def page_text_hash(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.octet_length(text.page_text(F.col("html"))).cast("long").alias("n_bytes"), text.page_text_hash(F.col("html")).alias("text_hash"))
+
+
+@query("SELECT page_id, md5(html) AS body_md5, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
+def page_md5(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5("html").alias("body_md5"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
+@query("SELECT doc_id, md5(base64(encode(text))) AS b64_md5, CAST(length(base64(encode(text))) AS BIGINT) AS b64_chars FROM documents")
+def base64_plain(spark, sf):
+    b = text.base64(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(b).alias("b64_md5"), F.length(b).cast("long").alias("b64_chars"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN text = '' THEN '' ELSE regexp_replace(base64(encode(text)), '(.{76}|.+$)', '\\1' || chr(10), 'g') END) AS mime_md5 FROM documents")
+def base64_mime(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.base64_mime(F.col("text"))).alias("mime_md5"))
+
+
+@query("SELECT doc_id, CAST((strlen(text) + 999) // 1000 AS BIGINT) AS n_pieces, CAST(CASE WHEN strlen(text) = 0 THEN NULL WHEN strlen(text) % 1000 = 0 THEN 1000 ELSE strlen(text) % 1000 END AS BIGINT) AS last_bytes FROM documents")
+def split_pieces(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", text.split_bytes(F.col("text"), 1000).alias("p"))
+    return rows.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.octet_length(F.try_element_at("p", F.lit(-1))).cast("long").alias("last_bytes"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'the ') AS in_lower, contains(text, 'The ') AS as_is FROM documents")
+def search_lower(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.search(F.col("text"), "the ", True).alias("in_lower"), text.search(F.col("text"), "The ").alias("as_is"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 0) AS whole, regexp_extract(url, '^(https?)://([^/]+)', 1) AS g1, regexp_extract(url, '^(https?)://([^/]+)', 2) AS g2 FROM pages WHERE regexp_matches(url, '^(https?)://([^/]+)')")
+def regex_groups(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", text.regex_groups(F.col("url"), r"^(https?)://([^/]+)", 2).alias("g")).where("g IS NOT NULL")
+    return rows.select("page_id", F.col("g")[0].alias("whole"), F.col("g")[1].alias("g1"), F.col("g")[2].alias("g2"))
+
+
+@query("SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: length(x) > 40)[1] AS line FROM documents")
+def first_matching_line(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.first_line(F.col("text"), lambda x: F.length(x) > 40).alias("line"))
+
+
+@query(f"SELECT doc_id, CAST(len(list_distinct(l)) AS BIGINT) AS n_lines, l[1] AS first_line FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM('x')}), lambda y: y <> '') AS l FROM documents)")
+def unique_lines(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", text.unique_lines(F.col("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.try_element_at("l", F.lit(1)).alias("first_line"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.json_body(F.col("props"))["k"].alias("k"))
+
+
+@query("""SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS as_json, 'lang : ' || lang || chr(10) || 'source : ' || source AS as_lines FROM documents""")
+def header_json(spark, sf):
+    h = F.create_map(F.lit("source"), F.array("source", F.lit("x")), F.lit("lang"), F.array("lang"))
+    return table(spark, sf, "documents").select("doc_id", text.header_json(h).alias("as_json"), text.header_lines(h).alias("as_lines"))
+
+
+@query()
+def mmh3_body(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.mmh3_body(F.col("html")).alias("mmh3"))
+
+
+@query()
+def mmh3_base64(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.mmh3_base64(F.col("html")).alias("mmh3"))
+
+
+@query("SELECT page_id, html AS body FROM pages")
+def gzip_bodies(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", text.gzip_body("html").alias("raw"))
+    return rows.select("page_id", text.decode_charset(text.decode_body(F.col("raw"), F.lit("gzip"))).alias("body"))
+
+
+# -- URLs -----------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host_port, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+  nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM pages""")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host_port(u).alias("host_port"), urls.path(u).alias("path"), F.try_parse_url(u, F.lit("QUERY")).alias("query"), F.try_parse_url(u, F.lit("REF")).alias("fragment"))
+
+
+@query(r"""SELECT page_id, CAST(strlen(url) AS BIGINT) AS len, CAST(len(regexp_split_to_array(url, '[^0-9A-Za-z_]')) AS BIGINT) AS rank, array_to_string(regexp_split_to_array(url, '[^0-9A-Za-z_]'), ' ') AS segments,
+  array_to_string(regexp_extract_all(url, '[^0-9A-Za-z_]'), '') AS separators FROM pages""")
+def url_segments(spark, sf):
+    f = F.col("f")
+    rows = table(spark, sf, "pages").select("page_id", urls.features(F.col("url")).alias("f"))
+    return rows.select("page_id", f["len"].cast("long").alias("len"), f["rank"].cast("long").alias("rank"), F.array_join(f["segments"], " ").alias("segments"), F.array_join(f["separators"], "").alias("separators"))
+
+
+@query(f"SELECT page_id, regexp_replace({SITE}, '/$', '') || '/a' || '/b c' AS joined FROM pages")
+def url_join(spark, sf):
+    site = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host_port(F.col("url")), F.lit("/"))
+    return table(spark, sf, "pages").select("page_id", urls.url_join(site, F.lit("a"), F.lit("/b c")).alias("joined"))
+
+
+@query(f"SELECT page_id, {HOST} || '/x/z' AS joined FROM pages")
+def path_join(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.path_join(urls.hostname(F.col("url")), F.lit("//x/./y/../z/")).alias("joined"))
+
+
+_PREFIX = "CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE len(list_filter(range(1, least(strlen({a}), strlen({b})) + 1), lambda {k}: encode({a})[1:{k}] = encode({b})[1:{k}])) END"
+PAIR_SQL = f"""
+near AS (SELECT *, (1::FLOAT - ({_PREFIX.format(a='seed', b='member', k='k1')}::DOUBLE / greatest(strlen(seed), strlen(member)))::FLOAT)::FLOAT AS d1,
+  regexp_split_to_array(seed, '[^0-9A-Za-z_]') AS s, regexp_split_to_array(member, '[^0-9A-Za-z_]') AS t FROM pairs),
+seg AS (SELECT g, seed, member, d1, greatest(len(s), len(t)) AS most, i, CASE WHEN s[i] = t[i] THEN 1::FLOAT WHEN s[i] = '' OR t[i] = '' THEN 0::FLOAT
+  ELSE ({_PREFIX.format(a='s[i]', b='t[i]', k='k2')}::DOUBLE / greatest(strlen(s[i]), strlen(t[i])))::FLOAT END AS v
+  FROM (SELECT *, unnest(range(1, least(len(s), len(t)) + 1)) AS i FROM near)),
+far AS (SELECT g, seed, member, any_value(d1) AS d1, list_reduce(list(v ORDER BY i), lambda x, y: (x + y)::FLOAT)::FLOAT AS total, any_value(most) AS most FROM seg GROUP BY g, seed, member),
+dist AS (SELECT g, seed, member, CASE WHEN d1 > 0.4::FLOAT THEN (1::FLOAT - (total::DOUBLE / most)::FLOAT)::FLOAT ELSE d1 END AS distance FROM far)
+"""
+
+
+@query(f"WITH u AS (SELECT DISTINCT {HOST} AS g, url FROM pages), pairs AS (SELECT a.g, a.url AS seed, b.url AS member FROM u a JOIN u b ON a.g = b.g AND a.url < b.url), {PAIR_SQL} SELECT g AS host, seed, member, distance FROM dist")
+def url_pair_distance(spark, sf):
+    return news.link_pairs(table(spark, sf, "pages").select(urls.hostname(F.col("url")).alias("host"), F.col("url").alias("link")), "host").select("host", "seed", "member", "distance")
+
+
+# -- links, headlines, clusters ---------------------------------------------------------------------------------------------
+
+
+@query(f"{LINKS} SELECT page_id, link FROM page_links")
+def page_links(spark, sf):
+    return links.page_links(table(spark, sf, "pages"))
+
+
+@query(ORACLES["page_links"])
+def page_links_dom(spark, sf):
+    return links.page_links(table(spark, sf, "pages"), exact=True)
+
+
+@query(f"{LINKS} SELECT regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1) AS host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM page_links GROUP BY 1")
+def page_links_by_host(spark, sf):
+    rows = links.page_links(table(spark, sf, "pages")).withColumn("host", urls.hostname(F.col("link")))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
+
+
+_NAMED = "CASE page_id % 4 WHEN 0 THEN '/f.txt' WHEN 1 THEN '/a.b/c.txt' WHEN 2 THEN '/F.TXT' ELSE '/pic.png' END"
+
+
+@query(f"SELECT page_id, {SITE} || {_NAMED} AS link FROM pages WHERE page_id % 4 IN (0, 3)")
+def file_links(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("html", F.concat(F.lit('<a href="'), F.expr(_NAMED), F.lit('">file</a>')))
+    return links.file_links(links.page_links(pages))
+
+
+HEADLINE = f"""strlen(title) >= 8 AND NOT regexp_matches({TRIM('link')}, '^(#+|/+)$')
+  AND (strlen(array_to_string(list_distinct(string_split({TRIM('title')}, '')), '')) >= 15 OR contains(title, ':') OR contains(title, '!') OR contains(title, ','))
+  AND NOT contains(title, '.com') AND NOT (contains(title, '@') AND strlen(title) < 10) AND NOT (contains(title, '@') AND contains(title, '.') AND strlen(title) < 15)
+  AND NOT (contains(title, '/') AND strlen(title) < 16)"""
+SIMPLE = f"SELECT page_id, 0 AS cluster_rank, {TRIM('title')} AS title, link FROM heads WHERE {HEADLINE}"
+
+
+@query(f"WITH {NEWS} {SIMPLE}")
+def simple_news(spark, sf):
+    return news.simple_news(table(spark, sf, "pages"))
+
+
+@query(ORACLES["simple_news"])
+def simple_news_dom(spark, sf):
+    return news.simple_news(table(spark, sf, "pages"), exact=True)
+
+
+def _clusters(by: str) -> str:
+    return f"""WITH {NEWS}, titled AS (SELECT {by} AS g, link, max(title) AS title FROM heads GROUP BY ALL),
+pairs AS (SELECT a.g, a.link AS seed, b.link AS member FROM titled a JOIN titled b ON a.g = b.g AND a.link < b.link), {PAIR_SQL},
+kept AS (SELECT *, count(*) OVER (PARTITION BY g, seed) AS n FROM dist WHERE distance < 0.3::FLOAT),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY n DESC, seed) - 1 AS cluster_rank FROM kept WHERE n > 3)
+SELECT r.g AS {by}, CAST(cluster_rank AS INTEGER) AS cluster_rank, seed AS seed_url, member AS member_url, {TRIM('title')} AS title
+FROM ranked r JOIN titled t ON r.g = t.g AND r.member = t.link WHERE cluster_rank < 3"""
+
+
+@query(_clusters("page_id"))
+def news_clusters_by_page(spark, sf):
+    return news.news_clusters(table(spark, sf, "pages"))
+
+
+@query(_clusters("host"))
+def news_clusters_by_host(spark, sf):
+    """The page operator with the host as the group."""
+    return news.news_clusters(table(spark, sf, "pages"), by="host")
+
+
+@query(f"WITH t AS (SELECT {HOST} AS host, md5({TEXT}) AS text_hash FROM pages, (SELECT unnest([1, 2]))) SELECT host, text_hash, count(*) AS n_pages FROM t GROUP BY ALL HAVING count(*) > 1")
+def soft_404_groups(spark, sf):
+    pages = table(spark, sf, "pages")
+    return incremental.soft_404(pages.unionByName(pages))
+
+
+@query("SELECT page_id, CAST(100 + page_id % 5 * 100 AS INTEGER) AS status FROM pages WHERE 100 + page_id % 5 * 100 BETWEEN 200 AND 399 AND url LIKE 'https%'")
+def alive_pages(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("status", (F.lit(100) + F.col("page_id") % 5 * 100).cast("int"))
+    return incremental.alive_pages(pages, also=F.startswith("url", F.lit("https"))).select("page_id", "status")
+
+
+# -- dates and articles -----------------------------------------------------------------------------------------------------
+
+_LAYOUTS = ["yyyy年M月d日 H:mm:ss", "yyyy年MM月dd日 HH:mm:ss", "yyyy-M-d H:mm:ss", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "dd/MM/yyyy - HH:mm", "yyyy年M月d日 H:mm", "yyyy-M-d H:mm", "yyyy年M月d日", "yyyy-M-d", "yyyy/M/d", "EEE, dd MMM yyyy", "dd MMM yyyy", "dd.MM.yyyy"]
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 14 AS k, o_orderdate + to_seconds(o_orderkey % 86399) AS ts FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN k < 4 THEN date_trunc('second', ts) WHEN k < 8 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END AS TIMESTAMP) AS found FROM t""")
+def extract_dates(spark, sf):
+    ts = F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") % 86399)
+    shown = F.element_at(F.array(*(F.date_format(ts, x) for x in _LAYOUTS)), (F.col("o_orderkey") % 14 + 1).cast("int"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("posted on "), shown, F.lit(", by x")).alias("raw"))
+    return rows.select("o_orderkey", article.latest_date(F.col("raw")).alias("found"))
+
+
+@query()
+def article_text(spark, sf):
+    return article.articles(table(spark, sf, "pages"))
+
+
+@query(f"WITH {ANCHORS} SELECT page_id, {TRIM(ORACLES['page_title'].split('page_id, ', 1)[1].rsplit(' AS title', 1)[0])} AS title, (SELECT string_agg(href, ' ' ORDER BY pos) FROM anchors a WHERE a.page_id = p.page_id) AS hrefs FROM pages p")
+def css_extract(spark, sf):
+    rows = dom.css_extract(table(spark, sf, "pages").select("page_id", "html"), {"title": "head > title", "hrefs": "a[href] | href"})
+    return rows.select("page_id", F.array_join("title", "").alias("title"), F.nullif(F.array_join("hrefs", " "), F.lit("")).alias("hrefs"))
+
+
+@query("""WITH d AS (SELECT page_id, i AS pos, 'c' || ((page_id + i * i) % 4) AS class FROM (SELECT page_id, unnest(range(0, 6)) AS i FROM pages)),
+n AS (SELECT page_id, class, count(*) AS n, max(pos) AS reached FROM d GROUP BY ALL HAVING count(*) >= 2)
+SELECT page_id, arg_min(class, -n * 100 + reached) AS class FROM n GROUP BY page_id""")
+def modal_div(spark, sf):
+    pages = table(spark, sf, "pages")
+    divs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit('<div class="c'), ((F.col("page_id") + i * i) % 4).cast("string"), F.lit('">x</div>')))
+    nodes = dom.select(pages.select("page_id", F.array_join(divs, "").alias("html")), "div[class]")
+    return article.modal_classes(nodes.select("page_id", "pos", F.col("attrs")["class"].alias("class")))
+
+
+# -- generators, templates, values, arrays ------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(i - 5 AS BIGINT) AS pos, 'https://example.org/u/' || i || '?x={other}' AS url FROM (SELECT unnest(range(5, 1002)) AS i)")
+def enumerate_urls(spark, sf):
+    return generators.enumerate_urls("https://example.org/u/{id}?x={other}", {"id": generators.int_range(spark, 5, 1000)})
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS pos, 'https://' || lower(replace(r_name, ' ', '-')) || '.example.org/' || n_name || '/' || r_name AS url FROM nation JOIN region ON n_nationkey = r_regionkey")
+def zip_templates(spark, sf):
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("value"))
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("value"))
+    rows = generators.lock_step({"n": nations, "r": regions})
+    low = F.lower(F.replace("r", F.lit(" "), F.lit("-")))
+    return rows.select("pos", templates.format_map("https://{low}.example.org/{n}/{r}", {"low": low, "n": F.col("n"), "r": F.col("r")}).alias("url"))
+
+
+@query("SELECT p_partkey, 'p/' || p_name || '/' || p_name AS both, 'name=' || p_name || '&{x}' AS one FROM part")
+def template_format(spark, sf):
+    name = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", templates.format_first("p/{}/{}", name).alias("both"), templates.render("name={n}&{x}", "n", name).alias("one"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey + 7 AS VARCHAR) AS bumped, c_name AS kept, CAST(trunc(c_acctbal) AS BIGINT) AS whole, CAST(0 AS BIGINT) AS nothing FROM customer")
+def value_bump(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", templates.bump(F.col("c_custkey").cast("string"), 7).alias("bumped"), templates.bump(F.col("c_name"), 7).alias("kept"), templates.as_int(F.col("c_acctbal")).alias("whole"), templates.as_int(F.col("c_name")).alias("nothing"))
+
+
+@query("""WITH a AS (SELECT doc_id, [lang, source, 'zz', lang] AS a FROM documents)
+SELECT doc_id, CAST(list_position(a, 'zz') - 1 AS INTEGER) AS at, CAST(coalesce(list_position(a, 'nope'), 0) - 1 AS INTEGER) AS nowhere, array_to_string(list_sort(a), ',') AS sorted,
+  array_to_string(list_filter(a, lambda x: regexp_matches(x, '^src')), ',') AS matched, a[1] || ',' || a[3] AS even, '0' || a[1] || ',1' || a[2] || ',2' || a[3] || ',3' || a[4] AS numbered,
+  array_to_string(a, ',') || ',new' AS added, array_to_string(list_sort(list_distinct(a)), ',') AS keys FROM a""")
+def array_tools(spark, sf):
+    a = F.array("lang", "source", F.lit("zz"), "lang")
+    join = lambda x: F.array_join(x, ",")
+    keys = F.map_from_entries(F.transform(F.array_distinct(a), lambda x: F.struct(x, F.lit(True))))
+    return table(spark, sf, "documents").select(
+        "doc_id", templates.index_of(a, "zz").alias("at"), templates.index_of(a, "nope").alias("nowhere"), join(F.array_sort(a)).alias("sorted"), join(templates.matching(a, "^src")).alias("matched"),
+        join(templates.indexed_filter(a, lambda i, _: i % 2 == 0)).alias("even"), join(templates.indexed_map(a, lambda i, x: F.concat(i.cast("string"), x))).alias("numbered"),
+        join(templates.add_once(templates.add_once(a, F.lit("new")), F.lit("zz"))).alias("added"), join(templates.sorted_keys(keys)).alias("keys"),
+    )
+
+
+# -- incremental ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 <> 0")
+def resume_anti(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    done = readers.done_urls(pages.where("page_id % 3 = 0").select(F.concat(F.lit("  "), "url", F.lit(" ")).alias("value")))
+    return incremental.not_done(pages, done)
+
+
+@query(f"WITH {NEWS}, s AS ({SIMPLE}), seen AS (SELECT DISTINCT title FROM s WHERE page_id % 5 = 0) SELECT page_id, title, link FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s WHERE title NOT IN (SELECT title FROM seen)) WHERE k = 1")
+def first_seen_titles(spark, sf):
+    pages = table(spark, sf, "pages")
+    seen = news.simple_news(pages.where("page_id % 5 = 0")).select("title")
+    return incremental.new_titles(pages, seen)
+
+
+@query(f"WITH {NEWS}, s AS ({SIMPLE}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s) WHERE k = 1) SELECT page_id, string_agg(title || ' ( ' || link || ' ) ' || chr(10), '' ORDER BY link, title) AS body FROM f GROUP BY page_id")
+def alert_texts(spark, sf):
+    return incremental.alerts(incremental.new_titles(table(spark, sf, "pages")))
+
+
+@query("SELECT page_id, CAST((row_number() OVER (ORDER BY page_id) - 1) // 30 AS BIGINT) AS batch FROM pages")
+def batches_of_30(spark, sf):
+    return incremental.batches(table(spark, sf, "pages").select("page_id"), 30, "page_id")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'http://' || regexp_replace(url, '^[a-z]+://', '') END AS url FROM pages")
+def url_list(spark, sf):
+    line = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^[a-z]+://", ""))
+    return table(spark, sf, "pages").select("page_id", readers.as_url(F.concat(F.lit(" "), line)).alias("url"))
+
+
+@query("SELECT conv_id || '-' || turn AS title, 'http://c/' || conv_id AS url FROM conversations")
+def state_map(spark, sf):
+    entry = F.to_json(F.create_map(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), F.concat(F.lit("http://c/"), F.col("conv_id").cast("string"))))
+    return readers.state(table(spark, sf, "conversations").select(entry.alias("value")))
+
+
+@query("SELECT page_id, 200 AS status, 'text/html' AS content_type, 'b' AS second_cookie, html AS body FROM pages")
+def raw_response(spark, sf):
+    raw = F.concat(F.lit("HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nSet-Cookie: a\r\nset-cookie:  b\r\n\r\n"), "html")
+    rows = readers.raw_responses(table(spark, sf, "pages").select("page_id", raw.cast("binary").alias("raw")))
+    return rows.select("page_id", "status", F.col("headers")["Content-Type"][0].alias("content_type"), F.col("headers")["Set-Cookie"][1].alias("second_cookie"), "body")
+
+
+# -- sitemaps -----------------------------------------------------------------------------------------------------------------
+
+
+def _maps(spark, sf) -> DataFrame:
+    """A root map that names a map per host; these name the host's pages, and the root again."""
+    pages = table(spark, sf, "pages").select("url", urls.hostname(F.col("url")).alias("host"))
+    loc = lambda c: F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    root = F.lit("http://maps/root.xml")
+    per = pages.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(loc(F.col("url")))), "").alias("locs")).select(F.concat(F.lit("http://maps/"), "host", F.lit(".xml")).alias("url"), F.concat("locs", loc(root)).alias("xml"))
+    top = per.agg(F.array_join(F.sort_array(F.collect_list(loc(F.col("url")))), "").alias("xml")).select(root.alias("url"), "xml")
+    return per.unionByName(top)
+
+
+@query("SELECT 'http://maps/' || host || '.xml' AS url, loc, loc LIKE '%.xml' AS is_map FROM (SELECT " + HOST + " AS host, url AS loc FROM pages UNION ALL SELECT DISTINCT " + HOST + ", 'http://maps/root.xml' FROM pages) UNION ALL SELECT DISTINCT 'http://maps/root.xml', 'http://maps/' || " + HOST + " || '.xml', true FROM pages")
+def sitemap_locs(spark, sf):
+    return sitemap.locations(_maps(spark, sf))
+
+
+@query(f"SELECT DISTINCT url, 1 AS depth FROM pages WHERE {HOST} NOT LIKE '%.org'")
+def sitemap_bfs(spark, sf):
+    maps = _maps(spark, sf)
+    return sitemap.traverse(maps, spark.createDataFrame([("http://maps/root.xml",)], "url string"), flags=["+http", "-.org.xml"])
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'net') THEN false WHEN contains(url, 'example') THEN true ELSE false END AS a, CASE WHEN contains(url, 'example') THEN true ELSE false END AS b, true AS c FROM pages")
+def channel_flags(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", sitemap.flagged(u, ["+example", "-net"]).alias("a"), sitemap.flagged(u, ["-net", "+example"]).alias("b"), sitemap.flagged(u, []).alias("c"))
+
+
+# -- sinks, jobs, streams -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def article_sink(spark, sf):
+    path = scratch(spark, "articles")
+    sinks.write_articles(article.articles(table(spark, sf, "pages")), path)
+    return spark.read.schema("text string, title string, date timestamp, author string, link string").json(path)
+
+
+@query("SELECT lower(r_name) AS _c0, r_name AS _c1 FROM region")
+def table_sink(spark, sf):
+    path = scratch(spark, "table")
+    rows = table(spark, sf, "region").select(F.lower("r_name").alias("low"), F.col("r_name").alias("name"))
+    sinks.write_table(rows.unionByName(rows.select(F.lit("").alias("low"), F.lit("").alias("name"))), ["low", "name"], path)
+    return spark.read.csv(path)
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 0")
+def done_sink(spark, sf):
+    path, pages = scratch(spark, "done"), table(spark, sf, "pages")
+    sinks.save_done(pages.where("page_id % 4 = 0"), path)
+    sinks.save_done(pages.where("page_id % 4 = 2"), path, append=True)
+    return readers.done_set(spark, path)
+
+
+@query("SELECT text AS title, min('u' || conv_id) AS url FROM conversations GROUP BY text")
+def state_sink(spark, sf):
+    path = scratch(spark, "state")
+    sinks.save_state(table(spark, sf, "conversations").select(F.col("text").alias("title"), F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("url")), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS ts, 'ok' AS level, '2024-01-01 00:00:00 ' || url AS message FROM pages")
+def log_sink(spark, sf):
+    return sinks.log_rows(table(spark, sf, "pages"), "ok", "url", "2024-01-01 00:00:00")
+
+
+@query("SELECT n_name AS name, 'i' || n_nationkey AS image FROM nation WHERE n_nationkey BETWEEN 2 AND 11")
+def extract_job(spark, sf):
+    job = config.read_config("domain: http://s/{id}\nstartId: 2\nendId: 10\n# note: x\n" + config.MARK + '---\n{"names": ["name", "image"], "css": {"name": "h1.t", "image": "img#main | src"}}')
+    pages = table(spark, sf, "nation").select(F.concat(F.lit("http://s/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit('<h1 class="t big"> '), "n_name", F.lit('</h1><img id=main src="i'), F.col("n_nationkey").cast("string"), F.lit('">')).alias("html"))
+    return generators.extract(spark, job, pages)
+
+
+@query(f"WITH {NEWS}, s AS ({SIMPLE}) SELECT DISTINCT title FROM s")
+def stream_first_seen(spark, sf):
+    path = scratch(spark, "stream")
+    schema = table(spark, sf, "pages").schema
+    where = f"{sf}/pages.parquet"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(where)
+    is_dir = fs.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs).isDirectory()
+    pages = monitor.page_stream(spark, where if is_dir else sf, schema, "*.parquet" if is_dir else "pages.parquet", files=2)
+    monitor.watch(pages, f"{path}/seen", f"{path}/checkpoint", f"{path}/alerts").awaitTermination()
+    return spark.read.parquet(f"{path}/seen").select("title")
