@@ -11,33 +11,37 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, jaccard, lines, mixing, rules, storage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def carried(docs: DataFrame) -> DataFrame:
+    """Rows as one struct, and what stages look at; no name in docs can clash with one of a stage's own."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rules.judge(docs, rules.fit(docs, labels)).where("kept").select(*docs.columns)
+    return rules.judge(carried(docs), rules.fit(docs, labels)).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated three-line windows out of the texts; every document stays, with n_chars of the new text."""
-    out = lines.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = lines.dedup_lines(carried(docs))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return out.select(*({"text": F.col("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col("_row")[c].alias(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each near-duplicate class."""
+    """Keeps one document, that of the least doc_id, of each near-duplicate class; of equal rows, one."""
     kept = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    out = carried(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by the benchmark."""
     found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    bad = found.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(*docs.columns)
+    bad = found.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    return carried(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

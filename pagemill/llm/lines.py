@@ -36,19 +36,22 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs with repeated windows taken out of the text, and columns n_lines and n_removed."""
+    """The rows of docs with repeated windows taken out of the text, and columns n_lines and n_removed.
+
+    Columns of docs that have these two names are replaced; no other name can clash, for rows travel as one struct.
+    """
     found = repeated_lines(docs, doc_id, text, window)
     plain = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*plain).join(found, docs[doc_id].eqNullSafe(found["_id"]), "left")
-    lines = F.split(F.col(text), "\n")
+    rows = docs.select(F.struct(*plain).alias("_row"), F.col(doc_id).alias("_key"), F.col(text).alias("_text")).join(found, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    lines = F.split(F.col("_text"), "\n")
     # Flags by position make the filter linear in the number of lines.
     flags = F.map_from_arrays("_removed", F.transform("_removed", lambda _: F.lit(True)))
     kept = F.filter(lines, lambda _, i: F.try_element_at(F.col("_flags"), i).isNull())
     rows = rows.withColumn("_flags", F.when(F.col("_removed").isNotNull(), flags))
+    new = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     return rows.select(
-        *[c for c in plain if c != text],
-        F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        *[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in plain],
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 

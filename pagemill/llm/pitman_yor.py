@@ -254,6 +254,24 @@ def _rough(r: Restaurants, v: int) -> tuple[Seating, np.ndarray]:
     return base[r.word], own * (ways - 1)
 
 
+def parent_probability(words: np.ndarray, customers: np.ndarray, tables: np.ndarray, v: int, all_customers: int, all_tables: int) -> np.ndarray:
+    """The unigram restaurant's predictive probability; customers and tables are those of the words there."""
+    unknown = words == NONE
+    share = np.where(unknown, UNKNOWN if v else 1.0, (1 - UNKNOWN) / max(1, v))
+    own = np.where(unknown, 0.0, customers - ROOT_DISCOUNT * tables)
+    return (np.maximum(own, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) * share) / (ROOT_STRENGTH + all_customers)
+
+
+def averaged(r: Restaurants, seating: Seating, base: np.ndarray) -> np.ndarray:
+    """Sweeps, and the mean predictive probability of each pair over the last of them."""
+    p = np.zeros(len(r.c))
+    for k in range(BURN_IN + SAMPLES):
+        seating.sweep()
+        if k >= BURN_IN:
+            p += (np.maximum(r.c - DISCOUNT * seating.tables, 0) + (STRENGTH + DISCOUNT * seating.total[r.at]) * base) / (STRENGTH + r.customers[r.at])
+    return p / SAMPLES
+
+
 def _tables(v: int, roots: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -310,10 +328,7 @@ def _sums(v: int, roots: int, customers: int, root_tables: int):
         t = chunks.ordered_answers(target, said, lambda x: chunks.unpack(x, "<u8", "<u8")[0]).astype(np.int64)
         tables = chunks.ordered_answers(target, said, lambda x: chunks.unpack(x, "<u8", "<u8")[1]).astype(np.int64)
         n = len(r.words)
-        share = np.where(r.words == NONE, UNKNOWN if v else 1.0, (1 - UNKNOWN) / max(1, v))
-        t[:n][r.words == NONE] = tables[:n][r.words == NONE] = 0
-        parent = (np.maximum(t[:n] - ROOT_DISCOUNT * tables[:n], 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) * share) / (ROOT_STRENGTH + customers)
-        base = parent[r.word]
+        base = parent_probability(r.words, t[:n], tables[:n], v, customers, root_tables)[r.word]
         # Tables of split contexts elsewhere: those of step 3, less the part's own then.
         rough, extra = _rough(r, v)
         if r.split.any():
@@ -326,12 +341,7 @@ def _sums(v: int, roots: int, customers: int, root_tables: int):
         else:
             extra = np.zeros(len(r.contexts))
         seating = Seating(_seed(part, 3), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
-        p = np.zeros(len(r.c))
-        for k in range(BURN_IN + SAMPLES):
-            seating.sweep()
-            if k >= BURN_IN:
-                p += (np.maximum(r.c - DISCOUNT * seating.tables, 0) + (STRENGTH + DISCOUNT * seating.total[r.at]) * base) / (STRENGTH + r.customers[r.at])
-        log = np.log10(p / SAMPLES)
+        log = np.log10(averaged(r, seating, base))
         sums = []
         for pair, times, docs in zip(r.pairs, r.times, r.docs, strict=True):
             total = np.bincount(docs, np.repeat(log[pair], times))

@@ -6,8 +6,8 @@ smallest hashes of their ids, four fifths of them for the weights and the rest f
 A text is kept if it passes the base rules and its probability of being good is at least ``KEEP_AT``.  All texts are
 counted and scored whole, in Arrow batches cut into slices of about a megabyte.
 
-Defined results: a null or empty text has no words and fails the base rules; repeated rows are scored each; rows
-without a label are only scored, labels without a row are not used, a null label counts as absent; without labels of
+Defined results: a null or empty text has no words and fails the base rules; repeated rows are scored each, and of
+rows that share a labelled id the least text is learnt from; rows without a label are only scored, labels without a row are not used, a null label counts as absent; without labels of
 both kinds the base rules decide alone; empty tables give no rows; other columns are ignored.
 """
 
@@ -140,8 +140,7 @@ def sampled_labels(labels: DataFrame, column: str, limit: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.ndarray | None:
     """Calibrated weights, the bias last; None if the sample lacks one of the labels."""
     sample = F.broadcast(sampled_labels(labels, "quality", limit))  # at most limit rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
-    rows = rows.dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.select("text", "y").mapInArrow(_vectors, "index binary, values binary, y int").toArrow()
     y = np.array(got.column("y").to_pylist(), np.int64)
     if len(y) < 10 or y.min() == y.max():
@@ -168,7 +167,10 @@ NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
 
 def judge(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """The rows of docs with the counts, the verdict and, where a model is given, the probability of being good."""
+    """The rows of docs with the counts, the verdict and the probability of being good (1 without a model).
+
+    Columns of docs that have one of these names are replaced; others pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
     kept_columns = [c for c in docs.columns if c not in NAMES]
 

@@ -12,7 +12,8 @@ hashes of their ids, among rows whose crc32(doc_id as text) mod 5 is not 0; neit
 is an input of a score.  Whole texts are scored, in Arrow batches.
 
 Defined results: null and empty texts have no evidence and get the score of none; a null doc_id has a null remainder
-and counts as not held out, and is never a training row; repeated rows are scored each; without labels of both kinds
+and counts as not held out, and is never a training row; repeated rows are scored each, and of rows that
+share a labelled id the least text is learnt from; without labels of both kinds
 all scores are 0; an empty table gives none; other columns are ignored.
 """
 
@@ -251,7 +252,7 @@ def numbers(s: tokens.Slice, model: list, cache: dict, lexicon: np.ndarray, odds
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     allowed = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     sample = F.broadcast(rules.sampled_labels(allowed, "toxic", limit))  # at most limit rows of two numbers
-    return docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learn_lexicon(rows: DataFrame, model: list) -> tuple[np.ndarray, np.ndarray]:
