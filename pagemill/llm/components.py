@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is a partially aggregated minimum per node and an equi-join back, so a node with very many neighbours is
-combined before the shuffle and its join partition can be split.  Rounds end at a written table; their number grows
+combined before the shuffle.  The minima are written first: AQE splits a hot partition only of a join of two plain
+shuffles.  Rounds end at a written table; their number grows
 with the logarithm of the graph's diameter.
 """
 
@@ -15,12 +16,12 @@ from pagemill.llm import storage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = storage.written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = storage.written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = edges.join(least, "u")
     return joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -35,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-        new = storage.written(_small_star(_large_star(now).distinct()).where(F.col("u") != F.col("v")).distinct(), "edges")
+        large = storage.written(_large_star(now).distinct(), "edges")
+        new = storage.written(_small_star(large).where(F.col("u") != F.col("v")).distinct(), "edges")
         storage.delete(now)
+        storage.delete(large)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -287,6 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = groups.join(classes.drop("sig"), "node").withColumnRenamed("root", "group")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items"))
     sizes = sizes.select("group", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("items") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = storage.written(sizes, "sizes")  # so that the join below is of two plain shuffles, which AQE can split
     n_cells = max(storage.shuffle_partitions(spark), n_classes * 2 // BLOCK_DOCS)
     members = members.join(sizes, "group")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
