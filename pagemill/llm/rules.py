@@ -1,7 +1,7 @@
 r"""Quality rules: exact text counts, and a hashed word and character n-gram logistic regression.
 
-Words are ``[^\x20\x09-\x0D]+``.  The model's features are a text's relative frequencies of hashed words, byte trigrams
-and byte 4-grams (``BUCKETS`` buckets each).  It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the
+Words are ``[^\x20\x09-\x0D]+``.  The model's features are a text's relative frequencies of hashed words, character
+trigrams and character 4-grams (``BUCKETS`` buckets each).  It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the
 smallest hashes of their ids, four fifths of them for the weights and the rest for the probability calibration (Platt).
 A text is kept if it passes the base rules and its probability of being good is at least ``KEEP_AT``.  All texts are
 counted and scored whole, in Arrow batches cut into slices of about a megabyte.
@@ -84,26 +84,39 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
 
 
+def code_points(s: tokens.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The slice's characters as numbers, and each row's first (rows + 1)."""
+    decode = lambda raw: np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = decode(s.data.tobytes())
+    leads = np.zeros(len(s.data) + 1, np.int64)
+    np.cumsum((s.data & 0xC0) != 0x80, out=leads[1:])
+    if leads[-1] == len(points):
+        return points, leads[s.offs]
+    rows = [decode(s.data[a:b].tobytes()) for a, b in zip(s.offs[:-1], s.offs[1:], strict=True)]  # broken UTF-8
+    return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+
 def features(s: tokens.Slice) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each family: the bucket of every item, and the rows' bounds in them."""
     out = [((s.hashes >> np.uint64(48)).astype(np.int32), s.words[2])]
-    data = s.data.astype(np.uint32)
+    points, offs = code_points(s)
     for family, n in enumerate((3, 4), 1):
-        m = len(data) - n + 1
+        m = len(points) - n + 1
         if m <= 0:
-            out.append((np.zeros(0, np.int32), np.zeros(len(s.offs), np.int64)))
+            out.append((np.zeros(0, np.int32), np.zeros(len(offs), np.int64)))
             continue
         gram = np.zeros(m, np.uint32)
         for k in range(n):
-            gram = (gram << np.uint32(8)) | data[k : k + m]
-        gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        ends = np.maximum(s.offs[1:] - n + 1, s.offs[:-1])
+            gram = gram * np.uint32(0x9E3779B1) + points[k : k + m]
+        gram ^= gram >> np.uint32(15)
+        gram = (gram * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+        ends = np.maximum(offs[1:] - n + 1, offs[:-1])
         inside = np.zeros(m + 1, np.int32)
-        np.add.at(inside, np.minimum(s.offs[:-1], m), 1)
+        np.add.at(inside, np.minimum(offs[:-1], m), 1)
         np.add.at(inside, np.minimum(ends, m), -1)
         gram = gram[np.cumsum(inside)[:m] > 0]
-        bounds = np.zeros(len(s.offs), np.int64)
-        np.cumsum(ends - s.offs[:-1], out=bounds[1:])
+        bounds = np.zeros(len(offs), np.int64)
+        np.cumsum(ends - offs[:-1], out=bounds[1:])
         out.append((gram.astype(np.int32) + family * BUCKETS, bounds))
     return out
 
