@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import templates, text, urls
-from pagemill.operators import article, dom, generators, incremental, links, news, sitemap
+from pagemill.operators import article, dom, generators, incremental, links, news, sitemap, tasks
 from pagemill.sources import config, readers, sinks
 from pagemill.streaming import monitor
 
@@ -265,15 +265,29 @@ def news_clusters_by_host(spark, sf):
     return news.news_clusters(table(spark, sf, "pages"), by="host")
 
 
+@query(_clusters("host").replace("CAST(cluster_rank AS INTEGER) AS cluster_rank, seed AS seed_url, member AS member_url, ", "").replace("SELECT r.g AS host, ", "SELECT ").replace("AS title\nFROM ranked", "AS title, member AS link\nFROM ranked").replace("cluster_rank < 3", "cluster_rank = 1"))
+def second_clusters(spark, sf):
+    """The links of rank 1 of every host."""
+    return news.cluster(news.news_clusters(table(spark, sf, "pages"), by="host"), 1)
+
+
+@query(f"WITH {ANCHORS} SELECT page_id, tag, count(*) AS n, max(idx) AS last_idx FROM (SELECT page_id, 'a' AS tag, pos - 1 AS idx FROM anchors UNION ALL SELECT page_id, 'title', 0 FROM pages) GROUP BY ALL")
+def node_selections(spark, sf):
+    """Two selections over the same pages, accumulated."""
+    pages = table(spark, sf, "pages")
+    both = dom.select(pages, "a[href]").unionByName(dom.select(pages, "head title"))
+    return both.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("idx").cast("long").alias("last_idx"))
+
+
 @query(f"WITH t AS (SELECT {HOST} AS host, md5({TEXT}) AS text_hash FROM pages, (SELECT unnest([1, 2]))) SELECT host, text_hash, count(*) AS n_pages FROM t GROUP BY ALL HAVING count(*) > 1")
 def soft_404_groups(spark, sf):
     pages = table(spark, sf, "pages")
     return incremental.soft_404(pages.unionByName(pages))
 
 
-@query("SELECT page_id, CAST(100 + page_id % 5 * 100 AS INTEGER) AS status FROM pages WHERE 100 + page_id % 5 * 100 BETWEEN 200 AND 399 AND url LIKE 'https%'")
+@query("SELECT page_id, CAST(100 + strlen(url) % 5 * 100 AS INTEGER) AS status FROM pages WHERE 100 + strlen(url) % 5 * 100 BETWEEN 200 AND 399 AND url LIKE 'https%'")
 def alive_pages(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("status", (F.lit(100) + F.col("page_id") % 5 * 100).cast("int"))
+    pages = table(spark, sf, "pages").withColumn("status", (F.lit(100) + F.octet_length("url") % 5 * 100).cast("int"))
     return incremental.alive_pages(pages, also=F.startswith("url", F.lit("https"))).select("page_id", "status")
 
 
@@ -320,6 +334,11 @@ def enumerate_urls(spark, sf):
     return generators.enumerate_urls("https://example.org/u/{id}?x={other}", {"id": generators.int_range(spark, 5, 1000)})
 
 
+@query("SELECT CAST(i AS BIGINT) AS pos, 'https://s/' || v AS url FROM (SELECT unnest([0, 1, 2]) AS i, unnest(['a', '', 'c']) AS v)")
+def enumerate_list(spark, sf):
+    return generators.enumerate_urls("https://s/{id}", {"id": generators.listed(spark, ["a", "", "c"])})
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS pos, 'https://' || lower(replace(r_name, ' ', '-')) || '.example.org/' || n_name || '/' || r_name AS url FROM nation JOIN region ON n_nationkey = r_regionkey")
 def zip_templates(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("value"))
@@ -358,17 +377,17 @@ def array_tools(spark, sf):
 # -- incremental ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id % 3 <> 0")
+@query("SELECT page_id, url FROM pages WHERE url NOT LIKE 'https%'")
 def resume_anti(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
-    done = readers.done_urls(pages.where("page_id % 3 = 0").select(F.concat(F.lit("  "), "url", F.lit(" ")).alias("value")))
+    done = readers.done_urls(pages.where("url LIKE 'https%'").select(F.concat(F.lit("  "), "url", F.lit(" ")).alias("value")))
     return incremental.not_done(pages, done)
 
 
-@query(f"WITH {NEWS}, s AS ({SIMPLE}), seen AS (SELECT DISTINCT title FROM s WHERE page_id % 5 = 0) SELECT page_id, title, link FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s WHERE title NOT IN (SELECT title FROM seen)) WHERE k = 1")
+@query(f"WITH {NEWS}, s AS ({SIMPLE}), seen AS (SELECT DISTINCT title FROM s JOIN pages USING (page_id) WHERE url LIKE 'https%') SELECT page_id, title, link FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s WHERE title NOT IN (SELECT title FROM seen)) WHERE k = 1")
 def first_seen_titles(spark, sf):
     pages = table(spark, sf, "pages")
-    seen = news.simple_news(pages.where("page_id % 5 = 0")).select("title")
+    seen = news.simple_news(pages.where("url LIKE 'https%'")).select("title")
     return incremental.new_titles(pages, seen)
 
 
@@ -382,9 +401,9 @@ def batches_of_30(spark, sf):
     return incremental.batches(table(spark, sf, "pages").select("page_id"), 30, "page_id")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'http://' || regexp_replace(url, '^[a-z]+://', '') END AS url FROM pages")
+@query("SELECT page_id, CASE WHEN url LIKE 'https%' THEN url ELSE 'http://' || regexp_replace(url, '^[a-z]+://', '') END AS url FROM pages")
 def url_list(spark, sf):
-    line = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^[a-z]+://", ""))
+    line = F.when(F.startswith("url", F.lit("https")), F.col("url")).otherwise(F.regexp_replace("url", "^[a-z]+://", ""))
     return table(spark, sf, "pages").select("page_id", readers.as_url(F.concat(F.lit(" "), line)).alias("url"))
 
 
@@ -449,11 +468,33 @@ def table_sink(spark, sf):
     return spark.read.csv(path)
 
 
-@query("SELECT url FROM pages WHERE page_id % 2 = 0")
+@query("SELECT CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS value FROM nation")
+def id_lines(spark, sf):
+    path = scratch(spark, "ids")
+    table(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "n_name", F.lit("\t"))).alias("value")).write.text(path)
+    return readers.id_list(spark, path)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 < 5 THEN 'ok ' || page_id END AS result, CASE WHEN page_id % 7 >= 5 THEN 'ValueError: not yet' END AS error, CAST(least(page_id % 7 + 1, 5) AS INTEGER) AS attempts FROM pages")
+def handled_rows(spark, sf):
+    def handler(value, attempt):
+        if attempt <= value % 7:
+            raise ValueError("not yet")
+        return f"ok {value}"
+
+    return tasks.handled(table(spark, sf, "pages").select("page_id"), "page_id", handler)
+
+
+@query("SELECT CASE WHEN page_id % 7 < 5 THEN 'done' ELSE 'failed' END AS outcome, count(*) AS n FROM pages GROUP BY 1")
+def handled_progress(spark, sf):
+    return tasks.progress(handled_rows(spark, sf))
+
+
+@query("SELECT url FROM pages UNION ALL SELECT 'http://items/' || item_id FROM benchmark")
 def done_sink(spark, sf):
-    path, pages = scratch(spark, "done"), table(spark, sf, "pages")
-    sinks.save_done(pages.where("page_id % 4 = 0"), path)
-    sinks.save_done(pages.where("page_id % 4 = 2"), path, append=True)
+    path = scratch(spark, "done")
+    sinks.save_done(table(spark, sf, "pages"), path)
+    sinks.save_done(table(spark, sf, "benchmark").select(F.concat(F.lit("http://items/"), F.col("item_id").cast("string")).alias("url")), path, append=True)
     return readers.done_set(spark, path)
 
 
