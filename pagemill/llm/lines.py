@@ -16,7 +16,9 @@ of them is removed from all; an empty table gives none; other columns pass throu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
@@ -24,11 +26,13 @@ WINDOW = 3
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document with any: _id and the sorted 0-based positions of its removed lines."""
-    lines = docs.select(F.col(doc_id).alias("_id"), F.split(text, "\n").alias("_lines")).where(F.size("_lines") >= window)
+    # Every line is hashed once; a window's hashes are those of its lines' hashes.
+    seen = lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(window), line).alias("b"), F.rlike(line, F.lit(r"[^\t\r\x0B\x0C ]")).alias("w"))
+    lines = docs.select(F.col(doc_id).alias("_id"), F.transform(F.split(text, "\n"), seen).alias("_lines")).where(F.size("_lines") >= window)
     starts = F.sequence(F.lit(0), F.size("_lines") - window)
-    joined = lambda i: F.array_join(F.slice("_lines", i + 1, window), "\n")
-    keys = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(joined(i)).alias("a"), F.xxhash64(F.lit(window), joined(i), F.length(joined(i))).alias("b"), (F.trim(F.translate(joined(i), "\n\t\r\x0b\x0c", "")) == "").alias("blank")))
-    places = lines.select("_id", F.explode(keys).alias("k")).where(~F.col("k.blank")).select("k.a", "k.b", F.struct(F.isnull("_id").alias("last"), "_id", F.col("k.at").alias("at")).alias("place"))
+    part = lambda i, name: [F.get("_lines", i + k)[name] for k in range(window)]
+    keys = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*part(i, "a")).alias("a"), F.xxhash64(*part(i, "b")).alias("b"), reduce(Column.__or__, part(i, "w")).alias("w")))
+    places = lines.select("_id", F.explode(keys).alias("k")).where("k.w").select("k.a", "k.b", F.struct(F.isnull("_id").alias("last"), "_id", F.col("k.at").alias("at")).alias("place"))
     firsts = places.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeats = places.join(firsts, ["a", "b"]).where(F.col("place") > F.col("first"))
     covered = repeats.groupBy("place._id").agg(F.array_sort(F.collect_set("place.at")).alias("starts"))
