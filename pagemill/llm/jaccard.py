@@ -35,7 +35,7 @@ NUMERATOR, DENOMINATOR = 4, 5  # the similarity, 0.8
 BANDS, ROWS, STEP = 36, 5, 20
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
