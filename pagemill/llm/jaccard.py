@@ -36,6 +36,7 @@ BANDS, ROWS, STEP = 36, 5, 20
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
+BROADCAST_BYTES = 32 << 20
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -294,7 +295,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     packed = F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(n_cells)).cast("string"))
     paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("/", F.hex("group"), F.least(k, "block").cast("string"), F.greatest(k, "block").cast("string")))
     members = members.select(F.col("rep").alias("_rep"), "node", "weight", "block", F.when(F.col("blocks") == 1, F.array(packed)).otherwise(paired).alias("cells"), "group")
-    told = docs.join(members.drop("group"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "node", "weight", "block", "cells")
+    members = storage.written(members.drop("group"), "members")
+    size = members.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("cells", ",")) + 16 * F.size("cells")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # few candidates: texts need no shuffle
+        members = F.broadcast(members)
+    told = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "node", "weight", "block", "cells")
     entries = told.mapInArrow(_cell_rows, "cells array<string>, block int, node binary, weight long, items binary")
     entries = entries.select(F.explode("cells").alias("cell"), "block", "node", "weight", "items").withColumn("group", F.when(F.col("cell").startswith("c"), F.lit("")).otherwise(F.col("cell")))
     found = storage.written(entries.groupBy("cell").applyInArrow(_cell, "node binary, links long, other binary"), "links")

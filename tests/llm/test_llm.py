@@ -140,9 +140,10 @@ def brute_links(texts: list[str | None]):
     return links, [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_jaccard(docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(1024, 1 << 25), (3, -1)])
+def test_jaccard(docs, monkeypatch, block, broadcast):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)  # 3: components are cut into blocks
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", broadcast)
     rows = [r for r in docs.select("doc_id", "text").collect()]
     links, root = brute_links([r.text for r in rows])
     least = collections.defaultdict(lambda: None)
