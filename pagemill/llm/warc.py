@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
                 yield pa.record_batch([pa.array([x for page_id, url, html, digest, refers_to in zip(*(c[a : a + 200] for c in columns), strict=True) for x in page_records(page_id, url, html.encode(), digest, refers_to, segment)], pa.binary())], ["value"])
 
     records = revisits(pages).mapInArrow(run, "value binary").select(F.col("value").cast("string"))  # bytes as they are
-    records.write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
+    records.write.options(**{"lineSep": "\r\n", "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_RECORDS}).text(path)
 
 
 def inflate(raw: bytes) -> bytes:
@@ -156,63 +156,116 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 RECORDS = "record_id string, kind string, page_id long, url string, digest string, refers_to long, number int, origin_id string, total long, block binary"
+WHOLE = "record_id string, kind string, page_id long, url string, digest string, refers_to long, payload binary, problem string"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.record_batch([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _number(x: str | None) -> int | None:
     return None if x is None else int(x)
 
 
+def record_row(f: dict[str, str], block: bytes) -> tuple:
+    """A parsed record as a row of RECORDS."""
+    digest = f.get("warc-payload-digest", "")
+    digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+    return (f.get("warc-record-id"), f.get("warc-type"), _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), _number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), _number(f.get("warc-segment-total-length")), block)
+
+
+def payload_of(kind: str, block: bytes) -> tuple[bytes | None, str | None]:
+    """(payload, problem) of a whole record; revisits have neither."""
+    if kind != "response":
+        return None, None
+    try:
+        return http_payload(block), None
+    except ValueError as e:
+        return None, str(e)
+
+
+def archives(spark, path: str) -> DataFrame:
+    """One row per archive file below a path, read by Spark wherever it lies: content."""
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
 def read_records(spark, path: str) -> DataFrame:
     """All records of the archives below a path, segments as they are."""
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for f, block in parse_archive(inflate(content.as_py())):
-                    digest = f.get("warc-payload-digest", "")
-                    digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-                    rows.append((f.get("warc-record-id"), f.get("warc-type"), _number(f.get("page-id")), f.get("warc-target-uri"), digest, _number(f.get("refers-to-page-id")), _number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), _number(f.get("warc-segment-total-length")), block))
+                rows = [record_row(f, block) for f, block in parse_archive(inflate(content.as_py()))]
                 for a in range(0, len(rows), 500):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 500], strict=True), kinds, strict=True)], names)
+                    yield _batch(rows[a : a + 500], RECORDS)
 
-    names = [x.split()[0] for x in RECORDS.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in RECORDS.split(", ")]
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return archives(spark, path).mapInArrow(run, RECORDS)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: record_id, kind, page_id, url, digest, refers_to, payload, problem.  Only records in segments are shuffled."""
-    whole = records.where("number IS NULL").select("record_id", "kind", "page_id", "url", "digest", "refers_to", F.array(F.struct(F.lit(1).alias("number"), F.lit(None).cast("long").alias("total"), "block")).alias("parts"), F.lit(False).alias("cut"))
+def joined_segments(segments: DataFrame) -> DataFrame:
+    """Records in segments, grouped by origin, ordered by number and verified, as rows of WHOLE."""
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    cut = records.where("number IS NOT NULL").groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(*(first(c) for c in ("kind", "page_id", "url", "digest", "refers_to")), F.collect_list(F.struct("number", "total", "block")).alias("parts"), F.lit(True).alias("cut"))
+    names = ("kind", "page_id", "url", "digest", "refers_to")
+    groups = segments.groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(*(first(c) for c in names), F.collect_list(F.struct("number", "total", "block")).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for *meta, parts in zip(*(batch.column(c).to_pylist() for c in ("record_id", *names, "parts")), strict=True):
+                parts = sorted(parts, key=lambda p: p["number"])
+                block = b"".join(p["block"] for p in parts)
+                if [p["number"] for p in parts] != list(range(1, len(parts) + 1)):
+                    rows.append((*meta, None, "segments missing or repeated"))
+                elif parts[-1]["total"] != len(block):
+                    rows.append((*meta, None, "segments do not sum to the stated length"))
+                else:
+                    rows.append((*meta, *payload_of(meta[1], block)))
+            yield _batch(rows, WHOLE)
+
+    return groups.mapInArrow(run, WHOLE)
+
+
+def reassemble(records: DataFrame) -> DataFrame:
+    """Whole records with their payloads: WHOLE.  Only records in segments are shuffled."""
+    names = ["record_id", "kind", "page_id", "url", "digest", "refers_to", "block"]
 
     def run(batches):
         for batch in batches:
-            payloads, problems = [], []
-            for kind, parts, is_cut in zip(batch.column("kind").to_pylist(), batch.column("parts"), batch.column("cut").to_pylist(), strict=True):
-                parts = sorted(parts.as_py(), key=lambda p: p["number"])
-                block, payload, problem = b"".join(p["block"] for p in parts), None, None
-                if is_cut and [p["number"] for p in parts] != list(range(1, len(parts) + 1)):
-                    problem = "segments missing or repeated"
-                elif is_cut and parts[-1]["total"] != len(block):
-                    problem = "segments do not sum to the stated length"
-                elif kind == "response":
-                    try:
-                        payload = http_payload(block)
-                    except ValueError as e:
-                        problem = str(e)
-                payloads.append(payload)
-                problems.append(problem)
-            yield pa.record_batch([*(batch.column(c) for c in ("record_id", "kind", "page_id", "url", "digest", "refers_to")), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())], ["record_id", "kind", "page_id", "url", "digest", "refers_to", "payload", "problem"])
-
-    return whole.unionByName(cut).mapInArrow(run, "record_id string, kind string, page_id long, url string, digest string, refers_to long, payload binary, problem string")
+            yield _batch([(*meta, *payload_of(meta[1], block)) for *meta, block in zip(*(batch.column(c).to_pylist() for c in names), strict=True)], WHOLE)
+
+    return records.where("number IS NULL").select(*names).mapInArrow(run, WHOLE).unionByName(joined_segments(records.where("number IS NOT NULL")))
 
 
 def read_pages(spark, path: str) -> DataFrame:
-    """One row per page record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, problem."""
-    rows = reassemble(read_records(spark, path)).withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")}).drop("payload")
+    """One row per page record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, problem.
+
+    Archives are parsed once: whole records are digested on the way, segments are kept for joining.
+    """
+    schema = RECORDS + ", bytes long, sha1 string, problem string"
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = []
+                for row in (record_row(f, block) for f, block in parse_archive(inflate(content.as_py()))):
+                    if row[6] is None:
+                        payload, problem = payload_of(row[1], row[-1])
+                        row = (*row[:-1], None, *((None, None) if payload is None else (len(payload), hashlib.sha1(payload).hexdigest())), problem)
+                    else:
+                        row = (*row, None, None, None)
+                    rows.append(row)
+                for a in range(0, len(rows), 500):
+                    yield _batch(rows[a : a + 500], schema)
+
+    parsed = storage.written(archives(spark, path).mapInArrow(run, schema), "records")
+    names = ["kind", "page_id", "url", "digest", "refers_to", "bytes", "sha1", "problem"]
+    cut = joined_segments(parsed.where("number IS NOT NULL")).withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
+    rows = parsed.where("number IS NULL").select(*names).unionByName(cut.select(*names))
     rows = rows.withColumn("problem", F.coalesce("problem", F.when(F.col("sha1") != F.col("digest"), "payload differs from its digest")))
+    rows = storage.written(rows, "pages")
     there = rows.where("kind = 'response' AND problem IS NULL").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes")).distinct()
     again = rows.where("kind = 'revisit'").join(there, (F.col("refers_to") == F.col("_page")) & (F.col("digest") == F.col("_sha1")), "left")
     again = again.withColumns({"bytes": F.col("_bytes"), "sha1": F.col("_sha1"), "problem": F.when(F.col("_page").isNull(), "response missing")}).drop("_page", "_sha1", "_bytes")
