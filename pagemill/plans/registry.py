@@ -305,7 +305,13 @@ def extract_dates(spark, sf):
     return rows.select("o_orderkey", article.latest_date(F.col("raw")).alias("found"))
 
 
-@query()
+_PARAGRAPH = TRIM(UNESCAPE("regexp_replace(regexp_replace(regexp_replace(x, '(?s)</p>.*$', ''), '(?is)<a[ >].*?</a>', '', 'g'), '(?s)<[^>]*>', '', 'g')"))
+ARTICLE = f"""WITH a AS (SELECT page_id, url, html, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:] AS ps FROM pages),
+t AS (SELECT page_id, url, html, array_to_string(list_transform(ps, lambda x: {_PARAGRAPH} || chr(10)), '') AS t FROM a)
+SELECT page_id, CASE WHEN strlen({TRIM('t')}) < 30 THEN '' ELSE t END AS text, {TRIM(UNESCAPE("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, CAST(NULL AS TIMESTAMP) AS date, '' AS author, url AS link FROM t"""
+
+
+@query(ARTICLE)
 def article_text(spark, sf):
     return article.articles(table(spark, sf, "pages"))
 
@@ -453,7 +459,7 @@ def channel_flags(spark, sf):
 # -- sinks, jobs, streams -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT text, title, date, author, link FROM ({ARTICLE}) WHERE text <> ''")
 def article_sink(spark, sf):
     path = scratch(spark, "articles")
     sinks.write_articles(article.articles(table(spark, sf, "pages")), path)
