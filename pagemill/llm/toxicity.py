@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import linear, rules, tokens
+from pagemill.llm import linear, rules, storage, tokens
 
 TRAIN_ROWS = 12000
 MIN_DOCS, MIN_ODDS = 3, 2.0
@@ -306,7 +306,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     trigrams = trigram_model(docs).tolist()
-    rows = training_rows(docs, labels, limit)
+    rows = storage.written(training_rows(docs, labels, limit), "sample")  # read four times below
     lexicon, odds = learn_lexicon(rows, trigrams)
 
     def run(batches):
