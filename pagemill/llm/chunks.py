@@ -3,7 +3,8 @@
 A question about every word or window of a corpus would shuffle one row for each.  Instead each chunk sorts and
 combines its own items, packs them by part (a hash range of the item) and sends one row per part; each part merges the
 packed items of all chunks and answers with one row per chunk, in the order asked.  A frequent item reaches its part
-once per chunk, however often it occurs.  Chunks are a written table, so an answer always meets the chunk that asked.
+once per chunk, however often it occurs.  Chunks are a written table, so an answer always meets the chunk that asked;
+it is bucketed by the task that wrote it, so answers come to the chunks, and the chunks' texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,26 +19,28 @@ from pyspark.sql import functions as F
 from pagemill.llm import storage
 
 CHUNK_BYTES = 2 << 20
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 6)
 _FAST = pa.Codec("zstd", 1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, compressed column by column."""
+    """Arrays, compressed column by column; bytes of equal rank lie together, so that small numbers take few."""
     out = []
     for a in arrays:
-        raw = np.ascontiguousarray(a).tobytes()
-        small = _FAST.compress(raw, asbytes=True)
-        out += [np.array([len(raw), len(small)], "<i8").tobytes(), small]
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+        small = _FAST.compress(planes.tobytes(), asbytes=True)
+        out += [np.array([planes.size, len(small)], "<i8").tobytes(), small]
     return b"".join(out)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
-        raw, small = np.frombuffer(blob, "<i8", 2, at)
-        out.append(np.frombuffer(_FAST.decompress(blob[at + 16 : at + 16 + int(small)], int(raw), asbytes=True), kind))
-        at += 16 + int(small)
+        raw, small = (int(x) for x in np.frombuffer(blob, "<i8", 2, at))
+        planes = np.frombuffer(_FAST.decompress(blob[at + 16 : at + 16 + small], raw, asbytes=True), np.uint8)
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(planes.reshape(size, raw // size).T).view(kind).ravel())
+        at += 16 + small
     return out
 
 
@@ -56,7 +59,7 @@ def rows_of(blob: bytes) -> pa.RecordBatch:
 
 
 def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
-    """docs, whose column text is a string, as a written table (chunk, blob); a text over the limit is a chunk's last."""
+    """docs, whose column text is a string, as a table (task, chunk, blob); a text over the limit is a chunk's last."""
 
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
@@ -65,7 +68,7 @@ def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
         def flush():
             nonlocal count, held, size
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            out = pa.record_batch([pa.array([(part << 32) + count], pa.int64()), pa.array([_seal(whole)], pa.binary())], ["chunk", "blob"])
+            out = pa.record_batch([pa.array([part], pa.int64()), pa.array([(part << 32) + count], pa.int64()), pa.array([_seal(whole)], pa.binary())], ["task", "chunk", "blob"])
             count, held, size = count + 1, [], 0
             return out
 
@@ -84,7 +87,7 @@ def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
         if held and sum(map(len, held)):
             yield flush()
 
-    return storage.written(docs.mapInArrow(run, "chunk long, blob binary"), name)
+    return storage.bucketed(docs.mapInArrow(run, "task long, chunk long, blob binary"), name, "task")
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -105,9 +108,18 @@ ASKED = "chunk long, part int, asked binary"
 ANSWER = "chunk long, part int, answer binary"
 
 
-def answers_by_chunk(answers: DataFrame, name: str) -> DataFrame:
-    """(chunk, name): what all parts say to a chunk, as an array of (part, answer)."""
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "answer")).alias(name))
+def answers_by_task(answers: DataFrame, name: str) -> DataFrame:
+    """(task, name): what all parts say to the chunks of a task, as a map from chunk to an array of (part, answer)."""
+    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "answer")).alias("said"))
+    return per.groupBy(F.shiftright("chunk", 32).alias("task")).agg(F.map_from_entries(F.collect_list(F.struct("chunk", "said"))).alias(name))
+
+
+def answered(table: DataFrame, *answers: DataFrame) -> DataFrame:
+    """The chunks, and in a column for each of the answers its array; null for a chunk without."""
+    for a in answers:
+        (name,) = (c for c in a.columns if c != "task")
+        table = table.join(a, "task", "left").withColumn(name, F.try_element_at(name, F.col("chunk")))
+    return table
 
 
 def ordered_answers(part: np.ndarray, said: list[dict], read) -> np.ndarray:

@@ -25,8 +25,6 @@ table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,7 +160,8 @@ def _count_words(table: pa.Table) -> pa.Table:
     words, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     c = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
     known = c > 0
-    number = np.cumsum(known) * known  # from 1; 0 for unknown words
+    number = np.zeros(len(words), np.int64)  # from 1, frequent words first, so that most numbers are small; 0 for unknown words
+    number[np.argsort(-c, kind="stable")[: known.sum()]] = np.arange(1, known.sum() + 1)
     sizes = [len(a[0]) for a in asked]
     out = [chunks.pack(number[i].astype("<u8"), c[i].astype("<u8")) for i in np.split(inverse, np.cumsum(sizes)[:-1])]
     part = table.column("part")[0].as_py()
@@ -346,14 +345,14 @@ def _sums(v: int, roots: int, customers: int, root_tables: int):
         for pair, times, docs in zip(r.pairs, r.times, r.docs, strict=True):
             total = np.bincount(docs, np.repeat(log[pair], times))
             some = np.flatnonzero(total)
-            sums.append(chunks.pack(some.astype("<u4"), total[some]))
+            sums.append(chunks.pack(some.astype("<u4"), total[some].astype("<f4")))
         return pa.table([pa.array(r.chunks, pa.int64()), pa.array(sums, pa.binary())], ["chunk", "sums"])
 
     return run
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, held_out) to one row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """(doc_id, text, held_out) to one row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = chunks.chunked(docs.select("doc_id", "held_out", "text"), "texts", CHUNK_BYTES)
@@ -368,11 +367,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 yield chunks.dealt(chunk, _part(c.words, parts), c.words, n.astype("<u4"))
 
     words = table.mapInArrow(ask_words, chunks.ASKED).groupBy("part").applyInArrow(_count_words, chunks.ANSWER)
-    words = storage.written(chunks.answers_by_chunk(words, "said"), "words")
-    stats = [chunks.unpack(bytes(x["answer"]), "<i8")[0] for r in words.where("chunk = -1").collect() for x in r["said"]]  # two numbers a part
-    v, n = (int(sum(s[k] for s in stats)) for k in (0, 1))
+    words = storage.written(chunks.answers_by_task(words, "said"), "words")
+    storage.release(spark)
+    stats = words.where("task = -1").select(F.explode("said")).select(F.explode("value.answer")).collect()  # two numbers a part
+    v, n = (int(x) for x in np.sum([chunks.unpack(bytes(r[0]), "<i8")[0] for r in stats], axis=0)) if stats else (0, 0)
 
-    pair_parts = max(storage.shuffle_partitions(spark), 2 * n // TOKENS_PER_PART)
+    pair_parts = max(storage.shuffle_partitions(spark), n // TOKENS_PER_PART)
 
     def pairs(batches):
         for batch in batches:
@@ -380,13 +380,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 yield from _pair_rows(chunk, Chunk(blob.as_py()), said.as_py(), parts, pair_parts, n, v)
 
     # Bucketed by part, so that neither reading below shuffles the pairs again.
-    buckets = storage.shuffle_partitions(spark)
-    name, path = f"pairs_{uuid.uuid4().hex}", storage.new_path(spark, "pairs")
-    rows = table.join(words, "chunk").mapInArrow(pairs, "chunk long, part int, asked binary, info binary")
-    rows.repartition(buckets, "part").write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "part").saveAsTable(name)
-    rows = spark.table(name)
+    rows = chunks.answered(table, words).mapInArrow(pairs, "chunk long, part int, asked binary, info binary")
+    rows = storage.bucketed(rows.repartition(storage.shuffle_partitions(spark), "part"), "pairs", "part")
     storage.delete(table)
     storage.delete(words)
+    storage.release(spark)
 
     sent = rows.where("part >= 0").select("chunk", "part", "asked")
     roots = parts
@@ -406,15 +404,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 rows = chunks.rows_of(blob.as_py())
                 tokens_, known, base = chunks.unpack(info.as_py(), "<i8", "<i8", "<f8")
                 score = np.zeros(len(tokens_))
-                got = [chunks.unpack(x, "<u4", "<f8") for x in found.as_py()]
+                got = [chunks.unpack(x, "<u4", "<f4") for x in found.as_py()]
                 # In the order of the values, so that reruns agree to the last bit.
                 at, value = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                 order = np.lexsort((value, at))
-                score += np.bincount(at[order], value[order], len(score))
+                score += np.bincount(at[order], value[order].astype(float), len(score))
                 yield pa.record_batch([rows.column("doc_id"), rows.column("held_out"), pa.array(tokens_), pa.array(known), pa.array(np.full(len(score), n), pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     whole = rows.where("part < 0").select("chunk", "asked", "info").join(sums, "chunk")
-    return whole.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = whole.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op8_pitman_yor(spark, sf_dir: str) -> DataFrame:

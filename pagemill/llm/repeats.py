@@ -233,7 +233,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield chunks.dealt(chunk, _part(c.distinct, parts), (c.distinct << np.uint64(1)) | c.repeated_names().astype(np.uint64))
 
     names = table.mapInArrow(ask_names, chunks.ASKED).groupBy("part").applyInArrow(_more_than_once, chunks.ANSWER)
-    names = storage.written(chunks.answers_by_chunk(names, "names"), "anchors")
+    names = storage.written(chunks.answers_by_task(names, "names"), "anchors")
 
     def opened(chunk: Chunk, said: list[dict]) -> np.ndarray:
         return chunks.ordered_answers(_part(chunk.distinct, parts), said, _bits)
@@ -242,11 +242,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for chunk, blob, said in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("names"), strict=True):
                 c = Chunk(blob.as_py(), window)
-                *_, lead = c.distinct_windows(opened(c, said.as_py()))
+                *_, lead = c.distinct_windows(opened(c, said.as_py() or []))
                 yield chunks.dealt(chunk, _part(lead[0], parts), *lead)
 
-    windows = table.join(names, "chunk").mapInArrow(ask_windows, chunks.ASKED).groupBy("part").applyInArrow(_is_first, chunks.ANSWER)
-    windows = storage.written(chunks.answers_by_chunk(windows, "windows"), "windows")
+    windows = chunks.answered(table, names).mapInArrow(ask_windows, chunks.ASKED).groupBy("part").applyInArrow(_is_first, chunks.ANSWER)
+    windows = storage.written(chunks.answers_by_task(windows, "windows"), "windows")
 
     def cut(batches):
         for batch in batches:
@@ -275,7 +275,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         row += 1
                 yield pa.record_batch([c.batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return table.join(names, "chunk", "left").join(windows, "chunk", "left").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, text string")
+    return chunks.answered(table, names, windows).mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:

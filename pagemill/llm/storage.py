@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As `written`, in as many buckets of the column as there are shuffle partitions: joins and groups on it read the table without a shuffle.
+
+    Each task writes a file per bucket that it has rows of, so deal rows by the column first unless a task has one value.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("path", path).option("compression", "uncompressed").bucketBy(shuffle_partitions(spark), column).saveAsTable(table)
+    return spark.table(table)
+
+
 def delete(df: DataFrame) -> None:
     """Drop the files of a `written` table that nothing reads any more."""
     spark = df.sparkSession
@@ -34,5 +47,11 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs: it does so once the driver has collected garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
