@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm import linear, tokens
+from pagemill.llm import chunks, linear, tokens
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
@@ -132,16 +132,24 @@ def scores(s: tokens.Slice, weights: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches):
-    """Labelled texts to sparse vectors."""
+    """Labelled texts to sparse counts, packed: buckets (by difference), counts, and each family's total."""
     for batch in batches:
-        index, values = [], []
+        out = []
         for s in tokens.slices(batch.column("text")):
             found = features(s)
             for r in range(s.row1 - s.row0):
                 parts = [np.unique(b[o[r] : o[r + 1]], return_counts=True) for b, o in found]
-                index.append(np.concatenate([p[0] for p in parts]).astype(np.int32))
-                values.append(np.concatenate([SCALE * p[1] / max(1, p[1].sum()) for p in parts]).astype(np.float32))
-        yield pa.record_batch([pa.array([x.tobytes() for x in index], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary()), batch.column("y").cast(pa.int32())], ["index", "values", "y"])
+                index = np.concatenate([p[0] for p in parts])
+                out.append(chunks.pack(np.diff(index, prepend=0).astype("<i4"), np.concatenate([p[1] for p in parts]).astype("<u4"), np.array([p[1].sum() for p in parts], "<i8")))
+        yield pa.record_batch([pa.array(out, pa.binary()), batch.column("y").cast(pa.int32())], ["vector", "y"])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and scaled frequencies; the bias's bucket last, with value 0."""
+    step, count, totals = chunks.unpack(blob, "<i4", "<u4", "<i8")
+    index = np.append(np.cumsum(step, dtype=np.int32), np.int32(3 * BUCKETS))
+    value = SCALE * count / np.maximum(totals, 1)[index[:-1] // BUCKETS]
+    return index, np.append(value.astype(np.float32), np.float32(0))
 
 
 def sampled_labels(labels: DataFrame, column: str, limit: int) -> DataFrame:
@@ -154,21 +162,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.ndarr
     """Calibrated weights, the bias last; None if the sample lacks one of the labels."""
     sample = F.broadcast(sampled_labels(labels, "quality", limit))  # at most limit rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = rows.select("text", "y").mapInArrow(_vectors, "index binary, values binary, y int").toArrow()
-    y = np.array(got.column("y").to_pylist(), np.int64)
-    if len(y) < 10 or y.min() == y.max():
-        return None
-    index = [np.frombuffer(x.as_py(), np.int32) for x in got.column("index")]
-    values = [np.frombuffer(x.as_py(), np.float32) for x in got.column("values")]
-    # Rows come in any order; a fixed one keeps reruns equal.
-    order = sorted(range(len(y)), key=lambda i: (len(index[i]), index[i].tobytes(), values[i].tobytes(), y[i]))
-    index, values, y = [index[i] for i in order], [values[i] for i in order], y[order]
+    got = rows.select("text", "y").mapInArrow(_vectors, "vector binary, y int").toArrow()
+    pairs = sorted(zip(got.column("vector").to_pylist(), got.column("y").to_pylist(), strict=True))  # a fixed order keeps reruns equal
+    del got
+    y = np.array([p[1] for p in pairs], np.int64)
     held = np.arange(len(y)) % 5 == 0
-    pack = lambda keep: (lambda rows: (np.cumsum([0, *(len(index[i]) + 1 for i in rows)]), np.concatenate([np.append(index[i], 3 * BUCKETS) for i in rows]), np.concatenate([np.append(values[i], 0.0) for i in rows])))(np.flatnonzero(keep))
-    if y[~held].min() == y[~held].max():
+    if len(y) < 10 or y[~held].min() == y[~held].max():
         return None
-    weights = linear.fit_sparse(*pack(~held), y[~held], 3 * BUCKETS, 1e-5)
-    starts, idx, val = pack(held)
+
+    def packed(keep):
+        made = [_unpacked(pairs[i][0]) for i in np.flatnonzero(keep)]
+        return np.cumsum([0, *(len(i) for i, _ in made)]), np.concatenate([i for i, _ in made]), np.concatenate([v for _, v in made])
+
+    weights = linear.fit_sparse(*packed(~held), y[~held], 3 * BUCKETS, 1e-5)
+    starts, idx, val = packed(held)
     slope, offset = linear.platt(np.add.reduceat(val * weights[idx], starts[:-1]) + weights[-1], y[held])
     weights = weights * (slope or 1.0)
     weights[-1] += offset
