@@ -61,6 +61,8 @@ def rows_of(blob: bytes) -> pa.RecordBatch:
 def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """docs, whose column text is a string, as a table (task, chunk, blob); a text over the limit is a chunk's last."""
 
+    storage.bound_batches(docs.sparkSession)
+
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
         held, size = [], 0

@@ -272,6 +272,7 @@ def _cell(table: pa.Table) -> pa.Table:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, class_id (the least doc_id of its class), n_links, n_shingles."""
     spark = docs.sparkSession
+    storage.bound_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = storage.written(docs.mapInArrow(_sketch, f"doc_id {kind}, node binary, n int, sig binary"), "sketch")

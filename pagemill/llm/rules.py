@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm import chunks, linear, tokens
+from pagemill.llm import chunks, linear, storage, tokens
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
@@ -160,6 +160,7 @@ def sampled_labels(labels: DataFrame, column: str, limit: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.ndarray | None:
     """Calibrated weights, the bias last; None if the sample lacks one of the labels."""
+    storage.bound_batches(docs.sparkSession)
     sample = F.broadcast(sampled_labels(labels, "quality", limit))  # at most limit rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.select("text", "y").mapInArrow(_vectors, "vector binary, y int").toArrow()
@@ -186,18 +187,23 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
 
-def judge(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+def judge(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:
     """The rows of docs with the counts, the verdict and the probability of being good (1 without a model).
 
-    Columns of docs that have one of these names are replaced; others pass through.
+    Columns of docs that have one of these names are replaced; others pass through.  text names a column, or a field of
+    a struct column as in "row.text".
     """
+    storage.bound_batches(docs.sparkSession)
+    column, *fields = text.split(".")
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
     kept_columns = [c for c in docs.columns if c not in NAMES]
 
     def run(batches):
         for batch in batches:
-            parts = []
-            for s in tokens.slices(batch.column("text")):
+            parts, texts = [], batch.column(column)
+            for name in fields:
+                texts = texts.field(name)
+            for s in tokens.slices(texts):
                 c = counts(s)
                 c["base_failed"] = base_failed(c)
                 c["quality"] = linear.sigmoid(scores(s, shared.value)) if shared.value is not None else np.ones(s.row1 - s.row0)

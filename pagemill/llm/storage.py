@@ -53,5 +53,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Texts go to Python in Arrow batches of about this size at most.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, so that Python workers stay small beside the JVM.
+
+    A session setting, because a lazy plan reads it only when it runs.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = spark.conf.get(key)
+    except Exception:  # noqa: BLE001  (a Spark without the setting bounds rows only)
+        return
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -318,6 +318,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    storage.bound_batches(docs.sparkSession)
     trigrams = trigram_model(docs).tolist()
     rows = storage.written(training_rows(docs, labels, limit), "sample")  # read four times below
     lexicon, odds = learn_lexicon(rows, trigrams)
@@ -352,6 +353,7 @@ def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) to doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    storage.bound_batches(docs.sparkSession)
 
     def run(batches):
         score = scorer(shared.value)

@@ -114,6 +114,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
     """A WARC record, or more in segments, per row of (page_id, url, html)."""
+    storage.bound_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
