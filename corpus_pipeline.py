@@ -20,7 +20,7 @@ def carried(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rules.judge(carried(docs), rules.fit(docs, labels)).where("kept").select("_row.*")
+    return rules.judge(docs.select(F.struct(*docs.columns).alias("_row")), rules.fit(docs, labels), "_row.text").where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*({"text": F.col("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col("_row")[c].alias(c)) for c in docs.columns))
 
 
+#: A list of ids up to this size, as measured, is broadcast; a longer one is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each near-duplicate class; of equal rows, one."""
-    kept = jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = carried(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).select("_row.*")
+    """Keeps one document, that of the least doc_id, of each near-duplicate class; of equal rows, one.
+
+    Rows that share a doc_id stay or go together.
+    """
+    judged = jaccard.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    judged = storage.written(judged.where("NOT _kept OR _n > 1"), "judged")
+    n_lost, n_many = judged.agg(F.count_if(~F.col("_kept")), F.count_if(F.col("_kept"))).first()
+    sized = F.broadcast if 32 * max(n_lost, n_many) <= BROADCAST_BYTES else (lambda x: x)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    out = carried(docs).join(sized(judged.where("NOT _kept")), same, "left_anti")
+    if n_many:  # ids of several rows
+        many = sized(judged.where("_kept"))
+        out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
