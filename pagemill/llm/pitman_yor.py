@@ -5,16 +5,19 @@ context with a restaurant of its own; all share one parent, the unigram restaura
 the share ``UNKNOWN`` and splits the rest evenly among the known words.  So the V known words, the end among them, and
 "unknown" are the events, as in the base score.
 
-Seating is sampled: customers are first seated one by one, then Gibbs sweeps take a random customer of every dish out
-and seat it again.  Tables of the context restaurants are the parent's customers, seated alike.  Predictive
-probabilities are averaged over the last sweeps.  Restaurants of one sweep are sampled in parallel, given the table
-counts that the sweep began with.
+Seating is sampled: customers are first seated one by one, then a Gibbs sweep takes every customer of every dish out in
+turn and seats it again; of dishes with more than ``BY_ONE`` customers it draws the number of tables from its
+conditional, by Metropolis steps, since predictions need no more.  A gamma variable of each restaurant, drawn once a
+sweep given its tables, makes its dishes independent of each other, so that they are sampled in parallel.  Tables of the
+context restaurants are the parent's customers, seated alike.  Contexts and parent are sampled in turn, ``ROUNDS`` times
+and the contexts once more; predictive probabilities are averaged over the last sweeps.  Contexts see the parent's
+predictive probabilities of the turn before.
 
 1. Chunks of documents ask for the training counts of their words; the answers number the known words.
 2. Each chunk sends its token pairs, combined, with the documents that have them, to the part of their context.  A
    context of more than ``HOT`` training tokens is split by the following word over several parts.
-3. Parts seat their restaurants under a rough parent and send table counts by word (and those of split contexts).  The
-   parent's parts add these up, seat them, and answer.
+3. Parts seat their restaurants, first under a rough parent, then under the last one, and send table counts by word (and
+   those of split contexts).  The parent's parts add these up, seat them, and answer.
 4. Parts seat their restaurants again under the sampled parent, average the predictive probabilities of their pairs,
    and return one sum of logarithms per document.
 
@@ -38,6 +41,8 @@ DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 10.0
 UNKNOWN = 0.9  # how often a new type is an unknown word
 BURN_IN, SAMPLES = 3, 3
+ROUNDS = 2  # turns of contexts and parent before the last seating
+STEPS = 12  # Metropolis steps of a large dish in a sweep
 HOT = 4_000_000
 CHUNK_BYTES = 6 << 20
 BY_ONE = 256  # customers of a dish that are seated one by one; more are seated in blocks between new tables
@@ -50,6 +55,43 @@ NONE, START, FIRST = 0, 1, 2  # numbers of the unknown word and the start; known
 # -- seating ----------------------------------------------------------------------------------------------------------
 
 
+_NODES = np.arange(24)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x >= 1."""
+    y = x + 7.0
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6))
+
+
+def log_ways(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log(S(c, t) d^t / c!) of the generalised Stirling numbers of discount d: the weight of seating c customers at t tables.
+
+    That is log([z^c] (1 - (1 - z)^d)^t / t!), an integral over z = exp(-s) on a parabola through the saddle point; for
+    c over BY_ONE it is right to 1e-6.
+    """
+    c, t = c.astype(float), t.astype(float)
+    low, high = np.full(len(c), -60.0), np.full(len(c), 3.0)  # of log s
+    mean = lambda s: t * d * np.exp(-s) * (-np.expm1(-s)) ** (d - 1) / -np.expm1(d * np.log(-np.expm1(-s)))
+    for _ in range(40):
+        mid = (low + high) / 2
+        more = mean(np.exp(mid)) > c
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    s0 = np.maximum(np.exp((low + high) / 2), 2 / c)
+    f = lambda s: t[:, None] * np.log1p(-((-np.expm1(-s)) ** d)) + c[:, None] * s
+    at0 = f(s0[:, None])
+    h = 1e-3 * s0[:, None]
+    bend = np.maximum((f(s0[:, None] + h) - 2 * at0 + f(s0[:, None] - h)) / h**2, 1e-9)[:, 0]
+    flat = s0 > 0.2  # there the circle: the integrand has the period 2 pi
+    reach = np.where(flat, np.minimum(np.pi, 9 / np.sqrt(bend)), np.minimum(4.0, 9 / (2 * s0 * np.sqrt(bend))))
+    step = reach / len(_NODES)
+    u = (_NODES + 0.5) * step[:, None]
+    s = np.where(flat[:, None], s0[:, None] + 1j * u, s0[:, None] * (1 + 1j * u) ** 2)
+    slope = np.where(flat[:, None], 1.0, 2 * s0[:, None] * (1 + 1j * u))
+    total = (np.exp(f(s) - at0) * slope).real.sum(1) * step / np.pi
+    return np.where(t == c, c * np.log(d), np.log(np.maximum(total, 1e-300)) + at0[:, 0]) - _log_gamma(t + 1)
+
+
 class Seating:
     """Restaurants of one level: dishes with c customers each, of restaurant `at`, under parent probabilities `base`.
 
@@ -64,41 +106,46 @@ class Seating:
         self.dish = order = order[np.argsort(-c[order], kind="stable")]
         self.c, self.at, self.base = c[order], at[order], base[order]
         held = np.minimum(self.c, BY_ONE)
-        self.off = np.concatenate([[0], np.cumsum(held + BURN_IN + SAMPLES + 1)])[:-1].astype(np.int64)
-        room = int((held + BURN_IN + SAMPLES + 1).sum())
+        self.off = np.concatenate([[0], np.cumsum(held)])[:-1].astype(np.int64)
+        room = int(held.sum())
         self.seat, self.size = np.zeros(room, np.int16), np.zeros(room, np.int32)
         self.t = np.ones(len(order), np.int64)
         self.size[self.off] = 1
         for j in range(1, int(held[0]) if len(held) else 0):
             n = int(np.searchsorted(-held, -j, "left"))  # dishes with more than j customers come first
-            self._sit(np.arange(n), j, np.full(n, j), self.t[:n].copy())
-        self.next = self.t.copy()
-        self.small = np.flatnonzero(self.c <= BY_ONE)
-        for i in np.flatnonzero(self.c > BY_ONE):
+            i = np.arange(n)
+            new = self._sit(i, j, (self.s + self.d * self.total[self.at[:n]]) * self.base[:n], j, self.t[:n].copy())
+            np.add.at(self.total, self.at[:n][new], 1)
+        # Labels without a table, a stack for each dish.
+        self.spare = (np.repeat(self.off + held - 1, held) - np.arange(room)).astype(np.int16)
+        self.spares = held - self.t
+        self.large = np.flatnonzero(self.c > BY_ONE)
+        self.small = np.arange(len(self.large), len(self.c))
+        for i in self.large:
             self._rest(int(i))
         self.tables[self.dish] = self.t
 
-    def _sit(self, i: np.ndarray, place, others: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Seats one customer of each dish i among `others`; a new table gets the given label.  Which opened one."""
-        a = (self.s + self.d * self.total[self.at[i]]) * self.base[i]
+    def _sit(self, i: np.ndarray, place: int, a: np.ndarray, others, label: np.ndarray, among=None) -> np.ndarray:
+        """Seats customer `place` of each dish i with `others`, at a new table of the given label by weight a.  Which opened one.
+
+        among: of how many places one is taken by chance to find a table; `others` if not given.
+        """
         new = self.rng.random(len(i)) * (a + others - self.d * self.t[i]) < a
         k = i[new]
-        self.seat[self.off[k] + (place if np.isscalar(place) else place[new])] = label[new]
+        self.seat[self.off[k] + place] = label[new]
         self.size[self.off[k] + label[new]] = 1
         self.t[k] += 1
-        np.add.at(self.total, self.at[k], 1)
-        left = np.flatnonzero(~new)
+        left = i[~new]
+        n = np.full(len(left), others) if among is None else among[~new]
         while len(left):
-            k = i[left]
-            mine = place if np.isscalar(place) else place[left]
-            n = self.c[k] if not np.isscalar(place) else mine
-            other = (self.rng.random(len(k)) * n).astype(np.int64)
-            table = self.seat[self.off[k] + other]
-            size = self.size[self.off[k] + table]
-            ok = (other != mine) & (self.rng.random(len(k)) * size < size - self.d)
-            self.seat[self.off[k[ok]] + (mine if np.isscalar(mine) else mine[ok])] = table[ok]
-            self.size[self.off[k[ok]] + table[ok]] += 1
-            left = left[~ok]
+            off = self.off[left]
+            other = (self.rng.random(len(left)) * n).astype(np.int64)
+            table = self.seat[off + other]
+            size = self.size[off + table]
+            ok = (other != place) & (self.rng.random(len(left)) * size < size - self.d)
+            self.seat[off[ok] + place] = table[ok]
+            self.size[off[ok] + table[ok]] += 1
+            left, n = left[~ok], n[~ok]
         return new
 
     def _rest(self, i: int) -> None:
@@ -114,19 +161,48 @@ class Seating:
         self.t[i] = t
 
     def sweep(self) -> None:
-        """One customer of every dish, drawn evenly, leaves and is seated again."""
-        i = self.small
-        if len(i):
-            place = (self.rng.random(len(i)) * self.c[i]).astype(np.int64)
-            at = self.off[i] + self.seat[self.off[i] + place]
-            self.size[at] -= 1
-            gone = self.size[at] == 0
-            self.t[i[gone]] -= 1
-            np.add.at(self.total, self.at[i[gone]], -1)
-            new = self._sit(i, place, self.c[i] - 1, self.next[i])
-            self.next[i[new]] += 1
+        """Every customer leaves and is seated again, one after another in a dish; large dishes draw their numbers of tables.
+
+        With x of a restaurant ~ Gamma(s / d + tables), a new table of a dish has the weight d x base, whatever the others have.
+        """
+        before = self.t.copy()
+        x = self.rng.gamma(self.s / self.d + self.total)[self.at]
+        a = self.d * x * self.base
+        if len(self.small):
+            lead = self.small[0]
+            for j in range(int(self.c[lead])):
+                i = self.small[: int(np.searchsorted(-self.c[lead:], -j, "left"))]
+                off = self.off[i]
+                label = self.seat[off + j]
+                self.size[off + label] -= 1
+                gone = self.size[off + label] == 0
+                k = i[gone]
+                self.t[k] -= 1
+                self.spare[self.off[k] + self.spares[k]] = label[gone]
+                self.spares[k] += 1
+                # Some label is free: the others have at most one table each.
+                new = self._sit(i, j, a[i], self.c[i] - 1, self.spare[off + self.spares[i] - 1], self.c[i])
+                self.spares[i[new]] -= 1
+        if len(self.large):
+            self._draw(x[self.large] * self.base[self.large])
+        np.add.at(self.total, self.at, self.t - before)
         self.tables[self.dish] = self.t
 
+    def _draw(self, rate: np.ndarray) -> None:
+        """Metropolis steps of all sizes on the number t of tables of each large dish, of weight rate^t exp(log_ways)."""
+        c, t = self.c[self.large], self.t[self.large]
+        log_rate = np.log(rate)
+        now = t * log_rate + log_ways(c, t, self.d)
+        for _ in range(STEPS):
+            width = np.exp(self.rng.random(len(c)) * (0.5 * np.log(c) + 1))
+            to = t + (1 + self.rng.exponential(width).astype(np.int64)) * np.where(self.rng.random(len(c)) < 0.5, 1, -1)
+            can = (to >= 1) & (to <= c)
+            to = np.where(can, to, t)
+            then = to * log_rate + log_ways(c, to, self.d)
+            go = can & (np.log(self.rng.random(len(c))) < then - now)
+            t, now = np.where(go, to, t), np.where(go, then, now)
+        self.t[self.large] = t
+
 
 # -- step 1: words ----------------------------------------------------------------------------------------------------
 
@@ -271,12 +347,25 @@ def averaged(r: Restaurants, seating: Seating, base: np.ndarray) -> np.ndarray:
     return p / SAMPLES
 
 
-def _tables(v: int, roots: int):
-    def run(table: pa.Table) -> pa.Table:
+def _base(r: Restaurants, said: list[dict], v: int, roots: int, customers: int, root_tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled parent's probability of each pair's word, and the tables that split contexts have in other parts."""
+    keys = np.concatenate([r.words * 2, r.contexts[r.split] * 2 + 1])
+    target = _part((keys >> 1).astype(np.uint64), roots)
+    t, tables = (chunks.ordered_answers(target, said, lambda x, k=k: chunks.unpack(x, "<u8", "<u8")[k]).astype(np.int64) for k in (0, 1))
+    n = len(r.words)
+    extra = np.zeros(len(r.contexts))
+    extra[r.split] = tables[n:]
+    return parent_probability(r.words, t[:n], tables[:n], v, customers, root_tables)[r.word], extra
+
+
+def _tables(v: int, roots: int, turn: int = 0, customers: int = 0, root_tables: int = 0):
+    """Seats a part, under the rough parent in the first turn and the sampled one later, and sends table counts."""
+
+    def seated(table: pa.Table, said: list[dict] | None) -> pa.Table:
         part = table.column("part")[0].as_py()
         r = Restaurants(table)
-        base, extra = _rough(r, v)
-        seating = Seating(_seed(part, 1), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
+        base, extra = _rough(r, v) if said is None else _base(r, said, v, roots, customers, root_tables)
+        seating = Seating(_seed(part, 10 * turn + 1), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
         for _ in range(BURN_IN):
             seating.sweep()
         t = np.bincount(r.word, seating.tables, len(r.words)).astype(np.int64)
@@ -286,11 +375,22 @@ def _tables(v: int, roots: int):
         out = chunks.dealt(part, _part((key >> 1).astype(np.uint64), roots), key.astype("<u8"), value.astype("<u8"))
         return pa.Table.from_batches([out])
 
-    return run
+    def first(table: pa.Table) -> pa.Table:
+        return seated(table, None)
+
+    def again(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["chunk", "part", "asked"])
+        return seated(left, right.column("said")[0].as_py() if len(right) else [])
+
+    return again if turn else first
 
 
-def _parent(v: int):
-    """Adds up tables by word, seats them in the parent, and answers with customers and tables there."""
+def _parent(v: int, turn: int = 0, root_tables: int = 0):
+    """Adds up tables by word, seats them in the parent, and answers with customers and tables there.
+
+    For a split context it answers with its tables, and with those of them that the asking part has not.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -299,14 +399,17 @@ def _parent(v: int):
         keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         t = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
         word = (keys % 2 == 0) & (keys != NONE)
-        # One restaurant over all parts: that its other tables number one per known word is a fair start.
+        # One restaurant over all parts: its other tables number one per known word at first, then as many as in the turn before.
         n = int((t[word] > 0).sum())
         base = np.full(len(keys), (1 - UNKNOWN) / max(1, v))
-        seating = Seating(_seed(part, 2), np.where(word, t, 0), np.zeros(len(keys), np.int64), 1, base, ROOT_DISCOUNT, ROOT_STRENGTH, np.array([max(0, v - n)], float))
+        seating = Seating(_seed(part, 10 * turn + 2), np.where(word, t, 0), np.zeros(len(keys), np.int64), 1, base, ROOT_DISCOUNT, ROOT_STRENGTH, np.array([max(0, v - n) * (root_tables / v if turn and v else 1.0)], float))
         for _ in range(BURN_IN):
             seating.sweep()
         sizes = [len(a[0]) for a in asked]
-        out = [chunks.pack(t[i].astype("<u8"), seating.tables[i].astype("<u8")) for i in np.split(inverse, np.cumsum(sizes)[:-1])]
+        out = [
+            chunks.pack(t[i].astype("<u8"), np.where(keys[i] % 2 == 1, t[i] - a[1].astype(np.int64), seating.tables[i]).astype("<u8"))
+            for a, i in zip(asked, np.split(inverse, np.cumsum(sizes)[:-1]), strict=True)
+        ]
         stats = chunks.pack(np.array([t[word].sum(), seating.tables[word].sum()], "<i8"))
         return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), pa.array([part] * (len(out) + 1), pa.int32()), pa.array([*out, stats], pa.binary())], ["chunk", "part", "answer"])
 
@@ -321,24 +424,7 @@ def _sums(v: int, roots: int, customers: int, root_tables: int):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["chunk", "sums"])
         part = left.column("part")[0].as_py()
         r = Restaurants(left)
-        keys = np.concatenate([r.words * 2, r.contexts[r.split] * 2 + 1])
-        said = right.column("said")[0].as_py() if len(right) else []
-        target = _part((keys >> 1).astype(np.uint64), roots)
-        t = chunks.ordered_answers(target, said, lambda x: chunks.unpack(x, "<u8", "<u8")[0]).astype(np.int64)
-        tables = chunks.ordered_answers(target, said, lambda x: chunks.unpack(x, "<u8", "<u8")[1]).astype(np.int64)
-        n = len(r.words)
-        base = parent_probability(r.words, t[:n], tables[:n], v, customers, root_tables)[r.word]
-        # Tables of split contexts elsewhere: those of step 3, less the part's own then.
-        rough, extra = _rough(r, v)
-        if r.split.any():
-            first = Seating(_seed(part, 1), r.c, r.at, len(r.contexts), rough, DISCOUNT, STRENGTH, extra)
-            for _ in range(BURN_IN):
-                first.sweep()
-            own = np.bincount(r.at, first.tables, len(r.contexts))
-            extra = np.zeros(len(r.contexts))
-            extra[r.split] = t[n:] - own[r.split]
-        else:
-            extra = np.zeros(len(r.contexts))
+        base, extra = _base(r, right.column("said")[0].as_py() if len(right) else [], v, roots, customers, root_tables)
         seating = Seating(_seed(part, 3), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
         log = np.log10(averaged(r, seating, base))
         sums = []
@@ -388,14 +474,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     sent = rows.where("part >= 0").select("chunk", "part", "asked")
     roots = parts
-    tables = sent.groupBy("part").applyInArrow(_tables(v, roots), chunks.ASKED)
-    answers = tables.groupBy("part").applyInArrow(_parent(v), chunks.ANSWER)
-    answers = storage.written(answers.groupBy(F.col("chunk").alias("part")).agg(F.collect_list(F.struct("part", "answer")).alias("said")), "parents")
-    stats = [chunks.unpack(bytes(x["answer"]), "<i8")[0] for r in answers.where("part = -1").collect() for x in r["said"]]
-    customers, root_tables = (int(sum(s[k] for s in stats)) for k in (0, 1))
-
-    answers = answers.where("part >= 0").select(F.col("part").cast("int").alias("part"), "said")
-    sums = sent.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_sums(v, roots, customers, root_tables), "chunk long, sums binary")
+    last, customers, root_tables = None, 0, 0
+    for turn in range(ROUNDS):
+        seat = _tables(v, roots, turn, customers, root_tables)
+        tables = sent.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(seat, chunks.ASKED) if turn else sent.groupBy("part").applyInArrow(seat, chunks.ASKED)
+        answers = tables.groupBy("part").applyInArrow(_parent(v, turn, root_tables), chunks.ANSWER)
+        answers = storage.written(answers.groupBy(F.col("chunk").alias("part")).agg(F.collect_list(F.struct("part", "answer")).alias("said")), "parents")
+        if turn:
+            storage.delete(last)
+        storage.release(spark)
+        stats = [chunks.unpack(bytes(x["answer"]), "<i8")[0] for r in answers.where("part = -1").collect() for x in r["said"]]
+        customers, root_tables = (int(sum(s[k] for s in stats)) for k in (0, 1))
+        last = answers.where("part >= 0").select(F.col("part").cast("int").alias("part"), "said")
+
+    sums = sent.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(_sums(v, roots, customers, root_tables), "chunk long, sums binary")
     sums = sums.groupBy("chunk").agg(F.collect_list("sums").alias("sums"))
 
     def finish(batches):

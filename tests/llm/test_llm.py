@@ -423,6 +423,29 @@ def test_seating_follows_the_restaurant_law():
     assert (s.tables == 2).mean() == pytest.approx(new / (new + 0.5), abs=0.01)
 
 
+@pytest.mark.parametrize("c", [20, 300])
+def test_sweeps_resample_small_and_large_dishes(c):
+    """A few sweeps reach the exact law of the number of tables, by the recurrence of Stirling numbers."""
+    n, base, d, strength = 3000, 0.2, 0.75, 1.0
+    ways = np.full(c + 1, -np.inf)
+    ways[1] = 0.0
+    t = np.arange(c + 1)
+    for k in range(1, c):
+        ways = np.logaddexp(np.append(-np.inf, ways[:-1]), ways + np.log(np.maximum(k - d * t, 1e-300)))
+        ways[0] = -np.inf
+    if c > pitman_yor.BY_ONE:
+        assert np.diff(pitman_yor.log_ways(np.full(c, c), t[1:], d)) == pytest.approx(np.diff(ways[1:]) + np.log(d), abs=1e-5)
+    law = ways[1:] + np.cumsum(np.log(strength + d * t[:-1])) + t[1:] * np.log(base)
+    law = np.exp(law - law.max())
+    mean = (law * t[1:]).sum() / law.sum()
+    s = pitman_yor.Seating(np.random.default_rng(6), np.full(n, c), np.arange(n), n, np.full(n, base), d, strength)
+    first = s.tables.copy()
+    for _ in range(12):
+        s.sweep()
+    assert (s.tables != first).mean() > 0.5
+    assert s.tables.mean() == pytest.approx(mean, rel=0.03)
+
+
 def restaurants(counts: dict[int, dict[int, int]], words: range, customers: dict[int, int]) -> pitman_yor.Restaurants:
     """One part whose chunk asks for every word after every context; training counts as given."""
     u, w, c = (np.array(x) for x in zip(*((u, w, counts[u].get(w, 0)) for u in sorted(counts) for w in words), strict=True))
