@@ -226,25 +226,16 @@ def restored(s: tokens.Slice, model: list, cache: dict[str, str]) -> tuple[np.nd
 # -- evidence ---------------------------------------------------------------------------------------------------------
 
 
-def evidence_items(s: tokens.Slice, model: list, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, hashes and contexts of all words and stems, plain and restored; and the number of plain words per row.
-
-    A word's context is the word before it; that of a first or restored word is its whole text.
-    """
+def evidence_items(s: tokens.Slice, model: list, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and hashes of all words and stems, plain and restored; and the number of plain words per row."""
     w = Words(s)
     rows, words = restored(s, model, cache)
     pairs = np.array([hash_word(x) for x in words], np.uint64).reshape(-1, 2)
-    whole = np.zeros(s.row1 - s.row0 + 1, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.words, dtype=np.uint64)])
-    whole[:-1] = sums[w.first[1:]] - sums[w.first[:-1]]
-    before = np.concatenate([whole[:1] * 0, w.words[:-1]]) if len(w.words) else w.words
-    starts = w.first[:-1][np.diff(w.first) > 0]
-    before[starts] = whole[w.rows[starts]]
-    return np.concatenate([w.rows, w.rows, rows, rows]), np.concatenate([w.words, w.stems, pairs[:, 0], pairs[:, 1]]), np.concatenate([before, before, whole[rows], whole[rows]]), np.diff(w.first)
+    return np.concatenate([w.rows, w.rows, rows, rows]), np.concatenate([w.words, w.stems, pairs[:, 0], pairs[:, 1]]), np.diff(w.first)
 
 
 def numbers(s: tokens.Slice, model: list, cache: dict, lexicon: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    rows, hashes, _, n = evidence_items(s, model, cache)
+    rows, hashes, n = evidence_items(s, model, cache)
     out = np.zeros((s.row1 - s.row0, 6))
     out[:, 5] = np.log1p(n) / 10
     if len(lexicon) and len(hashes):
@@ -272,16 +263,14 @@ def learn_lexicon(rows: DataFrame, model: list) -> tuple[np.ndarray, np.ndarray]
         cache: dict[str, str] = {}
         for batch in batches:
             for s in tokens.slices(batch.column("text")):
-                r, h, context, _ = evidence_items(s, shared.value, cache)
-                order = np.lexsort((np.arange(len(h)), h, r))
-                new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])
-                first = order[new & (h[order] != 0)]  # one place per text and word
-                both = np.unique(np.stack([h[first], context[first]]), axis=1)
-                yield pa.record_batch([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["h", "context"])
-
-    # Texts count by context, so that a passage in many copies of one text makes no word of it look toxic.
-    found = rows.where("y > 0").select("text").mapInArrow(toxic, "h long, context long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
+                r, h, _ = evidence_items(s, shared.value, cache)
+                both = np.unique(np.stack([r[h != 0].astype(np.uint64), h[h != 0]]), axis=1)  # one place per text and word
+                words, n = np.unique(both[1], return_counts=True)
+                yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    # A text counts once on its side, however many rows are copies of it.
+    texts = rows.select(F.col("y") > 0, "text").toDF("toxic", "text").where("text IS NOT NULL").distinct()
+    found = texts.where("toxic").select("text").mapInArrow(toxic, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
     keys = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, a = keys[order], found.column("n").to_numpy()[order].astype(float)
@@ -292,7 +281,7 @@ def learn_lexicon(rows: DataFrame, model: list) -> tuple[np.ndarray, np.ndarray]
         total = np.zeros(len(known.value), np.int64)
         for batch in batches:
             for s in tokens.slices(batch.column("text")):
-                r, h, _, _ = evidence_items(s, shared.value, cache)
+                r, h, _ = evidence_items(s, shared.value, cache)
                 at = np.minimum(np.searchsorted(known.value, h), max(0, len(known.value) - 1))
                 if len(known.value):
                     hit = known.value[at] == h
@@ -301,10 +290,10 @@ def learn_lexicon(rows: DataFrame, model: list) -> tuple[np.ndarray, np.ndarray]
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    got = rows.where("y = 0").select("text").mapInArrow(other, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.where("NOT toxic").select("text").mapInArrow(other, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     b = np.zeros(len(keys))
     b[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    sizes = {r["y"] > 0: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = np.log((a + 0.5) / (sizes.get(True, 0) + 1)) - np.log((b + 0.5) / (sizes.get(False, 0) + 1))
     keep = odds >= MIN_ODDS
     return keys[keep], odds[keep]

@@ -305,6 +305,14 @@ def test_toxicity_held_out(spark, sf):
     assert hidden[0] > 0.5 and hidden[1] > 0.5 > hidden[2]
 
 
+def test_lexicon_counts_texts_once(spark, trigrams):
+    """A word that follows the same word in many toxic texts is learnt; one in many copies of a single text is not."""
+    toxic = [f"filler{k} you blorple" for k in range(9)] + ["some zzyzx here"] * 9
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(100 + i, 0, f"clean{i} text you") for i in range(30)], "doc_id long, y int, text string")
+    keys, _ = toxicity.learn_lexicon(rows, trigrams)
+    assert toxicity.hash_word("blorple")[0] in keys and toxicity.hash_word("zzyzx")[0] not in keys
+
+
 def test_toxicity_hostile(docs, labels, empty):
     got = toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
