@@ -39,6 +39,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h",
 }
 SEPARATORS = ".-_*~'/ "
+LOG_BOUNDARY = np.log(0.1)  # of a word that ends within spaced letters
 LOG_SWAP, LOG_DROP_SEPARATOR, LOG_DROP_REPEAT, LOG_KEEP_REPEAT, LOG_WILD = np.log(0.3), np.log(0.5), np.log(0.9), np.log(0.05), np.log(0.02)
 
 _BREAK = np.ones(256, bool)
@@ -117,13 +118,14 @@ def trigram_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
-def decode(token: str, model: list) -> str:
-    """The most probable plain word behind a token, by Viterbi over its lattice.
+def decode(token: str, model: list, spaced: bool = False) -> str:
+    """The most probable plain word behind a token, by Viterbi over its lattice, in time linear in its length.
 
-    model: log P as nested lists [a][b][c].  States are the last two letters.
+    model: log P as nested lists [a][b][c].  States are the last two letters.  spaced: a word may end before any letter,
+    and the result is words with blanks between.
     """
-    token = token.lower()
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    token = _LONG_REPEAT.sub(r"\1\1\1", token.lower())
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # and the path: a letter and the path before it
     for i, sign in enumerate(token):
         arcs: list[tuple[int, float]] = []
         repeat = i > 0 and token[i - 1] == sign
@@ -140,86 +142,110 @@ def decode(token: str, model: list) -> str:
             arcs.append((-1, LOG_DROP_SEPARATOR))
         if not arcs:
             arcs.append((-1, LOG_WILD))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, word) in best.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (p, path) in best.items():
             row = model[a][b]
             for letter, cost in arcs:
                 state, q = ((a, b), p + cost) if letter < 0 else ((b, letter), p + cost + row[letter])
                 if state not in new or q > new[state][0]:
-                    new[state] = (q, word if letter < 0 else word + chr(96 + letter))
+                    new[state] = (q, path if letter < 0 else (chr(96 + letter), path))
+                if spaced and letter > 0 and b:
+                    state, q = (0, letter), p + cost + row[0] + LOG_BOUNDARY + model[0][0][letter]
+                    if state not in new or q > new[state][0]:
+                        new[state] = (q, (" " + chr(96 + letter), path))
         best = new
-    return max((p + model[a][b][0], word) for (a, b), (p, word) in best.items())[1]
+    end = max(best, key=lambda ab: (best[ab][0] + model[ab[0]][ab[1]][0], ab))
+    letters, path = [], best[end][1]
+    while path:
+        letters.append(path[0])
+        path = path[1]
+    return "".join(reversed(letters))
 
 
-_SUSPECT = re.compile(r"(?P<spaced>(?<![^\s])(?:[a-zA-Z0-9@$!|*][\s.\-_*]){2,}[a-zA-Z0-9@$!|](?![^\s.,!?]))|(?P<token>[^\s]+)")
+_LONG_REPEAT = re.compile(r"(.)\1{3,}", re.S)
 _EDGES = "\"'.,;:?()[]{}<>%&#=~^`"
 
 
 def suspicious(token: str) -> str:
     """The part of a whitespace token to be decoded, or '' if it is plain."""
-    token = token.strip(_EDGES).rstrip("*!|$")
+    token = token.strip(_EDGES).rstrip("*!|")
     if len(token) < 3 or not token.isascii() or not any(c.isalpha() for c in token):
         return ""
-    if len(token) > 40 or sum(c.isalpha() for c in token) * 3 < len(token):
-        return ""  # not a word: a number, an address or a key
     if token.isalpha():
         low = token.lower()
         return token if any(low[i] == low[i + 1] == low[i + 2] for i in range(len(low) - 2)) else ""
     return token if all(c.isalpha() or c in LOOKALIKES or c in SEPARATORS for c in token) else ""
 
 
-def suspects(s: tokens.Slice) -> Iterator[tuple[int, str]]:
-    """(row, token) of every token that shows a mark; a vectorised screen picks the few places to look at."""
+def marked(s: tokens.Slice) -> Iterator[tuple[int, str]]:
+    """(row, token) of every token with a mark in it; a vectorised screen picks the few places to look at."""
     start, end, _ = s.words
     if not len(start):
         return
     data, size = s.data, end - start
     low = _LOWER[data]
     letter = (low >= 0x61) & (low <= 0x7A)
-    sums = np.zeros(len(data) + 1, np.int32)
-    odd = np.zeros(len(data), bool)
-    for c in LOOKALIKES:
-        odd |= data == ord(c)
-    for c in "-_.'/~":
+    odd, strong = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    for c in [*LOOKALIKES, *"-_.'/~"]:
         odd |= data == ord(c)
-    # A mark counts only with a letter on its right (trailing signs are decoration), or as a digit after a letter.
+    for c in "0123456789@$+":
+        strong |= data == ord(c)
+    # A mark counts with a letter on its right (trailing signs may be decoration); one that is no decoration, anywhere.
     odd[:-1] &= letter[1:] | (odd[1:] & (np.append(letter[2:], False)))
     odd[-1:] = False
-    np.cumsum(odd, out=sums[1:])
-    marked = (sums[end] > sums[start]) & (size >= 3) & (size <= 48)
+    sums = np.zeros((2, len(data) + 1), np.int32)
+    np.cumsum(odd | strong, out=sums[0, 1:])
+    np.cumsum(letter, out=sums[1, 1:])
+    found = (sums[0, end] > sums[0, start]) & (sums[1, end] > sums[1, start]) & (size >= 3)
     if len(low) > 2:
         triple = np.zeros(len(data), bool)
         triple[:-2] = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2]
-        np.cumsum(triple, out=sums[1:])
+        np.cumsum(triple, out=sums[0, 1:])
         # the last two places of a word may begin a triple that runs into the next row only
-        marked |= (sums[np.maximum(end - 2, start)] > sums[start]) & (size >= 3) & (size <= 48)
-    for w in np.flatnonzero(marked):
+        found |= (sums[0, np.maximum(end - 2, start)] > sums[0, start]) & (size >= 3)
+    for w in np.flatnonzero(found):
         token = suspicious(s.text(start[w], end[w]))
         if token:
             yield int(s.word_rows[w]), token
-    # Spaced letters: three or more tokens in line that are one sign each.
-    single = (size == 1) & (letter[start] | odd[start] | ((data[start] >= 0x30) & (data[start] <= 0x39)) | (data[start] == 0x40) | (data[start] == 0x24))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-    rows = s.word_rows
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a >= 3:
-            for row in np.unique(rows[a:b]):
-                at = [w for w in range(a, b) if rows[w] == row]
-                if 3 <= len(at) <= 40:
-                    yield int(row), "".join(chr(data[start[w]]) for w in at)
+
+
+def spaced_runs(s: tokens.Slice) -> Iterator[tuple[int, str]]:
+    """(row, signs) of spaced letters: three or more tokens in line that are one sign each."""
+    start, end, _ = s.words
+    if not len(start):
+        return
+    sign, rows = _LOWER[s.data[start]], s.word_rows
+    single = (end - start == 1) & (((sign >= 0x61) & (sign <= 0x7A)) | ((sign >= 0x30) & (sign <= 0x39)) | (sign == 0x40) | (sign == 0x24))
+    cut = np.flatnonzero(np.concatenate([[True], (single[1:] != single[:-1]) | (rows[1:] != rows[:-1]), [True]]))
+    long = single[cut[:-1]] & (np.diff(cut) >= 3)
+    for a, b in zip(cut[:-1][long], cut[1:][long], strict=True):
+        yield int(rows[a]), s.data[start[a:b]].tobytes().decode("ascii")
+
+
+def suspects(s: tokens.Slice) -> Iterator[tuple[int, str]]:
+    """(row, token) of all that shows a mark."""
+    yield from marked(s)
+    yield from spaced_runs(s)
 
 
 def restored(s: tokens.Slice, model: list, cache: dict[str, str]) -> tuple[np.ndarray, list[str]]:
     rows, words = [], []
-    for row, token in suspects(s):
-        word = cache.get(token)
-        if word is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            word = cache[token] = decode(token, model)
-        if len(word) >= 3:
-            rows.append(row)
-            words.append(word)
+    for spaced, found in ((False, marked(s)), (True, spaced_runs(s))):
+        for row, token in found:
+            key = " " + token if spaced else token
+            out = cache.get(key)
+            if out is None:
+                out = decode(token, model)
+                if spaced:  # one word, or several
+                    out = " ".join(dict.fromkeys([out, *decode(token, model, True).split(" ")]))
+                if len(cache) > 200_000:
+                    cache.clear()
+                if len(key) <= 64:
+                    cache[key] = out
+            for word in out.split(" "):
+                if len(word) >= 3:
+                    rows.append(row)
+                    words.append(word)
     return np.array(rows, np.int64), words
 
 

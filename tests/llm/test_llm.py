@@ -305,6 +305,17 @@ def test_toxicity_held_out(spark, sf):
     assert hidden[0] > 0.5 and hidden[1] > 0.5 > hidden[2]
 
 
+@pytest.mark.parametrize(("text", "word"), [("idio7", "idiot"), ("1d107", "idiot"), ("stup1d", "stupid"), ("you a m o r o n", "moron"), ("s" + "t" * 60 + "upid", "stupid"), ("m.0.r.0.n", "moron"), (" ".join("amoron" * 12), "moron")])
+def test_no_obfuscation_is_too_short_or_long(trigrams, text, word):
+    s = next(tokens.slices(pa.array([text])))
+    assert word in toxicity.restored(s, trigrams, {})[1]
+
+
+def test_marks_at_the_end_are_seen():
+    s = next(tokens.slices(pa.array(["sh17 a$$ 1984 plain! x" + "9" * 60])))
+    assert [w for _, w in toxicity.suspects(s)] == ["sh17", "a$$", "x" + "9" * 60]
+
+
 def test_lexicon_counts_texts_once(spark, trigrams):
     """A word that follows the same word in many toxic texts is learnt; one in many copies of a single text is not."""
     toxic = [f"filler{k} you blorple" for k in range(9)] + ["some zzyzx here"] * 9
