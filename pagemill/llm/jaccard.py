@@ -183,7 +183,7 @@ def _cell_rows(batches):
         yield pa.record_batch([*kept.columns, pa.array(sets, pa.binary())], ["cells", "block", "node", "weight", "items"])
 
 
-def candidate_pairs(sig: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(sig: np.ndarray, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j that share a band; of a cell of two blocks, only pairs across them."""
     m = len(sig)
     met = np.zeros((m, m), bool)
@@ -198,9 +198,9 @@ def candidate_pairs(sig: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.
             if d >= m:
                 break
     i, j = np.nonzero(met)
-    if block.min() != block.max():
-        across = block[i] != block[j]
-        i, j = i[across], j[across]
+    if across:
+        apart = block[i] != block[j]
+        i, j = i[apart], j[apart]
     return i, j
 
 
@@ -260,7 +260,9 @@ def _cell(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
     weight, block = table.column("weight").to_numpy(), table.column("block").to_numpy()
     sig = signatures(sets)
-    i, j = prune(sig, *candidate_pairs(sig, block))
+    # Told by the cell's name, as one of its two blocks may be empty.
+    of = table.column("group")[0].as_py().split("/")
+    i, j = prune(sig, *candidate_pairs(sig, block, len(of) == 3 and of[1] != of[2]))
     good = verify(sets, i, j)
     i, j = i[good], j[good]
     links = np.bincount(i, weight[j], len(nodes)) + np.bincount(j, weight[i], len(nodes))

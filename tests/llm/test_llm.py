@@ -155,6 +155,14 @@ def test_jaccard(docs, monkeypatch, block, broadcast):
     assert got == want
 
 
+def test_jaccard_blocks_left_empty(spark, monkeypatch):
+    """Two near copies in a component of many blocks, most of them empty, are linked once."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 50)
+    rows = [(10 * k + m, " ".join([f"g{k}w{i}" for i in range(120)] + ["tail"] * m)) for k in range(6) for m in (0, 1)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 10, 1) for i, _ in rows}
+
+
 def test_jaccard_prune_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(1)
     sets = []
