@@ -1,14 +1,18 @@
 """Chunks: runs of whole documents, compressed, as the unit in which corpus-wide questions are asked and answered.
 
 A question about every word or window of a corpus would shuffle one row for each.  Instead each chunk sorts and
-combines its own items, packs them by part (a hash range of the item) and sends one row per part; each part merges the
-packed items of all chunks and answers with one row per chunk, in the order asked.  A frequent item reaches its part
-once per chunk, however often it occurs.  Chunks are a written table, so an answer always meets the chunk that asked;
-it is bucketed by the task that wrote it, so answers come to the chunks, and the chunks' texts are never shuffled.
+combines its own items, and the items of a group of chunks (up to ``GROUP_BYTES`` of text of one task) are packed by
+part (a hash range of the item) and sent as one row per part; each part merges the packed items of all groups and
+answers every row by one, in the order asked.  So a question has at most one row for each pair of a group and a part,
+which is what a plain shuffle has in blocks, and a frequent item reaches its part once per chunk, however often it
+occurs.  Chunks are a written table, so an answer always meets the group that asked; it is bucketed by group, so answers
+come to the chunks, and the chunks' texts are never shuffled.  Groups are numbered so that they fill buckets evenly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +23,9 @@ from pyspark.sql import functions as F
 from pagemill.llm import storage
 
 CHUNK_BYTES = 2 << 20
+GROUP_BYTES = 64 << 20
+ROW_BYTES = 32  # what a row counts beside its text, so that empty texts fill chunks too
+ASKED_BYTES = 32 << 20  # of items that wait in a task; a group with more asks in several rows per part
 _CODEC = pa.Codec("zstd", 6)
 _FAST = pa.Codec("zstd", 1)
 
@@ -58,25 +65,36 @@ def rows_of(blob: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
+def group_number(task: int, k: int, buckets: int) -> int:
+    """A number of the task's k-th group whose bucket is the next in turn."""
+    first = (task << 36) + (k << 20)
+    tries = first + np.arange(min(16 * buckets, 1 << 20))
+    good = np.flatnonzero(storage.bucket(tries, buckets) == (task + 7919 * k) % buckets)
+    return int(tries[good[0]]) if len(good) else first
+
+
 def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
-    """docs, whose column text is a string, as a table (task, chunk, blob); a text over the limit is a chunk's last."""
+    """docs, whose column text is a string, as a table (grp, chunk, blob); a text over the limit is a chunk's last."""
 
     storage.bound_batches(docs.sparkSession)
+    buckets = storage.shuffle_partitions(docs.sparkSession)
 
     def run(batches):
-        part, count = TaskContext.get().partitionId(), 0
+        task, count, group, in_group, k = TaskContext.get().partitionId(), 0, None, 0, 0
         held, size = [], 0
 
         def flush():
-            nonlocal count, held, size
+            nonlocal count, held, size, group, in_group, k
+            if group is None or in_group + size > GROUP_BYTES:
+                group, in_group, k = group_number(task, k, buckets), 0, k + 1
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            out = pa.record_batch([pa.array([part], pa.int64()), pa.array([(part << 32) + count], pa.int64()), pa.array([_seal(whole)], pa.binary())], ["task", "chunk", "blob"])
-            count, held, size = count + 1, [], 0
+            out = pa.record_batch([pa.array([group], pa.int64()), pa.array([count], pa.int32()), pa.array([_seal(whole)], pa.binary())], ["grp", "chunk", "blob"])
+            count, in_group, held, size = count + 1, in_group + size, [], 0
             return out
 
         for batch in batches:
             text = batch.column("text")
-            ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), float)))
+            ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), float)) + ROW_BYTES)
             row = 0
             while row < len(batch):
                 base = ends[row - 1] if row else 0.0
@@ -89,7 +107,7 @@ def chunked(docs: DataFrame, name: str, limit: int = CHUNK_BYTES) -> DataFrame:
         if held and sum(map(len, held)):
             yield flush()
 
-    return storage.bucketed(docs.mapInArrow(run, "task long, chunk long, blob binary"), name, "task")
+    return storage.bucketed(docs.mapInArrow(run, "grp long, chunk int, blob binary"), name, "grp")
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -98,38 +116,105 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)][: len(cuts)], strict=True))
 
 
-def dealt(chunk: int, part: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
-    """One row per part that has items; within a part the items keep their order."""
-    order = np.argsort(part, kind="stable")
-    spans = runs(part[order])
-    blobs = [pack(*(a[order[x:y]] for a in arrays)) for x, y in spans]
-    return pa.record_batch([pa.array([chunk] * len(spans), pa.int64()), pa.array([int(part[order[x]]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "asked"])
-
-
-ASKED = "chunk long, part int, asked binary"
-ANSWER = "chunk long, part int, answer binary"
-
-
-def answers_by_task(answers: DataFrame, name: str) -> DataFrame:
-    """(task, name): what all parts say to the chunks of a task, as a map from chunk to an array of (part, answer)."""
-    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "answer")).alias("said"))
-    return per.groupBy(F.shiftright("chunk", 32).alias("task")).agg(F.map_from_entries(F.collect_list(F.struct("chunk", "said"))).alias(name))
+ASKED = "grp long, part int, asked binary"
+ANSWER = "grp long, part int, answer binary"
+
+
+class _Asked:
+    """What a group's chunks ask, until it is sent."""
+
+    def __init__(self):
+        self.chunks, self.parts, self.items, self.size = [], [], [], 0
+
+    def add(self, chunk: int, part: np.ndarray, items: tuple[np.ndarray, ...]) -> None:
+        self.chunks.append(chunk)
+        self.parts.append(part)
+        self.items.append(items)
+        self.size += sum(a.nbytes for a in items)
+
+    def rows(self, group: int) -> pa.RecordBatch:
+        """One per part that has items: chunks, their numbers of items, and the items, which keep their order within a chunk."""
+        part, n = np.concatenate(self.parts), len(self.chunks)
+        at = np.repeat(np.arange(n), [len(p) for p in self.parts])
+        order = np.argsort(part, kind="stable")
+        items = [np.concatenate(c)[order] for c in zip(*self.items, strict=True)]
+        part, at = part[order], at[order]
+        spans, numbers = runs(part), np.array(self.chunks, "<u4")
+        blobs = [pack(numbers, np.bincount(at[x:y], minlength=n).astype("<u4"), *(a[x:y] for a in items)) for x, y in spans]
+        return pa.record_batch([pa.array([group] * len(spans), pa.int64()), pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["grp", "part", "asked"])
+
+
+def asks(batches: Iterator[pa.RecordBatch], question: Callable[..., tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ASKED for chunks; question(row) gives the part of each item of a chunk, and the items as arrays."""
+    held, now = _Asked(), None
+    for batch in batches:
+        for row in rows_in(batch):
+            if held.chunks and (row["grp"] != now or held.size > ASKED_BYTES):
+                yield held.rows(now)
+                held = _Asked()
+            now = row["grp"]
+            held.add(row["chunk"], *question(row))
+    if held.chunks:
+        yield held.rows(now)
+
+
+def rows_in(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, one at a time: blobs are large."""
+    for i in range(len(batch)):
+        yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+
+
+def read_asked(table: pa.Table, *kinds: str) -> tuple[list, list[np.ndarray]]:
+    """What was asked of a part: the rows' heads and sizes, and all items."""
+    asked = [unpack(x, "<u4", "<u4", *kinds) for x in table.column("asked").to_pylist()]
+    return [(a[0], a[1], len(a[2])) for a in asked], [np.concatenate(c) for c in list(zip(*asked, strict=True))[2:]]
+
+
+def answer_rows(table: pa.Table, heads: list, *answers: np.ndarray, extra: bytes | None = None) -> pa.Table:
+    """Rows of ANSWER with an answer per item in the order of read_asked; extra is sent to group -1."""
+    part, at, out = table.column("part")[0].as_py(), 0, []
+    for chunk, n, size in heads:
+        out.append(pack(chunk, n, *(a[at : at + size] for a in answers)))
+        at += size
+    groups = table.column("grp").to_pylist()
+    if extra is not None:
+        groups, out = [*groups, -1], [*out, extra]
+    return pa.table([pa.array(groups, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["grp", "part", "answer"])
+
+
+def gathered(answers: DataFrame, name: str) -> DataFrame:
+    """(grp, name): what all parts say to a group."""
+    return answers.groupBy("grp").agg(F.collect_list(F.struct("part", "answer")).alias(name))
+
+
+class Said:
+    """The answers to a group, unpacked once for all its chunks."""
+
+    def __init__(self, *kinds: str):
+        self.kinds, self.group, self.by = kinds, None, {}
+
+    def to(self, row: dict, said: list[dict] | None, part: np.ndarray) -> list[np.ndarray]:
+        """Of each kind, the answers in the order of the chunk's items, whose parts are given as when they were asked."""
+        if self.group != row["grp"]:
+            self.group, self.by = row["grp"], {}
+            for x in said or []:
+                chunk, n, *answers = unpack(x["answer"], "<u4", "<u4", *self.kinds)
+                ends = np.cumsum(n)
+                for c, a, b in zip(chunk.tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+                    if b > a:
+                        self.by[x["part"], c] = [v[a:b] for v in answers]
+        order = np.argsort(part, kind="stable")
+        found = [self.by[int(part[order[x]]), row["chunk"]] for x, _ in runs(part[order])]
+        out = []
+        for k, kind in enumerate(self.kinds):
+            back = np.empty(len(part), kind)
+            back[order] = np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind)
+            out.append(back)
+        return out
 
 
 def answered(table: DataFrame, *answers: DataFrame) -> DataFrame:
-    """The chunks, and in a column for each of the answers its array; null for a chunk without."""
+    """The chunks, and in a column for each of the answers its array; null for a group without."""
     for a in answers:
-        (name,) = (c for c in a.columns if c != "task")
-        table = table.join(a, "task", "left").withColumn(name, F.try_element_at(name, F.col("chunk")))
+        table = table.join(a, "grp", "left")
     return table
-
-
-def ordered_answers(part: np.ndarray, said: list[dict], read) -> np.ndarray:
-    """The answers in the order of the items, whose parts are given as when they were asked."""
-    by = {x["part"]: read(x["answer"]) for x in said or []}
-    order = np.argsort(part, kind="stable")
-    pieces = [by[int(part[order[x]])][: y - x] for x, y in runs(part[order])]
-    out = np.concatenate(pieces) if pieces else np.zeros(0, bool)
-    back = np.empty_like(out)
-    back[order] = out
-    return back

@@ -109,7 +109,7 @@ def _sketch(batches):
                 nodes.append(fingerprint(x) if len(x) else None)
                 sizes.append(len(x))
                 sigs.append(next(made).tobytes() if len(x) else None)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "node", "n", "sig"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "h", "node", "n", "sig"])
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8")])
@@ -170,13 +170,15 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _cell_rows(batches):
-    """Texts to (cell, side, node, weight, shingles), checked against the class they stand for."""
+    """Texts to (cell, side, node, weight, shingles), checked against the class they stand for; rows of one class, once."""
+    done = set()
     for batch in batches:
         rows, sets = [], []
         nodes = batch.column("node").to_pylist()
         for s in tokens.slices(batch.column("text")):
             for i, x in enumerate(shingle_sets(s), s.row0):
-                if len(x) and fingerprint(x) == nodes[i]:
+                if len(x) and nodes[i] not in done and fingerprint(x) == nodes[i]:
+                    done.add(nodes[i])
                     rows.append(i)
                     sets.append(x.tobytes())
         kept = batch.select(["cells", "block", "node", "weight"]).take(pa.array(rows, pa.int64()))
@@ -275,10 +277,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, class_id (the least doc_id of its class), n_links, n_shingles."""
     spark = docs.sparkSession
     storage.bound_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = storage.written(docs.mapInArrow(_sketch, f"doc_id {kind}, node binary, n int, sig binary"), "sketch")
-    classes = storage.written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    rows = storage.written(docs.mapInArrow(_sketch, f"doc_id {kind}, h long, node binary, n int, sig binary"), "sketch")
+    # A class is read back from rows with its least id and, of their texts, the one of least hash.
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "h"))
+    classes = rows.where("n > 0").groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = storage.written(classes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "weight", "n", "sig"), "classes")
     n_classes = classes.count()
     parts = max(storage.shuffle_partitions(spark), n_classes * BANDS // 1_000_000)
 
@@ -297,12 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     packed = F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(n_cells)).cast("string"))
     paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("/", F.hex("group"), F.least(k, "block").cast("string"), F.greatest(k, "block").cast("string")))
-    members = members.select(F.col("rep").alias("_rep"), "node", "weight", "block", F.when(F.col("blocks") == 1, F.array(packed)).otherwise(paired).alias("cells"), "group")
+    members = members.select(F.col("rep").alias("_rep"), F.col("rep_h").alias("_rep_h"), "node", "weight", "block", F.when(F.col("blocks") == 1, F.array(packed)).otherwise(paired).alias("cells"), "group")
     members = storage.written(members.drop("group"), "members")
-    size = members.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("cells", ",")) + 16 * F.size("cells")), F.lit(0))).first()[0]
+    size = members.agg(F.coalesce(F.sum(72 + F.octet_length(F.array_join("cells", ",")) + 16 * F.size("cells")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:  # few candidates: texts need no shuffle
         members = F.broadcast(members)
-    told = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "node", "weight", "block", "cells")
+    told = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("h") == F.col("_rep_h"))).select("text", "node", "weight", "block", "cells")
     entries = told.mapInArrow(_cell_rows, "cells array<string>, block int, node binary, weight long, items binary")
     entries = entries.select(F.explode("cells").alias("cell"), "block", "node", "weight", "items").withColumn("group", F.when(F.col("cell").startswith("c"), F.lit("")).otherwise(F.col("cell")))
     found = storage.written(entries.groupBy("cell").applyInArrow(_cell, "node binary, links long, other binary"), "links")

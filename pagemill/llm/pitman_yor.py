@@ -5,20 +5,23 @@ context with a restaurant of its own; all share one parent, the unigram restaura
 the share ``UNKNOWN`` and splits the rest evenly among the known words.  So the V known words, the end among them, and
 "unknown" are the events, as in the base score.
 
-Seating is sampled: customers are first seated one by one, then a Gibbs sweep takes every customer of every dish out in
-turn and seats it again; of dishes with more than ``BY_ONE`` customers it draws the number of tables from its
-conditional, by Metropolis steps, since predictions need no more.  A gamma variable of each restaurant, drawn once a
-sweep given its tables, makes its dishes independent of each other, so that they are sampled in parallel.  Tables of the
-context restaurants are the parent's customers, seated alike.  Contexts and parent are sampled in turn, ``ROUNDS`` times
-and the contexts once more; predictive probabilities are averaged over the last sweeps.  Contexts see the parent's
-predictive probabilities of the turn before.
-
-1. Chunks of documents ask for the training counts of their words; the answers number the known words.
-2. Each chunk sends its token pairs, combined, with the documents that have them, to the part of their context.  A
-   context of more than ``HOT`` training tokens is split by the following word over several parts.
-3. Parts seat their restaurants, first under a rough parent, then under the last one, and send table counts by word (and
-   those of split contexts).  The parent's parts add these up, seat them, and answer.
-4. Parts seat their restaurants again under the sampled parent, average the predictive probabilities of their pairs,
+The seating is sampled by Gibbs sweeps over the whole hierarchy.  Predictions need of a dish's seating only its number of
+tables, so a sweep draws that: a gamma variable of each restaurant, given its tables, makes its dishes independent, and
+the number of tables of a dish of c customers then has the weight (d x base)^t S(c, t), with S the generalised Stirling
+numbers.  It is drawn from this law itself for c up to ``BY_COUNT`` and by ``STEPS`` steps of an independence sampler
+above.  The tables of all contexts are the parent's customers, seated alike; the next sweep draws the contexts under the
+parent that these made.  The seating starts with every dish at one table.  Predictive probabilities are averaged over the
+last ``SAMPLES`` of ``BURN_IN + SAMPLES`` sweeps.
+
+Every random number is a hash of what it is for (sweep, context, word), and counts and sums are integers (scores add
+log10 probabilities rounded to 2^-20), so a score depends on the rows alone, not on partitions, parts or chunks.
+
+1. Chunks of documents ask for the training counts of their words; the answers number the known words, by count and name.
+2. Each chunk sends its token pairs, combined, with the documents that have them, to the part of their context.  The pairs
+   of a context of more than ``HOT`` training tokens are dealt by the following word over several parts.
+3. In each sweep, parts draw their dishes' tables and send tables by word and by context to the parent's parts, which add
+   them up, seat the words in the parent, and answer.  Tables of a context are added up there wherever its pairs lie.
+4. Parts draw the last sweeps' tables again, from the same numbers, average the predictive probabilities of their pairs,
    and return one sum of logarithms per document.
 
 Defined results: a null text is empty and has one token, the end; a null doc_id is not held out; repeated rows count
@@ -28,6 +31,9 @@ table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,13 +46,13 @@ from pagemill.llm.toxicity import _LOWER
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 10.0
 UNKNOWN = 0.9  # how often a new type is an unknown word
-BURN_IN, SAMPLES = 3, 3
-ROUNDS = 2  # turns of contexts and parent before the last seating
-STEPS = 12  # Metropolis steps of a large dish in a sweep
+BURN_IN, SAMPLES = 3, 2
+BY_COUNT = 256  # customers of a dish whose number of tables is drawn from its law
+STEPS = 12  # of the sampler of larger dishes
 HOT = 4_000_000
 CHUNK_BYTES = 6 << 20
-BY_ONE = 256  # customers of a dish that are seated one by one; more are seated in blocks between new tables
 TOKENS_PER_PART = 1_000_000
+SCALE = 1 << 20  # of a log10 probability in a sum
 
 _END = np.uint64(0x454E44)
 NONE, START, FIRST = 0, 1, 2  # numbers of the unknown word and the start; known words from FIRST on
@@ -68,7 +74,7 @@ def log_ways(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log(S(c, t) d^t / c!) of the generalised Stirling numbers of discount d: the weight of seating c customers at t tables.
 
     That is log([z^c] (1 - (1 - z)^d)^t / t!), an integral over z = exp(-s) on a parabola through the saddle point; for
-    c over BY_ONE it is right to 1e-6.
+    c over BY_COUNT it is right to 1e-6.
     """
     c, t = c.astype(float), t.astype(float)
     low, high = np.full(len(c), -60.0), np.full(len(c), 3.0)  # of log s
@@ -92,116 +98,92 @@ def log_ways(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.where(t == c, c * np.log(d), np.log(np.maximum(total, 1e-300)) + at0[:, 0]) - _log_gamma(t + 1)
 
 
-class Seating:
-    """Restaurants of one level: dishes with c customers each, of restaurant `at`, under parent probabilities `base`.
+def uniforms(step: int, *keys: np.ndarray | int) -> np.ndarray:
+    """Numbers in (0, 1), fixed by a step and the keys."""
+    x = np.uint64(step)
+    for k in keys:
+        x = tokens.mix((np.asarray(k).astype(np.uint64) ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
-    extra: tables of each restaurant that are kept elsewhere (of split contexts).
-    """
 
-    def __init__(self, rng, c: np.ndarray, at: np.ndarray, n_at: int, base: np.ndarray, discount: float, strength: float, extra: np.ndarray | None = None):
-        self.rng, self.d, self.s = rng, discount, strength
-        self.tables = (c > 0).astype(np.int64)
-        self.total = np.bincount(at, self.tables, n_at) + (0 if extra is None else extra)
-        order = np.flatnonzero(c > 1)
-        self.dish = order = order[np.argsort(-c[order], kind="stable")]
-        self.c, self.at, self.base = c[order], at[order], base[order]
-        held = np.minimum(self.c, BY_ONE)
-        self.off = np.concatenate([[0], np.cumsum(held)])[:-1].astype(np.int64)
-        room = int(held.sum())
-        self.seat, self.size = np.zeros(room, np.int16), np.zeros(room, np.int32)
-        self.t = np.ones(len(order), np.int64)
-        self.size[self.off] = 1
-        for j in range(1, int(held[0]) if len(held) else 0):
-            n = int(np.searchsorted(-held, -j, "left"))  # dishes with more than j customers come first
-            i = np.arange(n)
-            new = self._sit(i, j, (self.s + self.d * self.total[self.at[:n]]) * self.base[:n], j, self.t[:n].copy())
-            np.add.at(self.total, self.at[:n][new], 1)
-        # Labels without a table, a stack for each dish.
-        self.spare = (np.repeat(self.off + held - 1, held) - np.arange(room)).astype(np.int16)
-        self.spares = held - self.t
-        self.large = np.flatnonzero(self.c > BY_ONE)
-        self.small = np.arange(len(self.large), len(self.c))
-        for i in self.large:
-            self._rest(int(i))
-        self.tables[self.dish] = self.t
-
-    def _sit(self, i: np.ndarray, place: int, a: np.ndarray, others, label: np.ndarray, among=None) -> np.ndarray:
-        """Seats customer `place` of each dish i with `others`, at a new table of the given label by weight a.  Which opened one.
-
-        among: of how many places one is taken by chance to find a table; `others` if not given.
-        """
-        new = self.rng.random(len(i)) * (a + others - self.d * self.t[i]) < a
-        k = i[new]
-        self.seat[self.off[k] + place] = label[new]
-        self.size[self.off[k] + label[new]] = 1
-        self.t[k] += 1
-        left = i[~new]
-        n = np.full(len(left), others) if among is None else among[~new]
-        while len(left):
-            off = self.off[left]
-            other = (self.rng.random(len(left)) * n).astype(np.int64)
-            table = self.seat[off + other]
-            size = self.size[off + table]
-            ok = (other != place) & (self.rng.random(len(left)) * size < size - self.d)
-            self.seat[off[ok] + place] = table[ok]
-            self.size[off[ok] + table[ok]] += 1
-            left, n = left[~ok], n[~ok]
-        return new
-
-    def _rest(self, i: int) -> None:
-        """The customers of a dish beyond BY_ONE: the gap to the next new table is drawn, not walked."""
-        j, c, t, at = float(BY_ONE), float(self.c[i]), int(self.t[i]), self.at[i]
-        while j < c:
-            a = (self.s + self.d * self.total[at]) * self.base[i]
-            gap = (j - self.d * t) * np.expm1(min(700.0, -np.log(self.rng.random()) / a))
-            j += min(c - j, np.floor(gap))
-            if j < c:
-                j, t = j + 1, t + 1
-                self.total[at] += 1
-        self.t[i] = t
-
-    def sweep(self) -> None:
-        """Every customer leaves and is seated again, one after another in a dish; large dishes draw their numbers of tables.
-
-        With x of a restaurant ~ Gamma(s / d + tables), a new table of a dish has the weight d x base, whatever the others have.
-        """
-        before = self.t.copy()
-        x = self.rng.gamma(self.s / self.d + self.total)[self.at]
-        a = self.d * x * self.base
-        if len(self.small):
-            lead = self.small[0]
-            for j in range(int(self.c[lead])):
-                i = self.small[: int(np.searchsorted(-self.c[lead:], -j, "left"))]
-                off = self.off[i]
-                label = self.seat[off + j]
-                self.size[off + label] -= 1
-                gone = self.size[off + label] == 0
-                k = i[gone]
-                self.t[k] -= 1
-                self.spare[self.off[k] + self.spares[k]] = label[gone]
-                self.spares[k] += 1
-                # Some label is free: the others have at most one table each.
-                new = self._sit(i, j, a[i], self.c[i] - 1, self.spare[off + self.spares[i] - 1], self.c[i])
-                self.spares[i[new]] -= 1
-        if len(self.large):
-            self._draw(x[self.large] * self.base[self.large])
-        np.add.at(self.total, self.at, self.t - before)
-        self.tables[self.dish] = self.t
-
-    def _draw(self, rate: np.ndarray) -> None:
-        """Metropolis steps of all sizes on the number t of tables of each large dish, of weight rate^t exp(log_ways)."""
-        c, t = self.c[self.large], self.t[self.large]
-        log_rate = np.log(rate)
-        now = t * log_rate + log_ways(c, t, self.d)
-        for _ in range(STEPS):
-            width = np.exp(self.rng.random(len(c)) * (0.5 * np.log(c) + 1))
-            to = t + (1 + self.rng.exponential(width).astype(np.int64)) * np.where(self.rng.random(len(c)) < 0.5, 1, -1)
-            can = (to >= 1) & (to <= c)
-            to = np.where(can, to, t)
-            then = to * log_rate + log_ways(c, to, self.d)
-            go = can & (np.log(self.rng.random(len(c))) < then - now)
-            t, now = np.where(go, to, t), np.where(go, then, now)
-        self.t[self.large] = t
+def gammas(shape: np.ndarray, step: int, key: np.ndarray) -> np.ndarray:
+    """A gamma variable of each shape, of at least 1, by Marsaglia and Tsang's method."""
+    out, left = np.zeros(len(shape)), np.arange(len(shape))
+    d = shape - 1 / 3
+    for turn in itertools.count():
+        if not len(left):
+            return out
+        u, v, w = (uniforms(step, key[left], 3 * turn + k) for k in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = np.maximum(1 + x / np.sqrt(9 * d[left]), 0) ** 3
+        ok = (cube > 0) & (np.log(w) < 0.5 * x * x + d[left] * (1 - cube + np.log(np.maximum(cube, 1e-300))))
+        out[left[ok]] = d[left[ok]] * cube[ok]
+        left = left[~ok]
+
+
+@functools.cache
+def small_ways(discount: float) -> list[np.ndarray]:
+    """For c up to BY_COUNT: log(S(c, t) d^t), t from 1, by the recurrence."""
+    ways = [np.zeros(0), np.array([np.log(discount)])]
+    for c in range(1, BY_COUNT):
+        t = np.arange(1, c + 1)
+        stay = np.append(ways[-1] + np.log(c - discount * t), -np.inf)
+        ways.append(np.logaddexp(stay, np.append(-np.inf, ways[-1]) + np.log(discount)))
+    return ways
+
+
+def draw_tables(c: np.ndarray, rate: np.ndarray, discount: float, step: int, *keys: np.ndarray) -> np.ndarray:
+    """The number of tables of each dish of c customers, of weight rate^t S(c, t) d^t; the keys tell dishes apart."""
+    tables = np.minimum(c, 1).astype(np.int64)
+    at = np.flatnonzero((c > 1) & (c <= BY_COUNT))
+    at = at[np.argsort(c[at], kind="stable")]
+    log_rate, u = np.log(rate[at]), uniforms(step, *(k[at] for k in keys))
+    for a, b in chunks.runs(c[at]):
+        n = int(c[at[a]])
+        for x in range(a, b, max(1, (1 << 20) // n)):
+            y = min(b, x + max(1, (1 << 20) // n))
+            weight = small_ways(discount)[n] + np.arange(1, n + 1) * log_rate[x:y, None]
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+            tables[at[x:y]] = 1 + (weight < u[x:y, None] * weight[:, -1:]).sum(1)
+    at = np.flatnonzero(c > BY_COUNT)
+    if len(at):
+        tables[at] = _draw_large(c[at], rate[at], discount, step, *(k[at] for k in keys))
+    return tables
+
+
+def _draw_large(c: np.ndarray, rate: np.ndarray, discount: float, step: int, *keys: np.ndarray) -> np.ndarray:
+    """As draw_tables, by an independence sampler: proposals from a logistic law about the mode, which start there.
+
+    rate^t S(c, t) d^t / c! is the c-th coefficient of (rate (1 - (1 - z)^d))^t / t!, so t is Poisson with c given; z and
+    the spread of t are those of the tilted law whose mean of c is right.
+    """
+    c = c.astype(float)
+    low, high = np.full(len(c), -600.0), np.zeros(len(c))  # of y = log(1 - z)
+    for _ in range(70):
+        mid = (low + high) / 2
+        more = np.log(rate * discount) + np.log(np.maximum(-np.expm1(mid), 1e-300)) + (discount - 1) * mid > np.log(c)
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    y = (low + high) / 2
+    middle = np.clip(rate * -np.expm1(discount * y), 1, c)
+    spread = c + np.exp(np.minimum(np.log(rate * discount * (1 - discount)) + 2 * np.log(np.maximum(-np.expm1(y), 1e-300)) + (discount - 2) * y, 600.0))
+    width = 0.65 * np.sqrt(np.maximum(middle - c * c / spread, 0.3))
+    edge = lambda x: 0.5 * (1 + np.tanh(0.5 * np.clip((x - middle) / width, -500, 500)))
+
+    def value(t):
+        tail = np.where(t > middle, edge(2 * middle - t + 0.5) - edge(2 * middle - t - 0.5), edge(t + 0.5) - edge(t - 0.5))
+        return t * np.log(rate) + log_ways(c, t, discount) - np.log(np.maximum(tail, 1e-300))
+
+    t = np.clip(np.round(middle), 1, c)
+    now = value(t)
+    for k in range(STEPS):
+        u = uniforms(step, *keys, 2 * k)
+        to = np.round(middle + width * (np.log(u) - np.log1p(-u)))
+        can = (to >= 1) & (to <= c)
+        to = np.where(can, to, t)
+        then = value(to)
+        go = can & (np.log(uniforms(step, *keys, 2 * k + 1)) < then - now)
+        t, now = np.where(go, to, t), np.where(go, then, now)
+    return t.astype(np.int64)
 
 
 # -- step 1: words ----------------------------------------------------------------------------------------------------
@@ -231,35 +213,84 @@ class Chunk:
         self.words, self.index = np.unique(self.hashes, return_inverse=True)
 
 
+def _range(words: np.ndarray, parts: int) -> np.ndarray:
+    """Parts as ranges of names, so that numbers do not depend on how many there are."""
+    return (((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+
+
+def _classes(c: np.ndarray) -> np.ndarray:
+    """The binary order of magnitude of a count, from 1; 0 for none."""
+    return np.frexp(c.astype(float))[1] * (c > 0)
+
+
 def _count_words(table: pa.Table) -> pa.Table:
-    asked = [chunks.unpack(x, "<u8", "<u4") for x in table.column("asked").to_pylist()]
-    words, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    c = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
-    known = c > 0
-    number = np.zeros(len(words), np.int64)  # from 1, frequent words first, so that most numbers are small; 0 for unknown words
-    number[np.argsort(-c, kind="stable")[: known.sum()]] = np.arange(1, known.sum() + 1)
-    sizes = [len(a[0]) for a in asked]
-    out = [chunks.pack(number[i].astype("<u8"), c[i].astype("<u8")) for i in np.split(inverse, np.cumsum(sizes)[:-1])]
-    part = table.column("part")[0].as_py()
-    stats = chunks.pack(np.array([known.sum(), c.sum()], "<i8"))
-    return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), pa.array([part] * (len(out) + 1), pa.int32()), pa.array([*out, stats], pa.binary())], ["chunk", "part", "answer"])
+    """Counts, and the place of each known word among those of its magnitude here, in the order of names."""
+    heads, (asked, n) = chunks.read_asked(table, "<u8", "<u4")
+    words, inverse = np.unique(asked, return_inverse=True)
+    c = np.bincount(inverse, n, len(words)).astype(np.int64)
+    kind = _classes(c)
+    sizes = np.bincount(kind, minlength=64)
+    order = np.argsort(kind, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[kind[order]]
+    sizes[0] = c.sum()  # the tokens, in the place of the unknown words
+    stats = table.column("part")[0].as_py().to_bytes(4, "little") + chunks.pack(sizes.astype("<i8"))
+    return chunks.answer_rows(table, heads, place[inverse].astype("<u8"), c[inverse].astype("<u8"), extra=stats)
+
+
+def _numbering(stats: list[bytes], parts: int) -> tuple[np.ndarray, int, int]:
+    """By magnitude and part, the number of the first word there, frequent ones first; V; and N."""
+    sizes = np.zeros((64, parts), np.int64)
+    for x in stats:
+        sizes[:, int.from_bytes(x[:4], "little")] = chunks.unpack(x[4:], "<i8")[0]
+    n, sizes[0] = int(sizes[0].sum()), 0
+    falling = sizes[::-1].ravel()
+    return (np.cumsum(falling) - falling).reshape(64, parts)[::-1] + FIRST, int(falling.sum()), n
 
 
 # -- step 2: pairs ----------------------------------------------------------------------------------------------------
 
 
-def _pair_rows(chunk: int, c: Chunk, said: list[dict], parts: int, pair_parts: int, n: int, v: int):
-    part = _part(c.words, parts)
-    number = chunks.ordered_answers(part, said, lambda x: chunks.unpack(x, "<u8", "<u8")[0]).astype(np.int64)
-    count = chunks.ordered_answers(part, said, lambda x: chunks.unpack(x, "<u8", "<u8")[1]).astype(np.int64)
-    ids = np.where(number > 0, (number - 1) * parts + part + FIRST, NONE)
+class _Sent:
+    """The pairs of chunks of one group, until they are sent."""
+
+    def __init__(self):
+        self.chunks, self.pairs, self.docs, self.size = [], [], [], 0
+
+    def add(self, chunk: int, pairs: list[np.ndarray], docs: np.ndarray) -> None:
+        """pairs: part, context, word, customers of the context, training count, times; docs: of every time, in that order."""
+        self.chunks.append(chunk)
+        self.pairs.append(pairs)
+        self.docs.append(docs)
+        self.size += sum(a.nbytes for a in pairs) + docs.nbytes
+
+    def rows(self):
+        n = len(self.chunks)
+        part, u, w, cu, c, times = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        at = np.repeat(np.arange(n), [len(p[0]) for p in self.pairs])
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(times.astype(np.int64))
+        docs, size = np.concatenate(self.docs), times[order].astype(np.int64)
+        first = np.repeat((ends - times)[order] - (np.cumsum(size) - size), size)
+        docs = docs[first + np.arange(len(docs))]
+        part, u, w, cu, c, times, at = (x[order] for x in (part, u, w, cu, c, times, at))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        numbers = np.array(self.chunks, "<u4")
+        for x, y in chunks.runs(part):
+            sizes = np.bincount(at[x:y], minlength=n)
+            step = lambda a: np.diff(a[x:y].astype("<u8"), prepend=np.uint64(0))  # noqa: B023, E731
+            yield int(part[x]), chunks.pack(numbers, sizes.astype("<u4"), step(u), w[x:y].astype("<u8"), step(cu), c[x:y].astype("<u4"), times[x:y].astype("<u4"), docs[ends[x] : ends[y]].astype("<u4"))
+
+
+def _chunk_pairs(c: Chunk, place: np.ndarray, count: np.ndarray, offsets: np.ndarray, parts: int, pair_parts: int, n: int, v: int):
+    """A chunk's row of ids and counts of its documents; and its pairs, as _Sent takes them."""
+    ids = np.where(count > 0, offsets[_classes(count), _range(c.words, parts)] + place, NONE)
     train_docs = int(count[np.searchsorted(c.words, _END)])
 
     first = np.concatenate([[0], c.ends[:-1] + 1])
     per = count[c.index]
     base = np.add.reduceat(np.log10((per + 0.5) / (n + 0.5 * (v + 1))), first)
     info = chunks.pack(np.diff(np.append(first, len(per))).astype("<i8"), np.add.reduceat((per > 0).astype("<i8"), first), base)
-    ids_batch = chunks._seal(c.batch.select(["doc_id", "held_out"]))
 
     w = ids[c.index]
     u, cu = np.empty_like(w), np.empty_like(per)
@@ -271,241 +302,280 @@ def _pair_rows(chunk: int, c: Chunk, said: list[dict], parts: int, pair_parts: i
     new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
     lead = np.flatnonzero(new)
     times = np.diff(np.append(lead, len(u)))
-    u, w, cu = u[lead], w[lead], cu[lead]
+    trained = np.add.reduceat((doc < c.n_train).astype(np.int64), lead)
+    u, w, cu = u[lead], w[lead], np.where(u[lead] == NONE, 0, cu[lead])
     ways = np.maximum(1, -(-cu // HOT))
-    key = np.where(u == NONE, w, u * 1024 + np.where(ways > 1, (tokens.mix(w.astype(np.uint64)) % ways.astype(np.uint64)).astype(np.int64), 0))
-    target = _part(key.astype(np.uint64), pair_parts)
-    order = np.argsort(target, kind="stable")
-    doc_of = np.repeat(np.arange(len(lead)), times)
-    rank = np.empty(len(lead), np.int64)
-    rank[order] = np.arange(len(lead))
-    doc = doc[np.argsort(rank[doc_of], kind="stable")]
-    u, w, cu, times, target = u[order], w[order], cu[order], times[order], target[order]
-    at = np.concatenate([[0], np.cumsum(times)])
-    rows = [
-        (int(target[x]), chunks.pack(np.diff(u[x:y], prepend=0).astype("<i8"), w[x:y].astype("<u8"), cu[x:y].astype("<u8"), times[x:y].astype("<u4"), doc[at[x] : at[y]].astype("<u4"), np.array([c.n_train], "<u4")))
-        for x, y in chunks.runs(target)
-    ]
-    yield pa.record_batch([pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([-1 - chunk % (1 << 30), *(p for p, _ in rows)], pa.int32()), pa.array([ids_batch, *(b for _, b in rows)], pa.binary()), pa.array([info, *[None] * len(rows)], pa.binary())], ["chunk", "part", "asked", "info"])
-
-
-class Restaurants:
+    deal = np.where(ways > 1, (tokens.mix(w.astype(np.uint64)) % ways.astype(np.uint64)).astype(np.int64), 0)
+    part = _part(np.where(u == NONE, tokens.mix(w.astype(np.uint64)), tokens.mix(u.astype(np.uint64)) + deal.astype(np.uint64)), pair_parts)
+    wide = np.int64 if max(v, int(cu.max())) >> 31 else np.int32
+    return info, [part, u.astype(wide), w.astype(wide), cu.astype(wide), trained.astype(np.int32), times.astype(np.int32)], doc.astype(np.int32)
+
+
+class Pairs:
     """What all chunks sent to a part, merged; the same however the rows arrive."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by("chunk")
-        self.chunks = table.column("chunk").to_pylist()
-        got = [chunks.unpack(x, "<i8", "<u8", "<u8", "<u4", "<u4", "<u4") for x in table.column("asked").to_pylist()]
-        u = np.concatenate([np.cumsum(g[0]) for g in got])
-        w = np.concatenate([g[1] for g in got]).astype(np.int64)
-        cu = np.concatenate([g[2] for g in got]).astype(np.int64)
+        self.groups = table.column("grp").to_pylist()
+        got = [chunks.unpack(x, "<u4", "<u4", "<u8", "<u8", "<u8", "<u4", "<u4", "<u4") for x in table.column("asked").to_pylist()]
+        u, w, cu, c = (np.concatenate(x).astype(np.int64) for x in zip(*((np.cumsum(g[2]), g[3], np.cumsum(g[4]), g[5]) for g in got), strict=True))
         order = np.lexsort((w, u))
         new = np.ones(len(order), bool)
         new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
-        self.pairs, self.times, self.docs = np.split(pair, np.cumsum([len(g[0]) for g in got])[:-1]), [g[3] for g in got], [g[4] for g in got]
-        trained = np.concatenate([np.add.reduceat((g[4] < g[5][0]).astype(np.int64), np.concatenate([[0], np.cumsum(g[3].astype(np.int64))[:-1]])) for g in got])
+        self.sent = [(g[0], g[1], p, g[6], g[7]) for g, p in zip(got, np.split(pair, np.cumsum([len(g[3]) for g in got])[:-1]), strict=True)]
         lead = order[new]
-        self.w, self.c = w[lead], np.bincount(pair, trained, len(lead)).astype(np.int64)
-        self.contexts, self.at = np.unique(u[lead], return_inverse=True)
-        self.customers = np.zeros(len(self.contexts), np.int64)  # of each context, wherever they sit
-        self.customers[self.at] = cu[lead]
-        self.customers[self.contexts == NONE] = 0
-        self.split = (self.customers > HOT) & (self.contexts != NONE)
-        self.words, self.word = np.unique(self.w, return_inverse=True)
+        words, contexts = np.unique(w[lead]), np.unique(u[lead])
+        customers = np.zeros(len(contexts), np.int64)
+        customers[np.searchsorted(contexts, u[lead])] = cu[lead]
+        self.seats = Seats(words, contexts, customers, np.searchsorted(contexts, u[lead]), np.searchsorted(words, w[lead]), np.bincount(pair, c, len(lead)).astype(np.int64))
 
+    def sums(self, log: np.ndarray):
+        """(group, chunk, packed document numbers and sums) of the integers log, one per pair."""
+        for group, (numbers, sizes, pair, times, docs) in zip(self.groups, self.sent, strict=True):
+            a = x = 0
+            for chunk, size in zip(numbers.tolist(), sizes.tolist(), strict=True):
+                if size:
+                    b, y = a + size, x + int(times[a : a + size].sum(dtype=np.int64))
+                    total = np.bincount(docs[x:y], np.repeat(log[pair[a:b]].astype(float), times[a:b]))
+                    some = np.flatnonzero(total)
+                    yield group, chunk, chunks.pack(some.astype("<u4"), total[some].astype("<i8"))
+                    a, x = b, y
 
-def _seed(part: int, step: int):
-    return np.random.default_rng([20, step, part])
 
+# -- step 3: sweeps ---------------------------------------------------------------------------------------------------
 
-def _rough(r: Restaurants, v: int) -> tuple[Seating, np.ndarray]:
-    """The first seating, under a parent read off the part's own tokens."""
-    of_word = np.bincount(r.word, r.c, len(r.words))
-    base = (of_word + 0.5) / (of_word.sum() + 0.5 * (v + 1))
-    ways = np.maximum(1, -(-r.customers // HOT))
-    own = np.bincount(r.at, r.c > 0, len(r.contexts))
-    return base[r.word], own * (ways - 1)
 
+class Seats:
+    """A part's words, contexts (with all their customers, wherever these sit), and pairs with training counts."""
 
-def parent_probability(words: np.ndarray, customers: np.ndarray, tables: np.ndarray, v: int, all_customers: int, all_tables: int) -> np.ndarray:
-    """The unigram restaurant's predictive probability; customers and tables are those of the words there."""
-    unknown = words == NONE
-    share = np.where(unknown, UNKNOWN if v else 1.0, (1 - UNKNOWN) / max(1, v))
-    own = np.where(unknown, 0.0, customers - ROOT_DISCOUNT * tables)
-    return (np.maximum(own, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) * share) / (ROOT_STRENGTH + all_customers)
+    KINDS = ("<i8",) * 3 + ("<i4", "<i4", "<i8")
 
+    def __init__(self, words, contexts, customers, at, word, c):
+        self.words, self.contexts, self.customers, self.at, self.word, self.c = words, contexts, customers, at, word, c
+        self.keys = np.concatenate([2 * words, 2 * contexts + 1])
+        self.order = np.argsort(self.keys)
 
-def averaged(r: Restaurants, seating: Seating, base: np.ndarray) -> np.ndarray:
-    """Sweeps, and the mean predictive probability of each pair over the last of them."""
-    p = np.zeros(len(r.c))
-    for k in range(BURN_IN + SAMPLES):
-        seating.sweep()
-        if k >= BURN_IN:
-            p += (np.maximum(r.c - DISCOUNT * seating.tables, 0) + (STRENGTH + DISCOUNT * seating.total[r.at]) * base) / (STRENGTH + r.customers[r.at])
-    return p / SAMPLES
+    def packed(self) -> bytes:
+        """Without the pairs that no training text has; all words and contexts stay."""
+        some = np.flatnonzero(self.c)
+        return chunks.pack(*(x.astype(k) for x, k in zip((self.words, self.contexts, self.customers, self.at[some], self.word[some], self.c[some]), self.KINDS, strict=True)))
 
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Seats:
+        return cls(*chunks.unpack(blob, *cls.KINDS))
 
-def _base(r: Restaurants, said: list[dict], v: int, roots: int, customers: int, root_tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled parent's probability of each pair's word, and the tables that split contexts have in other parts."""
-    keys = np.concatenate([r.words * 2, r.contexts[r.split] * 2 + 1])
-    target = _part((keys >> 1).astype(np.uint64), roots)
-    t, tables = (chunks.ordered_answers(target, said, lambda x, k=k: chunks.unpack(x, "<u8", "<u8")[k]).astype(np.int64) for k in (0, 1))
-    n = len(r.words)
-    extra = np.zeros(len(r.contexts))
-    extra[r.split] = tables[n:]
-    return parent_probability(r.words, t[:n], tables[:n], v, customers, root_tables)[r.word], extra
+    def draw(self, step: int, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The pairs' tables of a sweep, given those of their contexts and the words' parent probabilities before it."""
+        x = gammas(STRENGTH / DISCOUNT + tables, 4 * step, self.contexts)
+        return draw_tables(self.c, x[self.at] * base[self.word], DISCOUNT, 4 * step + 1, self.contexts[self.at], self.words[self.word])
 
+    def told(self, part: int, tables: np.ndarray, roots: int) -> pa.Table:
+        """Tables by word and by context, for the parent's parts."""
+        value = np.concatenate([np.bincount(self.word, tables, len(self.words)), np.bincount(self.at, tables, len(self.contexts))])[self.order]
+        keys = self.keys[self.order]
+        root = _part((keys >> 1).astype(np.uint64), roots)
+        order = np.argsort(root, kind="stable")
+        spans = chunks.runs(root[order])
+        blobs = [chunks.pack(np.diff(keys[order[x:y]].astype("<u8"), prepend=np.uint64(0)), value[order[x:y]].astype("<u8")) for x, y in spans]
+        return pa.table([pa.array([part] * len(spans), pa.int32()), pa.array([int(root[order[x]]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["part", "root", "asked"])
 
-def _tables(v: int, roots: int, turn: int = 0, customers: int = 0, root_tables: int = 0):
-    """Seats a part, under the rough parent in the first turn and the sampled one later, and sends table counts."""
+    def heard(self, said: list[dict], roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parent's customers and tables of each word, and the tables of each context."""
+        root = _part((self.keys[self.order] >> 1).astype(np.uint64), roots)
+        order = self.order[np.argsort(root, kind="stable")]
+        by = sorted((x["root"], x["answer"]) for x in said)
+        found = [np.concatenate(x).astype(np.int64) for x in zip(*(chunks.unpack(a, "<u8", "<u8") for _, a in by), strict=True)]
+        values = np.zeros((2, len(self.keys)), np.int64)
+        values[:, order] = found
+        n = len(self.words)
+        return values[0, :n], values[1, :n], values[0, n:]
 
-    def seated(table: pa.Table, said: list[dict] | None) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        r = Restaurants(table)
-        base, extra = _rough(r, v) if said is None else _base(r, said, v, roots, customers, root_tables)
-        seating = Seating(_seed(part, 10 * turn + 1), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
-        for _ in range(BURN_IN):
-            seating.sweep()
-        t = np.bincount(r.word, seating.tables, len(r.words)).astype(np.int64)
-        own = np.bincount(r.at, seating.tables, len(r.contexts)).astype(np.int64)
-        key = np.concatenate([r.words * 2, r.contexts[r.split] * 2 + 1])
-        value = np.concatenate([t, own[r.split]])
-        out = chunks.dealt(part, _part((key >> 1).astype(np.uint64), roots), key.astype("<u8"), value.astype("<u8"))
-        return pa.Table.from_batches([out])
-
-    def first(table: pa.Table) -> pa.Table:
-        return seated(table, None)
-
-    def again(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["chunk", "part", "asked"])
-        return seated(left, right.column("said")[0].as_py() if len(right) else [])
 
-    return again if turn else first
+class Parent:
+    """The unigram restaurant after a sweep, as far as all parts know it: V, its customers and its tables."""
 
+    def __init__(self, v: int, customers: int, tables: int):
+        self.v, self.customers, self.tables = v, customers, tables
 
-def _parent(v: int, turn: int = 0, root_tables: int = 0):
-    """Adds up tables by word, seats them in the parent, and answers with customers and tables there.
+    def share(self) -> float:
+        return (1 - UNKNOWN) / max(1, self.v)
 
-    For a split context it answers with its tables, and with those of them that the asking part has not.
-    """
+    def draw(self, step: int, words: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """Each word's tables in the next seating, with these customers; self.tables are those of the one before."""
+        x = gammas(np.array([ROOT_STRENGTH / ROOT_DISCOUNT + self.tables]), 4 * step + 2, np.zeros(1, np.int64))
+        return draw_tables(customers, np.full(len(words), x[0] * self.share()), ROOT_DISCOUNT, 4 * step + 3, words)
+
+    def probability(self, words: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The predictive probability of words with these customers and tables."""
+        unknown = words == NONE
+        share = np.where(unknown, UNKNOWN if self.v else 1.0, self.share())
+        own = np.where(unknown, 0.0, customers - ROOT_DISCOUNT * tables)
+        return (np.maximum(own, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * self.tables) * share) / (ROOT_STRENGTH + self.customers)
+
+
+TOLD = "part int, root int, asked binary"
+
+
+def _open(roots: int):
+    """Merges a part's pairs, and tells the first seating: every dish at one table."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
         part = table.column("part")[0].as_py()
+        seats = Pairs(table).seats
+        told = seats.told(part, np.minimum(seats.c, 1), roots)
+        own = pa.table([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([seats.packed()], pa.binary())], ["part", "root", "asked"])
+        return pa.concat_tables([own, told])
+
+    return run
+
+
+def _sweep(roots: int, step: int, parent: Parent):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.schema([("part", pa.int32()), ("root", pa.int32()), ("asked", pa.binary())]).empty_table()
+        seats = Seats.unpacked(left.column("asked")[0].as_py())
+        customers, tables, own = seats.heard(right.column("said")[0].as_py(), roots)
+        return seats.told(left.column("part")[0].as_py(), seats.draw(step, own, parent.probability(seats.words, customers, tables)), roots)
+
+    return run
+
+
+def _seat_parent(step: int, parent: Parent):
+    """Adds up tables by word and context, seats the words in the parent, and answers with customers and tables."""
+
+    def run(table: pa.Table) -> pa.Table:
+        root = table.column("root")[0].as_py()
         asked = [chunks.unpack(x, "<u8", "<u8") for x in table.column("asked").to_pylist()]
-        keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        t = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
-        word = (keys % 2 == 0) & (keys != NONE)
-        # One restaurant over all parts: its other tables number one per known word at first, then as many as in the turn before.
-        n = int((t[word] > 0).sum())
-        base = np.full(len(keys), (1 - UNKNOWN) / max(1, v))
-        seating = Seating(_seed(part, 10 * turn + 2), np.where(word, t, 0), np.zeros(len(keys), np.int64), 1, base, ROOT_DISCOUNT, ROOT_STRENGTH, np.array([max(0, v - n) * (root_tables / v if turn and v else 1.0)], float))
-        for _ in range(BURN_IN):
-            seating.sweep()
-        sizes = [len(a[0]) for a in asked]
-        out = [
-            chunks.pack(t[i].astype("<u8"), np.where(keys[i] % 2 == 1, t[i] - a[1].astype(np.int64), seating.tables[i]).astype("<u8"))
-            for a, i in zip(asked, np.split(inverse, np.cumsum(sizes)[:-1]), strict=True)
-        ]
-        stats = chunks.pack(np.array([t[word].sum(), seating.tables[word].sum()], "<i8"))
-        return pa.table([pa.array([*table.column("chunk").to_pylist(), -1], pa.int64()), pa.array([part] * (len(out) + 1), pa.int32()), pa.array([*out, stats], pa.binary())], ["chunk", "part", "answer"])
+        keys, inverse = np.unique(np.concatenate([np.cumsum(a[0]) for a in asked]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
+        word = np.flatnonzero((keys % 2 == 0) & (keys != 2 * NONE))
+        tables = np.zeros(len(keys), np.int64)
+        tables[word] = parent.draw(step, keys[word] >> np.uint64(1), n[word])
+        out = [chunks.pack(n[i].astype("<u8"), tables[i].astype("<u8")) for i in np.split(inverse, np.cumsum([len(a[0]) for a in asked])[:-1])]
+        stats = chunks.pack(np.array([n[word].sum(), tables[word].sum()], "<i8"))
+        return pa.table([pa.array([*table.column("part").to_pylist(), -1], pa.int32()), pa.array([root] * (len(out) + 1), pa.int32()), pa.array([*out, stats], pa.binary())], ["part", "root", "answer"])
 
     return run
 
 
-def _sums(v: int, roots: int, customers: int, root_tables: int):
-    """Seats a part again under the sampled parent and returns, per chunk, its documents' sums of log10 probabilities."""
+# -- step 4: scores ---------------------------------------------------------------------------------------------------
+
+
+def predictive(seats: Seats, samples: list[tuple[int, Parent, tuple]]) -> np.ndarray:
+    """The mean predictive probability of each pair; samples: the sweep, the parent after it, and what was heard then.
+
+    The first of them is only what the next was drawn from.
+    """
+    p = np.zeros(len(seats.c))
+    for (_, before, (c0, t0, own0)), (step, parent, (c1, t1, own1)) in itertools.pairwise(samples):
+        tables = seats.draw(step, own0, before.probability(seats.words, c0, t0))
+        base = parent.probability(seats.words, c1, t1)[seats.word]
+        p += (np.maximum(seats.c - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * own1[seats.at]) * base) / (STRENGTH + seats.customers[seats.at])
+    return p / (len(samples) - 1)
+
+
+def _sums(roots: int, parents: dict[int, Parent]):
+    """One row per chunk: its documents' sums of log10 probabilities, in units of 1 / SCALE."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("grp", pa.int64()), ("chunk", pa.int32()), ("sums", pa.binary())])
         if not len(left):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["chunk", "sums"])
-        part = left.column("part")[0].as_py()
-        r = Restaurants(left)
-        base, extra = _base(r, right.column("said")[0].as_py() if len(right) else [], v, roots, customers, root_tables)
-        seating = Seating(_seed(part, 3), r.c, r.at, len(r.contexts), base, DISCOUNT, STRENGTH, extra)
-        log = np.log10(averaged(r, seating, base))
-        sums = []
-        for pair, times, docs in zip(r.pairs, r.times, r.docs, strict=True):
-            total = np.bincount(docs, np.repeat(log[pair], times))
-            some = np.flatnonzero(total)
-            sums.append(chunks.pack(some.astype("<u4"), total[some].astype("<f4")))
-        return pa.table([pa.array(r.chunks, pa.int64()), pa.array(sums, pa.binary())], ["chunk", "sums"])
+            return schema.empty_table()
+        pairs = Pairs(left)
+        heard = {x["sweep"]: pairs.seats.heard(x["said"], roots) for x in chunks.rows_in(right.combine_chunks().to_batches()[0])}
+        p = predictive(pairs.seats, [(k, parents[k], heard[k]) for k in sorted(parents)])
+        rows = list(pairs.sums(np.round(np.log10(p) * SCALE).astype(np.int64)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, text, held_out) to one row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = chunks.chunked(docs.select("doc_id", "held_out", "text"), "texts", CHUNK_BYTES)
-    n_chunks = table.count()
-    parts = max(storage.shuffle_partitions(spark), n_chunks)
+    parts = max(storage.shuffle_partitions(spark), table.count() // 16)
 
     def ask_words(batches):
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                c = Chunk(blob.as_py())
-                n = np.bincount(c.index[c.doc < c.n_train], minlength=len(c.words))
-                yield chunks.dealt(chunk, _part(c.words, parts), c.words, n.astype("<u4"))
+        def question(row):
+            c = Chunk(row["blob"])
+            n = np.bincount(c.index[c.doc < c.n_train], minlength=len(c.words))
+            return _range(c.words, parts), (c.words, n.astype("<u4"))
+
+        yield from chunks.asks(batches, question)
 
     words = table.mapInArrow(ask_words, chunks.ASKED).groupBy("part").applyInArrow(_count_words, chunks.ANSWER)
-    words = storage.written(chunks.answers_by_task(words, "said"), "words")
+    words = storage.written(chunks.gathered(words, "said"), "words")
     storage.release(spark)
-    stats = words.where("task = -1").select(F.explode("said")).select(F.explode("value.answer")).collect()  # two numbers a part
-    v, n = (int(x) for x in np.sum([chunks.unpack(bytes(r[0]), "<i8")[0] for r in stats], axis=0)) if stats else (0, 0)
-
+    stats = words.where("grp = -1").select(F.explode("said")).select("col.answer").collect()  # 64 numbers a part
+    offsets, v, n = _numbering([bytes(r[0]) for r in stats], parts)
     pair_parts = max(storage.shuffle_partitions(spark), n // TOKENS_PER_PART)
 
-    def pairs(batches):
-        for batch in batches:
-            for chunk, blob, said in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("said"), strict=True):
-                yield from _pair_rows(chunk, Chunk(blob.as_py()), said.as_py(), parts, pair_parts, n, v)
+    def send_pairs(batches):
+        said, held, now = chunks.Said("<u8", "<u8"), _Sent(), None
+
+        def row(group, part, asked, chunk=None, info=None):
+            return pa.record_batch([pa.array([group], pa.int64()), pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([asked], pa.binary()), pa.array([info], pa.binary())], ["grp", "chunk", "part", "asked", "info"])
 
-    # Bucketed by part, so that neither reading below shuffles the pairs again.
-    rows = chunks.answered(table, words).mapInArrow(pairs, "chunk long, part int, asked binary, info binary")
+        for batch in batches:
+            for one in chunks.rows_in(batch):
+                if held.chunks and (one["grp"] != now or held.size > chunks.ASKED_BYTES):
+                    yield from (row(now, *x) for x in held.rows())
+                    held = _Sent()
+                now, c = one["grp"], Chunk(one["blob"])
+                place, count = (x.astype(np.int64) for x in said.to(one, one["said"], _range(c.words, parts)))
+                info, pairs, doc = _chunk_pairs(c, place, count, offsets, parts, pair_parts, n, v)
+                yield row(now, -1 - (now + one["chunk"]) % (1 << 30), chunks._seal(c.batch.select(["doc_id", "held_out"])), one["chunk"], info)
+                held.add(one["chunk"], pairs, doc)
+        if held.chunks:
+            yield from (row(now, *x) for x in held.rows())
+
+    # Bucketed by part, so that no reading below shuffles the pairs again.
+    rows = chunks.answered(table, words).mapInArrow(send_pairs, "grp long, chunk int, part int, asked binary, info binary")
     rows = storage.bucketed(rows.repartition(storage.shuffle_partitions(spark), "part"), "pairs", "part")
     storage.delete(table)
     storage.delete(words)
     storage.release(spark)
 
-    sent = rows.where("part >= 0").select("chunk", "part", "asked")
-    roots = parts
-    last, customers, root_tables = None, 0, 0
-    for turn in range(ROUNDS):
-        seat = _tables(v, roots, turn, customers, root_tables)
-        tables = sent.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(seat, chunks.ASKED) if turn else sent.groupBy("part").applyInArrow(seat, chunks.ASKED)
-        answers = tables.groupBy("part").applyInArrow(_parent(v, turn, root_tables), chunks.ANSWER)
-        answers = storage.written(answers.groupBy(F.col("chunk").alias("part")).agg(F.collect_list(F.struct("part", "answer")).alias("said")), "parents")
-        if turn:
-            storage.delete(last)
+    sent = rows.where("part >= 0").select("grp", "part", "asked")
+    roots = storage.shuffle_partitions(spark)
+    seats = storage.bucketed(sent.groupBy("part").applyInArrow(_open(roots), TOLD), "seats", "part")
+    told, parent, heard = seats.where("root >= 0"), Parent(v, 0, v), {}
+    parents: dict[int, Parent] = {}
+    for step in range(burn_in + samples + 1):  # the first is the first seating
+        answers = told.groupBy("root").applyInArrow(_seat_parent(step, parent), "part int, root int, answer binary")
+        answers = storage.written(answers.groupBy("part").agg(F.collect_list(F.struct("root", "answer")).alias("said")), "parents")
         storage.release(spark)
         stats = [chunks.unpack(bytes(x["answer"]), "<i8")[0] for r in answers.where("part = -1").collect() for x in r["said"]]
-        customers, root_tables = (int(sum(s[k] for s in stats)) for k in (0, 1))
-        last = answers.where("part >= 0").select(F.col("part").cast("int").alias("part"), "said")
-
-    sums = sent.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(_sums(v, roots, customers, root_tables), "chunk long, sums binary")
-    sums = sums.groupBy("chunk").agg(F.collect_list("sums").alias("sums"))
+        parent = Parent(v, *(int(sum(s[k] for s in stats)) for k in (0, 1)))
+        parents[step], heard[step] = parent, answers
+        told = seats.where("root < 0").select("part", "asked").groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(_sweep(roots, step + 1, parent), TOLD)
+        if 0 <= step - 1 < burn_in:
+            storage.delete(heard.pop(step - 1))
+            del parents[step - 1]
+    storage.delete(seats)
+
+    last = functools.reduce(DataFrame.unionByName, (a.where("part >= 0").withColumn("sweep", F.lit(k)) for k, a in heard.items()))
+    sums = sent.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(_sums(roots, parents), "grp long, chunk int, sums binary")
+    sums = sums.groupBy("grp", "chunk").agg(F.collect_list("sums").alias("sums"))
 
     def finish(batches):
         for batch in batches:
-            for blob, info, found in zip(batch.column("asked"), batch.column("info"), batch.column("sums"), strict=True):
-                rows = chunks.rows_of(blob.as_py())
-                tokens_, known, base = chunks.unpack(info.as_py(), "<i8", "<i8", "<f8")
-                score = np.zeros(len(tokens_))
-                got = [chunks.unpack(x, "<u4", "<f4") for x in found.as_py()]
-                # In the order of the values, so that reruns agree to the last bit.
-                at, value = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                order = np.lexsort((value, at))
-                score += np.bincount(at[order], value[order].astype(float), len(score))
+            for one in chunks.rows_in(batch):
+                rows = chunks.rows_of(one["asked"])
+                tokens_, known, base = chunks.unpack(one["info"], "<i8", "<i8", "<f8")
+                at, value = (np.concatenate(x) for x in zip(*(chunks.unpack(x, "<u4", "<i8") for x in one["sums"] or [chunks.pack(np.zeros(0, "<u4"), np.zeros(0, "<i8"))]), strict=True))
+                score = np.bincount(at, value.astype(float), len(tokens_)) / SCALE
                 yield pa.record_batch([rows.column("doc_id"), rows.column("held_out"), pa.array(tokens_), pa.array(known), pa.array(np.full(len(score), n), pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    whole = rows.where("part < 0").select("chunk", "asked", "info").join(sums, "chunk")
+    whole = rows.where("part < 0").select("grp", "chunk", "asked", "info").join(sums, ["grp", "chunk"], "left")
     out = whole.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    out = storage.written(out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), "scores")
+    for df in (rows, *heard.values()):
+        storage.delete(df)
+    return out
 
 
 def op8_pitman_yor(spark, sf_dir: str) -> DataFrame:

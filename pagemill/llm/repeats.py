@@ -11,11 +11,13 @@ equal word sequences have equal symbols wherever the context lies inside.  A win
 that has symbols whose context lies in it, the symbol least in the hash of its context; equal windows have equal anchors.
 
 1. Chunks of documents ask which anchors occur more than once in the corpus; a window with a unique anchor is unique.
-2. For the windows left, chunks send each distinct window, verified by 96 bits of its words, with its first place; the
-   parts answer whether that place is the corpus's first.
+2. For the windows left, chunks send each distinct window, verified by its whole word sequence in 128 bits, with its
+   first place; the parts answer whether that place is the corpus's first.
 3. Each chunk marks its windows that start later, merges what they cover, and gives back the words left.
 
-Both questions are packed (see chunks), so what is shuffled for a passage is one entry per chunk that has it.
+Both questions are packed (see chunks), so what is shuffled for a passage is one entry per chunk that has it.  A word
+is known by 128 bits of XXH3 of its bytes, and a word sequence by two independent 64-bit sums over the halves of these:
+no sequence of words is known to make two windows alike, and by chance two differ in 128 bits.
 
 Defined results: a null text has no words, and its text left is empty; texts of fewer than 20 words are whole; rows
 that share a doc_id tie, and of equal windows with equal first places all stay; a null doc_id comes last; an empty table
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import chunks, storage, tokens
 
@@ -76,19 +79,38 @@ def recompress(name: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> list[
     return out
 
 
+class Powers:
+    """Powers of an odd factor and of its inverse modulo 2**64, grown on demand."""
+
+    base, held = 0x9E3779B97F4A7C15, (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.held[0]) < n:
+            made = []
+            for x in (cls.base, pow(cls.base, -1, 1 << 64)):
+                steps = np.full(max(n, 1 << 16), x, np.uint64)
+                steps[0] = 1
+                made.append(np.multiply.accumulate(steps))
+            cls.held = tuple(made)
+        return cls.held
+
+
 class Windows:
     """The windows of a slice: their first words, anchors, and word-sequence hashes."""
 
     def __init__(self, s: tokens.Slice, window: int = WINDOW):
-        self.window, self.hashes, self.rows = window, s.hashes, s.word_rows
+        names = s.names
+        self.window, self.hashes, self.checks, self.rows = window, np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1]), s.word_rows
         self.first = s.words[2]
         h, m = self.hashes, len(self.hashes) - window + 1
         self.at = np.flatnonzero(self.rows[: max(m, 0)] == self.rows[window - 1 :]) if m > 0 else np.zeros(0, np.int64)
+        self.powers = Powers.upto(len(h) + 1)
         self.sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * tokens._POWERS.upto(len(h)), out=self.sums[1:])
+        np.cumsum(h * self.powers[0][: len(h)], out=self.sums[1:])
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return tokens.mix((self.sums[b] - self.sums[a]) * tokens._INVERSES.upto(len(self.sums))[a] + (b - a).astype(np.uint64))
+        return tokens.mix((self.sums[b] - self.sums[a]) * self.powers[1][a] + (b - a).astype(np.uint64))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window: its anchor's name (59 bits) and place."""
@@ -119,12 +141,11 @@ class Windows:
         return best >> np.uint64(5), self.at + (best & np.uint64(31)).astype(np.int64)
 
     def sequences(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of the words of windows: 64 and 32."""
-        key = self.span(at, at + self.window)
-        second = np.zeros(len(at), np.uint64)
+        """128 bits of the words of windows."""
+        check = np.zeros(len(at), np.uint64)
         for k in range(self.window):
-            second = second * _M + (self.hashes[at + k] ^ (self.hashes[at + k] >> np.uint64(29)))
-        return key, (tokens.mix(second) >> np.uint64(32)).astype(np.uint32)
+            check = check * _M + self.checks[at + k]
+        return self.span(at, at + self.window), tokens.mix(check)
 
 
 def _doc_ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -180,82 +201,69 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (tokens.mix(keys) % np.uint64(parts)).astype(np.int32)
 
 
-def _bits(answer: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(answer, np.uint8)).astype(bool)
-
-
-def _answer(table: pa.Table, kinds: tuple[str, ...], decide) -> pa.Table:
-    """Unpack what the chunks ask of one part, decide on all items at once, answer with one bit per item."""
-    asked = [chunks.unpack(x, *kinds) for x in table.column("asked").to_pylist()]
-    sizes = [len(x[0]) for x in asked]
-    bits = decide([np.concatenate(c) for c in zip(*asked, strict=True)], np.repeat(np.arange(len(sizes)), sizes))
-    out = [np.packbits(b).tobytes() for b in np.split(bits, np.cumsum(sizes)[:-1])]
-    return pa.table([table.column("chunk"), table.column("part"), pa.array(out, pa.binary())], ["chunk", "part", "answer"])
-
-
 def _more_than_once(table: pa.Table) -> pa.Table:
-    def decide(columns, _):
-        values = columns[0]
-        names = values >> np.uint64(1)
-        _, inverse, n = np.unique(names, return_inverse=True, return_counts=True)
-        flagged = np.bincount(inverse, (values & np.uint64(1)).astype(float), len(n)) > 0
-        return ((n > 1) | flagged)[inverse]
-
-    return _answer(table, ("<u8",), decide)
+    heads, (values,) = chunks.read_asked(table, "<u8")
+    _, inverse, n = np.unique(values >> np.uint64(1), return_inverse=True, return_counts=True)
+    flagged = np.bincount(inverse, (values & np.uint64(1)).astype(float), len(n)) > 0
+    return chunks.answer_rows(table, heads, ((n > 1) | flagged)[inverse].astype("u1"))
 
 
 def _is_first(table: pa.Table) -> pa.Table:
-    def decide(columns, _):
-        key, check, doc, start = columns
-        order = np.lexsort((start, doc, check, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
-        lead = order[new][np.cumsum(new) - 1]
-        out = np.empty(len(order), bool)
-        out[order] = (doc[order] == doc[lead]) & (start[order] == start[lead])
-        return out
-
-    return _answer(table, ("<u8", "<u4", "<i8", "<u4"), decide)
+    heads, (key, check, doc, start) = chunks.read_asked(table, "<u8", "<u8", "<i8", "<u4")
+    order = np.lexsort((start, doc, check, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    lead = order[new][np.cumsum(new) - 1]
+    out = np.empty(len(order), "u1")
+    out[order] = (doc[order] == doc[lead]) & (start[order] == start[lead])
+    return chunks.answer_rows(table, heads, out)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, n_words, n_removed, text (the words left, joined by one space)."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer")
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = chunks.chunked(docs.select("doc_id", "text"), "substrings")
     # A part's items follow the shuffle partitions, and the chunks where these are set too few for the input.
-    parts = max(storage.shuffle_partitions(spark), table.count() // 8)
+    parts = max(storage.shuffle_partitions(spark), table.count() // 64)
 
     def ask_names(batches):
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                c = Chunk(blob.as_py(), window)
-                yield chunks.dealt(chunk, _part(c.distinct, parts), (c.distinct << np.uint64(1)) | c.repeated_names().astype(np.uint64))
+        def question(row):
+            c = Chunk(row["blob"], window)
+            return _part(c.distinct, parts), ((c.distinct << np.uint64(1)) | c.repeated_names().astype(np.uint64),)
 
-    names = table.mapInArrow(ask_names, chunks.ASKED).groupBy("part").applyInArrow(_more_than_once, chunks.ANSWER)
-    names = storage.written(chunks.answers_by_task(names, "names"), "anchors")
+        yield from chunks.asks(batches, question)
 
-    def opened(chunk: Chunk, said: list[dict]) -> np.ndarray:
-        return chunks.ordered_answers(_part(chunk.distinct, parts), said, _bits)
+    names = table.mapInArrow(ask_names, chunks.ASKED).groupBy("part").applyInArrow(_more_than_once, chunks.ANSWER)
+    names = storage.written(chunks.gathered(names, "names"), "anchors")
+    storage.release(spark)
 
     def ask_windows(batches):
-        for batch in batches:
-            for chunk, blob, said in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("names"), strict=True):
-                c = Chunk(blob.as_py(), window)
-                *_, lead = c.distinct_windows(opened(c, said.as_py() or []))
-                yield chunks.dealt(chunk, _part(lead[0], parts), *lead)
+        said = chunks.Said("u1")
+
+        def question(row):
+            c = Chunk(row["blob"], window)
+            (opened,) = said.to(row, row["names"], _part(c.distinct, parts))
+            *_, lead = c.distinct_windows(opened.astype(bool))
+            return _part(lead[0], parts), lead
+
+        yield from chunks.asks(batches, question)
 
     windows = chunks.answered(table, names).mapInArrow(ask_windows, chunks.ASKED).groupBy("part").applyInArrow(_is_first, chunks.ANSWER)
-    windows = storage.written(chunks.answers_by_task(windows, "windows"), "windows")
+    windows = storage.written(chunks.gathered(windows, "windows"), "windows")
+    storage.release(spark)
 
     def cut(batches):
+        names_said, windows_said = chunks.Said("u1"), chunks.Said("u1")
         for batch in batches:
-            for blob, said, first in zip(batch.column("blob"), batch.column("names"), batch.column("windows"), strict=True):
-                c = Chunk(blob.as_py(), window)
-                open_names = opened(c, said.as_py() or []) if len(c.distinct) else np.zeros(0, bool)
-                piece, place, doc, start, group, lead = c.distinct_windows(open_names)
-                is_first = chunks.ordered_answers(_part(lead[0], parts), first.as_py(), _bits) if len(lead[0]) else np.zeros(0, bool)
-                stays = is_first[group] & (doc == lead[2][group]) & (start == lead[3][group]) if len(group) else np.zeros(0, bool)
+            for one in chunks.rows_in(batch):
+                c = Chunk(one["blob"], window)
+                (opened,) = names_said.to(one, one["names"], _part(c.distinct, parts))
+                piece, place, doc, start, group, lead = c.distinct_windows(opened.astype(bool))
+                (is_first,) = windows_said.to(one, one["windows"], _part(lead[0], parts))
+                stays = (is_first[group] > 0) & (doc == lead[2][group]) & (start == lead[3][group]) if len(group) else np.zeros(0, bool)
                 n_words, n_removed, left = [], [], []
                 text, row = c.batch.column("text"), 0
                 for k, w in enumerate(c.windows):
@@ -275,7 +283,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         row += 1
                 yield pa.record_batch([c.batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return chunks.answered(table, names, windows).mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, text string")
+    out = storage.written(chunks.answered(table, names, windows).mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, text string"), "deduped")
+    for df in (table, names, windows):
+        storage.delete(df)
+    return out
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:

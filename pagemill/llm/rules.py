@@ -4,7 +4,8 @@ Words are ``[^\x20\x09-\x0D]+``.  The model's features are a text's relative fre
 trigrams and character 4-grams (``BUCKETS`` buckets each).  It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the
 smallest hashes of their ids, four fifths of them for the weights and the rest for the probability calibration (Platt).
 A text is kept if it passes the base rules and its probability of being good is at least ``KEEP_AT``.  All texts are
-counted and scored whole, in Arrow batches cut into slices of about a megabyte.
+counted and scored whole, in Arrow batches cut into slices of about 256 KB.  Equal lines and windows are found by the
+exact codes of their bytes and words, not by hashes.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are scored each, and of
 rows that share a labelled id the least text is learnt from; rows without a label are only scored, labels without a row are not used, a null label counts as absent; without labels of
@@ -40,9 +41,8 @@ def _per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def _occurrence(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item: how many items of its row equal it, and whether one of them comes before."""
-    key = tokens.mix(hashes + rows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _occurrence(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: how many items equal it, and whether one of them comes before."""
     order = np.argsort(key, kind="stable")
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -61,13 +61,14 @@ def counts(s: tokens.Slice) -> dict[str, np.ndarray]:
     np.cumsum(inside, out=seen[1:])
     line_rows = np.repeat(np.arange(rows), np.diff(lfirst))
     real = seen[l1] > seen[l0]
-    line_rows, lines = line_rows[real], tokens.span_hash(s.sums, l0[real], l1[real])
-    _, again = _occurrence(line_rows, lines)
+    line_rows = line_rows[real]
+    lines, _ = tokens.coded(s.data, l0[real], l1[real])
+    _, again = _occurrence(tokens.grouped(lines, line_rows))
     covered = np.zeros(len(start), bool)
     if len(start) >= 3:
         same = s.word_rows[:-2] == s.word_rows[2:]
         at = np.flatnonzero(same)
-        n, _ = _occurrence(s.word_rows[at], tokens.combine(s.hashes, 3)[at])
+        n, _ = _occurrence(tokens.grouped(s.codes[at], s.codes[at + 1], s.codes[at + 2], s.word_rows[at]))
         hit = at[n > 1]
         for k in range(3):
             covered[hit + k] = True

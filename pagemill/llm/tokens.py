@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 The Arrow-style operators of this subpackage never loop over words in Python: a batch is cut into slices of
-bounded bytes and every slice is handled as flat numpy arrays (bytes, word bounds, 64-bit word hashes, row bounds).
+bounded bytes and every slice is handled as flat numpy arrays (bytes, word bounds, word codes, row bounds).  Within a
+slice words are known exactly, by dictionary codes; across slices and machines by 128 bits of XXH3 of their bytes.
 A null text has no words.  Slices hold whole texts; a text longer than the slice bound makes a slice of its own.
 """
 
@@ -13,32 +14,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 18
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2**64
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-class _Powers:
-    """Powers of one odd factor modulo 2**64, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.table = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) < n:
-            size = max(n, 2 * len(self.table), SLICE_BYTES + 64)
-            table = np.full(size, self.base, np.uint64)
-            table[0] = 1
-            self.table = np.multiply.accumulate(table)
-        return self.table[:n]
-
-
-_POWERS, _INVERSES = _Powers(_P), _Powers(_PINV)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -49,15 +32,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; `span_hash` takes any byte span's hash from them in constant time."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS.upto(len(data)), out=out[1:])
-    return out
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Exact codes, from 0 in order of occurrence, of disjoint ascending byte spans; and the distinct spans."""
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[start] = 1
+    marks[end] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8).view(bool)
+    offs = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offs[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary
+
 
+def names_of(spans: pa.Array) -> np.ndarray:
+    """128 bits (XXH3) of each span, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans.to_pylist())), np.uint64).reshape(-1, 2)
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _INVERSES.upto(len(sums))[start] + (end - start).astype(np.uint64))
+
+def grouped(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct rows of non-negative integer columns: equal rows, and only these, have equal numbers."""
+    out = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        wide = int(c.max()) + 1 if len(c) else 1
+        if len(out) and (int(out.max()) + 1) * wide >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1].ravel()
+        out = out * wide + c
+    return out
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -81,10 +81,6 @@ class Slice:
     data: np.ndarray
     offs: np.ndarray
 
-    @cached_property
-    def sums(self) -> np.ndarray:
-        return prefix_sums(self.data)
-
     def split(self, is_break: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal pieces of bytes not in the break table: starts, ends, and each row's first piece (rows + 1)."""
         inside = ~is_break[self.data]
@@ -104,9 +100,25 @@ class Slice:
         return self.split(_SPACE)
 
     @cached_property
-    def hashes(self) -> np.ndarray:
+    def codes(self) -> np.ndarray:
+        """A number for each word, exact within the slice."""
+        return self._coded[0]
+
+    @cached_property
+    def _coded(self) -> tuple[np.ndarray, pa.Array]:
         start, end, _ = self.words
-        return span_hash(self.sums, start, end)
+        return coded(self.data, start, end)
+
+    @cached_property
+    def names(self) -> np.ndarray:
+        """128 bits of each word."""
+        codes, spans = self._coded
+        return names_of(spans)[codes]
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """The first 64 of them."""
+        return self.names[:, 0]
 
     @cached_property
     def word_rows(self) -> np.ndarray:

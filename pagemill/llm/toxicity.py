@@ -3,6 +3,9 @@
 A writer who hides a word replaces letters (``1d10t``), repeats them (``stuuupid``) or spaces them out (``s c u m``).
 Tokens that show one of these marks are decoded: every character spans a lattice of the letters it may stand for
 (or none, for separators and repeats), and the Viterbi path under a character trigram model gives the restored word.
+Tokens of any length and script are decoded: accents fold or fall away, and letters of other scripts among Latin ones
+count as look-alikes.  A token with separators is read as one word and as the words between them; spaced letters as one
+word and as several.
 The trigram model counts the plain words of all documents.  Texts are then scored by their plain and restored words.
 
 The score: a lexicon of words and word beginnings, each with its smoothed log-odds between toxic and other labelled
@@ -19,11 +22,14 @@ all scores are 0; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ STEM = 5
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "к": "k", "м": "m", "т": "t", "п": "n",
+    "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "κ": "k",
 }
 SEPARATORS = ".-_*~'/ "
 LOG_BOUNDARY = np.log(0.1)  # of a word that ends within spaced letters
@@ -58,24 +66,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Plain words (runs of letters and digits, lowered) of a slice: hashes, stem hashes, rows."""
+    """Plain words (runs of letters and digits, lowered) of a slice: names, names of their beginnings, rows."""
 
     def __init__(self, s: tokens.Slice):
         low = tokens.Slice(s.row0, s.row1, lowered(s.data), s.offs)
         start, end, first = low.split(_BREAK)
-        self.data, self.start, self.end, self.first = low.data, start, end, first
-        self.words = tokens.span_hash(low.sums, start, end)
-        long = end - start >= STEM
-        self.stems = np.where(long, tokens.span_hash(low.sums, start, np.minimum(start + STEM, end)) ^ np.uint64(1), np.uint64(0))
+        codes, spans = tokens.coded(low.data, start, end)
+        names = np.array([hash_word(x) for x in spans.to_pylist()], np.uint64).reshape(-1, 2)
+        self.first, self.words, self.stems = first, names[codes, 0], names[codes, 1]
         self.rows = np.repeat(np.arange(s.row1 - s.row0), np.diff(first))
 
 
-def hash_word(word: str) -> tuple[int, int]:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    sums, zero = tokens.prefix_sums(raw), np.zeros(1, np.int64)
-    full = tokens.span_hash(sums, zero, zero + len(raw))[0]
-    stem = tokens.span_hash(sums, zero, zero + STEM)[0] ^ np.uint64(1) if len(raw) >= STEM else np.uint64(0)
-    return int(full), int(stem)
+def hash_word(word: bytes) -> tuple[int, int]:
+    """Names of a word and of its beginning; 0 for a beginning of a shorter word."""
+    return xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:STEM], 1) if len(word) >= STEM else 0
 
 
 # -- the character model and the decoder ------------------------------------------------------------------------------
@@ -118,6 +122,32 @@ def trigram_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
+@functools.cache
+def folded(sign: str) -> str:
+    """The letter of a-z under an accent or in another width, or ''."""
+    base = unicodedata.normalize("NFKD", sign)[:1].lower()
+    return base if "a" <= base <= "z" else ""
+
+
+def arcs_at(token: str, i: int) -> list[tuple[int, float]]:
+    """What the sign at a place may stand for, with its cost: a letter from 1, or nothing (-1)."""
+    sign = token[i]
+    arcs: list[tuple[int, float]] = []
+    repeat = i > 0 and token[i - 1] == sign
+    run = repeat and (i > 1 and token[i - 2] == sign or i + 1 < len(token) and token[i + 1] == sign)
+    if "a" <= sign <= "z":
+        arcs.append((ord(sign) - 96, LOG_KEEP_REPEAT if run else 0.0))
+    else:
+        options = LOOKALIKES.get(sign) or folded(sign)
+        for o in options:
+            arcs.append((ord(o) - 96, (LOG_WILD if len(options) > 2 else LOG_SWAP) + (LOG_KEEP_REPEAT if run else 0.0)))
+    if repeat:
+        arcs.append((-1, LOG_DROP_REPEAT if run else LOG_DROP_SEPARATOR - 2))
+    elif sign in SEPARATORS or not sign.isascii():
+        arcs.append((-1, LOG_DROP_SEPARATOR))
+    return arcs or [(-1, LOG_WILD)]
+
+
 def decode(token: str, model: list, spaced: bool = False) -> str:
     """The most probable plain word behind a token, by Viterbi over its lattice, in time linear in its length.
 
@@ -126,22 +156,8 @@ def decode(token: str, model: list, spaced: bool = False) -> str:
     """
     token = _LONG_REPEAT.sub(r"\1\1\1", token.lower())
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # and the path: a letter and the path before it
-    for i, sign in enumerate(token):
-        arcs: list[tuple[int, float]] = []
-        repeat = i > 0 and token[i - 1] == sign
-        run = repeat and (i > 1 and token[i - 2] == sign or i + 1 < len(token) and token[i + 1] == sign)
-        if "a" <= sign <= "z":
-            arcs.append((ord(sign) - 96, LOG_KEEP_REPEAT if run else 0.0))
-        else:
-            options = LOOKALIKES.get(sign, "")
-            for o in options:
-                arcs.append((ord(o) - 96, (LOG_WILD if len(options) > 2 else LOG_SWAP) + (LOG_KEEP_REPEAT if run else 0.0)))
-        if repeat:
-            arcs.append((-1, LOG_DROP_REPEAT if run else LOG_DROP_SEPARATOR - 2))
-        elif sign in SEPARATORS:
-            arcs.append((-1, LOG_DROP_SEPARATOR))
-        if not arcs:
-            arcs.append((-1, LOG_WILD))
+    for i in range(len(token)):
+        arcs = arcs_at(token, i)
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (p, path) in best.items():
             row = model[a][b]
@@ -163,17 +179,20 @@ def decode(token: str, model: list, spaced: bool = False) -> str:
 
 
 _LONG_REPEAT = re.compile(r"(.)\1{3,}", re.S)
+_SEPARATED = re.compile(f"[{re.escape(SEPARATORS)}]+")
 _EDGES = "\"'.,;:?()[]{}<>%&#=~^`"
 
 
 def suspicious(token: str) -> str:
     """The part of a whitespace token to be decoded, or '' if it is plain."""
     token = token.strip(_EDGES).rstrip("*!|")
-    if len(token) < 3 or not token.isascii() or not any(c.isalpha() for c in token):
+    if len(token) < 3 or not any(c.isalpha() for c in token):
         return ""
     if token.isalpha():
         low = token.lower()
-        return token if any(low[i] == low[i + 1] == low[i + 2] for i in range(len(low) - 2)) else ""
+        strange = [c for c in low if not c.isascii() and (c in LOOKALIKES or "\uff00" < c < "\uff5f")]
+        mixed = strange and all("a" <= c <= "z" or c in strange for c in low)  # signs of another script among the letters
+        return token if mixed or any(low[i] == low[i + 1] == low[i + 2] for i in range(len(low) - 2)) else ""
     return token if all(c.isalpha() or c in LOOKALIKES or c in SEPARATORS for c in token) else ""
 
 
@@ -203,6 +222,10 @@ def marked(s: tokens.Slice) -> Iterator[tuple[int, str]]:
         np.cumsum(triple, out=sums[0, 1:])
         # the last two places of a word may begin a triple that runs into the next row only
         found |= (sums[0, np.maximum(end - 2, start)] > sums[0, start]) & (size >= 3)
+    other = ((data >= 0xCE) & (data <= 0xD4)) | (data == 0xEF)  # first bytes of Greek, Cyrillic and wide letters
+    if other.any():
+        np.cumsum(other, out=sums[0, 1:])
+        found |= (sums[0, end] > sums[0, start]) & ((sums[1, end] > sums[1, start]) | (data[start] == 0xEF))
     for w in np.flatnonzero(found):
         token = suspicious(s.text(start[w], end[w]))
         if token:
@@ -236,8 +259,8 @@ def restored(s: tokens.Slice, model: list, cache: dict[str, str]) -> tuple[np.nd
             out = cache.get(key)
             if out is None:
                 out = decode(token, model)
-                if spaced:  # one word, or several
-                    out = " ".join(dict.fromkeys([out, *decode(token, model, True).split(" ")]))
+                if spaced or any(c in SEPARATORS for c in token):  # one word, or several
+                    out = " ".join(dict.fromkeys([out, *(w for x in ([token] if spaced else _SEPARATED.split(token)) for w in decode(x, model, spaced).split(" "))]))
                 if len(cache) > 200_000:
                     cache.clear()
                 if len(key) <= 64:
@@ -256,7 +279,7 @@ def evidence_items(s: tokens.Slice, model: list, cache: dict) -> tuple[np.ndarra
     """Rows and hashes of all words and stems, plain and restored; and the number of plain words per row."""
     w = Words(s)
     rows, words = restored(s, model, cache)
-    pairs = np.array([hash_word(x) for x in words], np.uint64).reshape(-1, 2)
+    pairs = np.array([hash_word(x.encode()) for x in words], np.uint64).reshape(-1, 2)
     return np.concatenate([w.rows, w.rows, rows, rows]), np.concatenate([w.words, w.stems, pairs[:, 0], pairs[:, 1]]), np.diff(w.first)
 
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import chat, chunks, components, decontaminate, jaccard, lines, linear, mixing, pitman_yor, queries, repeats, rules, tokens, toxicity, warc
+from pagemill.llm import chat, components, decontaminate, jaccard, lines, linear, mixing, pitman_yor, queries, repeats, rules, tokens, toxicity, warc
 from tests.conftest import same_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -423,98 +423,160 @@ def test_pitman_yor_beats_the_base(spark, sf):
     assert got.a > got.b
 
 
-def test_seating_keeps_its_books():
-    rng = np.random.default_rng(0)
-    c = np.array([1, 2, 3, 50, 700, 0, 5, 1])
-    at = np.array([0, 0, 0, 0, 1, 1, 1, 2])
-    s = pitman_yor.Seating(rng, c, at, 3, np.full(8, 0.1), 0.75, 1.0)
-    for _ in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
-        s.sweep()
-        assert (s.tables <= c).all() and (s.tables >= (c > 0)).all()
-        assert (np.bincount(at, s.tables) == s.total).all()
-        for i in range(len(s.c)):
-            if s.c[i] <= pitman_yor.BY_ONE:
-                end = s.off[i + 1] if i + 1 < len(s.off) else len(s.size)
-                sizes = s.size[s.off[i] : end]
-                assert sizes.sum() == s.c[i] and (sizes > 0).sum() == s.t[i]
-
-
-def test_seating_follows_the_restaurant_law():
-    """Two customers of one dish share a table as often as the conditional law says."""
-    rng = np.random.default_rng(2)
-    n = 40_000
-    s = pitman_yor.Seating(rng, np.full(n, 2), np.arange(n), n, np.full(n, 0.5), 0.5, 1.0)
-    for _ in range(4):
-        s.sweep()
-    new = (1.0 + 0.5 * 1) * 0.5
-    assert (s.tables == 2).mean() == pytest.approx(new / (new + 0.5), abs=0.01)
-
-
-@pytest.mark.parametrize("c", [20, 300])
-def test_sweeps_resample_small_and_large_dishes(c):
-    """A few sweeps reach the exact law of the number of tables, by the recurrence of Stirling numbers."""
-    n, base, d, strength = 3000, 0.2, 0.75, 1.0
+def seats_of(counts: dict[int, dict[int, int]], words: list[int], customers: dict[int, int] | None = None) -> pitman_yor.Seats:
+    """Every word after every context; training counts as given."""
+    contexts = sorted(counts)
+    at, word = (x.ravel() for x in np.meshgrid(np.arange(len(contexts)), np.arange(len(words)), indexing="ij"))
+    c = np.array([counts[contexts[i]].get(words[j], 0) for i, j in zip(at, word, strict=True)])
+    own = np.bincount(at, c, len(contexts)).astype(np.int64) if customers is None else np.array([customers[u] for u in contexts])
+    return pitman_yor.Seats(np.array(words), np.array(contexts), own, at, word, c)
+
+
+def sampled(seats: pitman_yor.Seats, v: int, burn_in: int, samples: int):
+    """The operator's sweeps over one part that holds everything: the samples that `predictive` takes."""
+    parent, tables, out = pitman_yor.Parent(v, 0, v), np.minimum(seats.c, 1), []
+    for step in range(burn_in + samples + 1):
+        c = np.bincount(seats.word, tables, len(seats.words)).astype(np.int64)
+        t = parent.draw(step, seats.words, c)
+        parent = pitman_yor.Parent(v, int(c.sum()), int(t.sum()))
+        heard = (c, t, np.bincount(seats.at, tables, len(seats.contexts)).astype(np.int64))
+        out.append((step, parent, heard))
+        tables = seats.draw(step + 1, heard[2], parent.probability(seats.words, c, t))
+    return out[burn_in:]
+
+
+@pytest.mark.parametrize(("c", "base"), [(2, 0.2), (20, 0.2), (256, 0.01), (300, 0.2), (300, 3.0), (700, 0.01), (5000, 40.0)])
+def test_tables_follow_their_law(c, base):
+    """The exact law of the number of tables, by the recurrence of Stirling numbers."""
+    d, t = 0.75, np.arange(c + 1)
     ways = np.full(c + 1, -np.inf)
     ways[1] = 0.0
-    t = np.arange(c + 1)
     for k in range(1, c):
         ways = np.logaddexp(np.append(-np.inf, ways[:-1]), ways + np.log(np.maximum(k - d * t, 1e-300)))
         ways[0] = -np.inf
-    if c > pitman_yor.BY_ONE:
-        assert np.diff(pitman_yor.log_ways(np.full(c, c), t[1:], d)) == pytest.approx(np.diff(ways[1:]) + np.log(d), abs=1e-5)
-    law = ways[1:] + np.cumsum(np.log(strength + d * t[:-1])) + t[1:] * np.log(base)
+    law = ways[1:] + t[1:] * np.log(d * base)
     law = np.exp(law - law.max())
-    mean = (law * t[1:]).sum() / law.sum()
-    s = pitman_yor.Seating(np.random.default_rng(6), np.full(n, c), np.arange(n), n, np.full(n, base), d, strength)
-    first = s.tables.copy()
-    for _ in range(12):
-        s.sweep()
-    assert (s.tables != first).mean() > 0.5
-    assert s.tables.mean() == pytest.approx(mean, rel=0.03)
-
-
-def restaurants(counts: dict[int, dict[int, int]], words: range, customers: dict[int, int]) -> pitman_yor.Restaurants:
-    """One part whose chunk asks for every word after every context; training counts as given."""
-    u, w, c = (np.array(x) for x in zip(*((u, w, counts[u].get(w, 0)) for u in sorted(counts) for w in words), strict=True))
-    times = np.maximum(c, 1)
-    docs = np.concatenate([np.full(t, 0 if k else 1) for t, k in zip(times, c, strict=True)])  # document 0 is for training
-    asked = chunks.pack(np.diff(u, prepend=0).astype("<i8"), w.astype("<u8"), np.array([customers[x] for x in u]).astype("<u8"), times.astype("<u4"), docs.astype("<u4"), np.array([1], "<u4"))
-    return pitman_yor.Restaurants(pa.table({"chunk": [0], "part": pa.array([0], pa.int32()), "asked": [asked]}))
+    law /= law.sum()
+    n = 20_000
+    got = pitman_yor.draw_tables(np.full(n, c), np.full(n, base), d, 5, np.arange(n))
+    mean, square = (law * t[1:]).sum(), (law * t[1:] ** 2).sum()
+    assert got.mean() == pytest.approx(mean, abs=5 * math.sqrt((square - mean**2) / n) + 1e-3)
+    assert got.std() == pytest.approx(math.sqrt(square - mean**2), rel=0.05, abs=5e-3)
+    assert got.min() >= 1 and got.max() <= c
+
+
+def test_gammas():
+    for shape in (1.0, 1.4, 30.0):
+        x = pitman_yor.gammas(np.full(40_000, shape), 3, np.arange(40_000))
+        assert x.mean() == pytest.approx(shape, rel=0.03) and x.var() == pytest.approx(shape, rel=0.06)
+
+
+def brute_hierarchy(counts: dict[int, dict[int, int]], words: list[int], v: int, sweeps: int) -> dict[tuple[int, int], float]:
+    """Chinese restaurants with every customer at a table of its own record, reseated one by one."""
+    rng = random.Random(11)
+    d, s, d0, s0 = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    inner = {u: {w: [] for w in words} for u in counts}
+    root = {w: [] for w in words}
+
+    def pick(sizes, weights):
+        x = rng.random() * sum(weights)
+        for k, y in enumerate(weights):
+            x -= y
+            if x < 0:
+                return k
+        return len(weights) - 1
+
+    share = lambda w: pitman_yor.UNKNOWN if w == pitman_yor.NONE else (1 - pitman_yor.UNKNOWN) / v
+    total = lambda tables: (sum(map(len, tables.values())), sum(map(sum, tables.values())))
+
+    def p0(w):
+        t, c = total(root)
+        return (sum(root[w]) - d0 * len(root[w]) + (s0 + d0 * t) * share(w)) / (s0 + c)
+
+    def sit(tables, w, new, discount, opened):
+        k = pick(tables[w], [x - discount for x in tables[w]] + [new])
+        if k == len(tables[w]):
+            tables[w].append(1)
+            opened()
+        else:
+            tables[w][k] += 1
+
+    def leave(tables, w, closed):
+        k = pick(tables[w], tables[w])
+        tables[w][k] -= 1
+        if not tables[w][k]:
+            del tables[w][k]
+            closed()
+
+    sit_root = lambda w: sit(root, w, (s0 + d0 * total(root)[0]) * share(w), d0, lambda: None)
+    sit_inner = lambda u, w: sit(inner[u], w, (s + d * total(inner[u])[0]) * p0(w), d, lambda: sit_root(w))
+    customers = [(u, w) for u in counts for w, c in counts[u].items() for _ in range(c)]
+    for x in customers:
+        sit_inner(*x)
+    sums = collections.Counter()
+    for k in range(sweeps):
+        for u, w in customers:
+            leave(inner[u], w, lambda w=w: leave(root, w, lambda: None))
+            sit_inner(u, w)
+        if k >= sweeps // 5:
+            for u in counts:
+                t, c = total(inner[u])
+                for w in words:
+                    sums[u, w] += (sum(inner[u][w]) - d * len(inner[u][w]) + (s + d * t) * p0(w)) / (s + c)
+    return {x: y / (sweeps - sweeps // 5) for x, y in sums.items()}
+
+
+def test_hierarchy_against_brute_force():
+    """Sweeps over numbers of tables give the predictions of the customer-by-customer sampler of the whole hierarchy."""
+    known = [2, 3, 4, 5]
+    counts = {1: {2: 6, 3: 1}, 2: {2: 1, 3: 5, 4: 1}, 3: {4: 2, 5: 2}, 4: {5: 1}, 5: {}}
+    words = [pitman_yor.NONE, *known]
+    want = brute_hierarchy(counts, words, len(known), 3000)
+    seats = seats_of(counts, words)
+    got = pitman_yor.predictive(seats, sampled(seats, len(known), 20, 3000))
+    for (u, w), p in zip(((seats.contexts[a], seats.words[b]) for a, b in zip(seats.at, seats.word, strict=True)), got, strict=True):
+        assert p == pytest.approx(want[u, w], rel=0.05, abs=0.004)
 
 
 def test_predictions_sum_to_one():
     """Over the known words and the unknown one, after seen and unseen contexts."""
-    words = range(pitman_yor.FIRST + 5)
-    known = [w for w in words if w >= pitman_yor.FIRST]
+    known = list(range(pitman_yor.FIRST, pitman_yor.FIRST + 5))
     rng = random.Random(1)
-    counts = {u: {w: rng.randrange(0, 400 if u % 2 else 4) for w in known} for u in (pitman_yor.START, *known)} | {pitman_yor.NONE: {}}
-    words = [w for w in words if w != pitman_yor.START]
-    r = restaurants(counts, words, {u: sum(c.values()) for u, c in counts.items()})
-    assert r.c.sum() == sum(sum(c.values()) for c in counts.values())
-    t, tables = np.array([0, 30, 1, 7, 9, 3]), np.array([0, 3, 1, 2, 2, 1])
-    parent = pitman_yor.parent_probability(r.words, t, tables, len(known), int(t.sum()), int(tables.sum()))
-    assert parent.sum() == pytest.approx(1)
-    seating = pitman_yor.Seating(np.random.default_rng(4), r.c, r.at, len(r.contexts), parent[r.word], pitman_yor.DISCOUNT, pitman_yor.STRENGTH)
-    p = pitman_yor.averaged(r, seating, parent[r.word])
-    assert np.bincount(r.at, p) == pytest.approx(np.ones(len(counts)))
-    assert p[r.at == 0] == pytest.approx(parent)  # an unseen context predicts as its parent
-
-
-def test_split_context_counts_tables_elsewhere(monkeypatch):
-    """A context over two parts: each predicts its own words with the tables of both, and together they sum to one."""
-    monkeypatch.setattr(pitman_yor, "HOT", 10)
-    context, known = 3, list(range(pitman_yor.FIRST, pitman_yor.FIRST + 6))
-    counts = {w: 5 + w for w in known}
-    halves = [restaurants({context: {w: counts[w] for w in half}}, half, {context: sum(counts.values())}) for half in (known[:3], known[3:])]
-    base = np.full(3, 1 / 6)
-    total = 0.0
-    seats = [pitman_yor.Seating(np.random.default_rng(k), h.c, h.at, 1, base, pitman_yor.DISCOUNT, pitman_yor.STRENGTH) for k, h in enumerate(halves)]
-    assert all(h.split.all() for h in halves)
-    tables = [int(s.tables.sum()) for s in seats]
-    for h, s, other in zip(halves, seats, reversed(tables), strict=True):
-        everywhere = s.tables.sum() + other
-        total += ((h.c - pitman_yor.DISCOUNT * s.tables + (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * everywhere) * base) / (pitman_yor.STRENGTH + h.customers[0])).sum()
-    assert total == pytest.approx(1)
+    counts = {u: {w: rng.randrange(0, 900 if u % 2 else 4) for w in known} for u in (pitman_yor.START, *known)} | {pitman_yor.NONE: {}}
+    seats = seats_of(counts, [pitman_yor.NONE, *known])
+    p = pitman_yor.predictive(seats, sampled(seats, len(known), 3, 2))
+    assert np.bincount(seats.at, p) == pytest.approx(np.ones(len(counts)))
+
+
+def test_split_context_scores_as_a_whole_one():
+    """A context whose pairs lie in two parts: the same tables and predictions as in one."""
+    known = list(range(pitman_yor.FIRST, pitman_yor.FIRST + 6))
+    counts = {3: {w: 50 * w for w in known}}
+    whole = seats_of(counts, known)
+    samples = sampled(whole, len(known), 2, 2)
+    p = pitman_yor.predictive(whole, samples)
+    for k, half in enumerate((known[:3], known[3:])):
+        part = seats_of({3: {w: counts[3][w] for w in half}}, half, {3: sum(counts[3].values())})
+        cut = slice(3 * k, 3 * k + 3)
+        assert (pitman_yor.predictive(part, [(s, x, (c[cut], t[cut], own)) for s, x, (c, t, own) in samples]) == p[cut]).all()
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    """Nor on chunks, parts, or how contexts are split."""
+    rows = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 1).alias("held_out"))
+    want = sorted(map(str, pitman_yor.score_texts(rows).collect()))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", 5000)
+        monkeypatch.setattr(pitman_yor, "HOT", 20)
+        monkeypatch.setattr(pitman_yor, "TOKENS_PER_PART", 3000)
+        assert sorted(map(str, pitman_yor.score_texts(rows.repartition(5)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pitman_yor_empty(empty):
+    assert pitman_yor.score_texts(empty.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
 # -- 9 ----------------------------------------------------------------------------------------------------------------------
