@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import storage
 
 CHUNK_BYTES = 2 << 20
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 8 << 20
 ROW_BYTES = 32  # what a row counts beside its text, so that empty texts fill chunks too
 ASKED_BYTES = 32 << 20  # of items that wait in a task; a group with more asks in several rows per part
 _CODEC = pa.Codec("zstd", 6)

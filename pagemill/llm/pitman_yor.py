@@ -46,7 +46,7 @@ from pagemill.llm.toxicity import _LOWER
 DISCOUNT, STRENGTH = 0.75, 1.0  # of the contexts
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 10.0
 UNKNOWN = 0.9  # how often a new type is an unknown word
-BURN_IN, SAMPLES = 3, 2
+BURN_IN, SAMPLES = 2, 2
 BY_COUNT = 256  # customers of a dish whose number of tables is drawn from its law
 STEPS = 12  # of the sampler of larger dishes
 HOT = 4_000_000

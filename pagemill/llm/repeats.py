@@ -16,7 +16,7 @@ that has symbols whose context lies in it, the symbol least in the hash of its c
 3. Each chunk marks its windows that start later, merges what they cover, and gives back the words left.
 
 Both questions are packed (see chunks), so what is shuffled for a passage is one entry per chunk that has it.  A word
-is known by 128 bits of XXH3 of its bytes, and a word sequence by two independent 64-bit sums over the halves of these:
+is known by 128 bits (see tokens), and a word sequence by two independent 64-bit sums over the halves of these:
 no sequence of words is known to make two windows alike, and by chance two differ in 128 bits.
 
 Defined results: a null text has no words, and its text left is empty; texts of fewer than 20 words are whole; rows

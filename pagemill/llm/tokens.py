@@ -2,7 +2,7 @@
 
 The Arrow-style operators of this subpackage never loop over words in Python: a batch is cut into slices of
 bounded bytes and every slice is handled as flat numpy arrays (bytes, word bounds, word codes, row bounds).  Within a
-slice words are known exactly, by dictionary codes; across slices and machines by 128 bits of XXH3 of their bytes.
+slice words are known exactly, by dictionary codes; across slices and machines by 128 bits, which are exact for words of up to 15 bytes and XXH3's for longer ones.
 A null text has no words.  Slices hold whole texts; a text longer than the slice bound makes a slice of its own.
 """
 
@@ -44,9 +44,30 @@ def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return spans.indices.to_numpy(), spans.dictionary
 
 
-def names_of(spans: pa.Array) -> np.ndarray:
-    """128 bits (XXH3) of each span, as two columns."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans.to_pylist())), np.uint64).reshape(-1, 2)
+_KEYS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) for k in range(4)]
+
+
+def names_of(spans: pa.Array, upto: int | None = None) -> np.ndarray:
+    """128 bits of each span, or of its first bytes (up to 15), as two columns.
+
+    Spans of up to 15 bytes are scrambled without loss, so their names are exact; longer ones have XXH3's 128 bits.
+    """
+    n = len(spans)
+    offs = np.frombuffer(spans.buffers()[1], np.int64)[spans.offset : spans.offset + n + 1]
+    data = np.append(np.frombuffer(spans.buffers()[2] or b"", np.uint8), np.zeros(16, np.uint8))
+    size = np.diff(offs) if upto is None else np.minimum(np.diff(offs), upto)
+    raw = np.lib.stride_tricks.sliding_window_view(data, 16)[offs[:-1]]
+    raw[np.arange(16) >= size[:, None]] = 0
+    raw[:, 15] = np.minimum(size, 255)
+    out = raw.view(np.uint64).reshape(n, 2)
+    a, b = out[:, 0], out[:, 1]
+    for k in range(0, 4, 2):
+        b ^= mix(a + _KEYS[k])
+        a ^= mix(b + _KEYS[k + 1])
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        out[long] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans.take(pa.array(long)).to_pylist())), np.uint64).reshape(-1, 2)
+    return out
 
 
 def grouped(*columns: np.ndarray) -> np.ndarray:

@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +71,15 @@ class Words:
         low = tokens.Slice(s.row0, s.row1, lowered(s.data), s.offs)
         start, end, first = low.split(_BREAK)
         codes, spans = tokens.coded(low.data, start, end)
-        names = np.array([hash_word(x) for x in spans.to_pylist()], np.uint64).reshape(-1, 2)
-        self.first, self.words, self.stems = first, names[codes, 0], names[codes, 1]
+        names, stems = hash_words(spans)
+        self.first, self.words, self.stems = first, names[codes], stems[codes]
         self.rows = np.repeat(np.arange(s.row1 - s.row0), np.diff(first))
 
 
-def hash_word(word: bytes) -> tuple[int, int]:
-    """Names of a word and of its beginning; 0 for a beginning of a shorter word."""
-    return xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:STEM], 1) if len(word) >= STEM else 0
+def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Names of words and of their beginnings; 0 for the beginning of a shorter word."""
+    size = np.diff(np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1])
+    return tokens.names_of(words)[:, 0], np.where(size >= STEM, tokens.names_of(words, STEM)[:, 0] ^ np.uint64(1), np.uint64(0))
 
 
 # -- the character model and the decoder ------------------------------------------------------------------------------
@@ -279,8 +279,8 @@ def evidence_items(s: tokens.Slice, model: list, cache: dict) -> tuple[np.ndarra
     """Rows and hashes of all words and stems, plain and restored; and the number of plain words per row."""
     w = Words(s)
     rows, words = restored(s, model, cache)
-    pairs = np.array([hash_word(x.encode()) for x in words], np.uint64).reshape(-1, 2)
-    return np.concatenate([w.rows, w.rows, rows, rows]), np.concatenate([w.words, w.stems, pairs[:, 0], pairs[:, 1]]), np.diff(w.first)
+    found, stems = hash_words(pa.array(words, pa.large_string()).cast(pa.large_binary()))
+    return np.concatenate([w.rows, w.rows, rows, rows]), np.concatenate([w.words, w.stems, found, stems]), np.diff(w.first)
 
 
 def numbers(s: tokens.Slice, model: list, cache: dict, lexicon: np.ndarray, odds: np.ndarray) -> np.ndarray:
