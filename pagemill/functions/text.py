@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import re
 import zlib
+from html.entities import name2codepoint
 
 import numpy as np
 import pandas as pd
@@ -25,19 +26,51 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{TRIMMED}+|{TRIMMED}+$", "")
 
 
-#: The entities that the native path decodes, the ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+REFERENCE = r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});?"
 
 
-def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def _character(n: Column) -> Column:
+    """The character of a number; 128 to 159 mean those of windows-1252, and what is no character U+FFFD."""
+    high = F.array(*(F.lit(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)))
+    bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(n.between(128, 159), F.try_element_at(high, (n - 127).cast("int"))).otherwise(plain)
+
+
+def unescape(c: Column, attribute: bool = False) -> Column:
+    """Character references decoded: numbers, and the names of HTML 4; those of Latin-1 may lack the semicolon.
+
+    In an attribute a name without semicolon stays before an equals sign, so that queries survive.
+    """
+    known = sorted(name2codepoint.items())
+    names = F.map_from_arrays(F.array(*(F.lit(k) for k, _ in known)), F.array(*(F.lit(chr(v)) for _, v in known)))
+    latin = F.array(*(F.lit(k) for k, v in known if v < 256))
+
+    def decoded(piece: Column) -> Column:
+        found = F.regexp_extract(piece, REFERENCE, 0)
+        name, rest = F.rtrim(found, F.lit(";")), F.substring(piece, F.length(found) + 1, F.lit(2**31 - 1))
+        closed = F.endswith(found, F.lit(";"))
+        number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("bigint")
+        loose = F.array_contains(latin, name)
+        if attribute:
+            loose = loose & ~F.startswith(rest, F.lit("="))
+        named = F.when(closed | loose, F.try_element_at(names, name))
+        sign = F.when(found == "", F.lit(None)).when(F.startswith(name, F.lit("#")), _character(number)).otherwise(named)
+        return F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(c, "&")
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
+def visible(html: Column) -> Column:
+    """Without comments, scripts and styles, whichever begins first."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", "")
 
 
 def title(html: Column) -> Column:
-    """Text of the first title element (native path; dom.titles is exact)."""
-    return unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """Text of all title elements, joined, untrimmed."""
+    return unescape(F.array_join(F.regexp_extract_all(visible(html), F.lit(r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"), F.lit(1)), ""))
 
 
 def page_text(html: Column) -> Column:
@@ -166,29 +199,37 @@ def decode_charset(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
-def murmur3_32(raw: bytes, seed: int = 0) -> int:
-    """Murmur3 x86 32-bit, signed."""
-    mask = 0xFFFFFFFF
-    scramble = lambda k: (((k * 0xCC9E2D51 & mask) << 15 | (k * 0xCC9E2D51 & mask) >> 17) & mask) * 0x1B873593 & mask
-    whole = len(raw) // 4 * 4
-    h = seed
-    for k in np.frombuffer(raw[:whole], "<u4").tolist():
-        h ^= scramble(k)
-        h = (h << 13 | h >> 19) & mask
-        h = (h * 5 + 0xE6546B64) & mask
-    if tail := raw[whole:]:
-        h ^= scramble(int.from_bytes(tail, "little"))
-    h ^= len(raw)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def murmur3_32(bodies: list[bytes], seed: int = 0) -> np.ndarray:
+    """Murmur3 x86 32-bit, signed, of many bodies at once: the k-th words of all that have one are taken together."""
+    u = np.uint32
+    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    scramble = lambda k: turn(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    size = np.array([len(x) for x in bodies], np.int64)
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    words = np.frombuffer(b"".join(bodies[i] + bytes(-len(bodies[i]) % 4) for i in order), "<u4")
+    first = np.cumsum((size + 3) // 4) - (size + 3) // 4
+    h = np.full(len(bodies), seed, u)
+    for k in range(int(size[0]) // 4 if len(size) else 0):
+        n = int(np.searchsorted(-(size // 4), -k, "left"))  # those with more than k whole words come first
+        h[:n] = turn(h[:n] ^ scramble(words[first[:n] + k]), 13) * u(5) + u(0xE6546B64)
+    tail = np.flatnonzero(size % 4)
+    h[tail] ^= scramble(words[first[tail] + size[tail] // 4])
+    h ^= size.astype(u)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    out = np.empty(len(bodies), np.int32)
+    out[order] = (h ^ (h >> u(16))).view(np.int32)
+    return out
 
 
 @F.pandas_udf(T.IntegerType())
 def mmh3(body: pd.Series) -> pd.Series:
     """Signed murmur3 of bodies over 28 bytes; 0 for shorter ones."""
-    return body.map(lambda raw: None if raw is None else murmur3_32(raw) if len(raw) > 28 else 0).astype("Int32")
+    long = [i for i, raw in enumerate(body) if raw is not None and len(raw) > 28]
+    out = pd.Series([None if raw is None else 0 for raw in body], dtype="Int32")
+    out.iloc[long] = murmur3_32([body.iloc[i] for i in long])
+    return out
 
 
 def mmh3_body(html: Column) -> Column:

@@ -1,7 +1,7 @@
 """HTML trees and CSS selectors.
 
 Spark has no HTML parser, so pages are parsed in Arrow batches with the standard library's tokenizer and a small tree
-builder: void elements, raw text in script and style, text-only titles, implied ends of p, li, dt, dd, option, tr and
+builder: void elements, raw text in script and style, text-only titles, implied ends of a, p, li, dt, dd, option, tr and
 td, unknown end tags ignored, everything closed at the end.  Selectors are compiled when the query is planned, and its
 output schema is fixed then.  Filter pages before these operators: Catalyst can't push predicates into them.
 """
@@ -25,12 +25,16 @@ SCOPES = {"ul", "ol", "dl", "table", "select", "td", "th", "div", "body", "html"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "depth", "end", "parent", "pos", "start", "tag")
+    __slots__ = ("attrs", "children", "depth", "elements_within", "nth", "parent", "pos", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, pos: int):
         self.tag, self.attrs, self.parent, self.pos = tag, attrs, parent, pos
         self.children: list[Node | str] = []
         self.depth = 0 if parent is None else parent.depth + 1
+        self.elements_within, self.nth = 0, 0  # child elements so far, and this one's place among its parent's
+        if parent is not None:
+            parent.elements_within += 1
+            self.nth = parent.elements_within
 
     def elements(self) -> Iterator[Node]:
         """This node and all below it, in document order."""
@@ -51,13 +55,19 @@ class Node:
         return "".join(out)
 
     def inner_html(self) -> str:
-        def show(c: Node | str, raw: bool) -> str:
+        out: list[str] = []
+        stack: list[tuple[Node | str, str | None]] = [(c, self.tag) for c in reversed(self.children)]  # with what is around; None for an end tag
+        while stack:
+            c, around = stack.pop()
             if isinstance(c, str):
-                return c if raw else html_lib.escape(c, quote=False)
+                out.append(c if around in (None, "script", "style") else html_lib.escape(c, quote=False))
+                continue
             attrs = "".join(f' {k}="{html_lib.escape(v)}"' for k, v in c.attrs.items())
-            return f"<{c.tag}{attrs}/>" if c.tag in VOID else f"<{c.tag}{attrs}>{c.inner_html()}</{c.tag}>"
-
-        return "".join(show(c, self.tag in ("script", "style")) for c in self.children)
+            out.append(f"<{c.tag}{attrs}/>" if c.tag in VOID else f"<{c.tag}{attrs}>")
+            if c.tag not in VOID:
+                stack.append((f"</{c.tag}>", None))
+                stack += [(x, c.tag) for x in reversed(c.children)]
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -69,6 +79,8 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._end("p", {"td", "th", "table", "body", "html", "button"})
+        if tag == "a":  # anchors do not nest
+            self._end("a", SCOPES)
         for group in IMPLIED:
             if tag in group:
                 for other in group:
@@ -139,8 +151,7 @@ def compile_selector(css: str) -> Callable[[Node], list[Node]]:
             if "attr" in t and (t["attr"].lower() not in node.attrs or "val" in t and node.attrs[t["attr"].lower()] != t["val"]):
                 return False
             if "nth" in t:
-                among = [c for c in node.parent.children if isinstance(c, Node)] if node.parent else []
-                if not 0 < int(t["nth"]) <= len(among) or among[int(t["nth"]) - 1] is not node:
+                if node.nth != int(t["nth"]):
                     return False
         return True
 
@@ -195,18 +206,39 @@ def css_extract(pages: DataFrame, spec: dict[str, str], html: str = "html") -> D
     return pages.select(*keep, html).mapInArrow(run, schema)
 
 
-def select(pages: DataFrame, css: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per matching node, in document order: key, idx, pos, parent_pos, depth, tag, attrs, text, inner_html."""
+def select(pages: DataFrame, css: str, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = (), inner: bool = False) -> DataFrame:
+    """One row per matching node, in document order: key, the columns to keep, idx, pos, parent_pos, depth, tag, attrs, text.
+
+    inner: also inner_html.
+    """
+    find = compile_selector(css)
+    kinds = [("idx", "int", pa.int32()), ("pos", "int", pa.int32()), ("parent_pos", "int", pa.int32()), ("depth", "int", pa.int32()), ("tag", "string", pa.string()), ("attrs", "map<string,string>", pa.map_(pa.string(), pa.string())), ("text", "string", pa.string())]
+    kinds += [("inner_html", "string", pa.string())] if inner else []
+
+    def run(batches):
+        for batch in batches:
+            rows, at = [], []
+            for page, raw in enumerate(batch.column(html).to_pylist()):
+                for i, n in enumerate(find(parse(raw))):
+                    rows.append((i, n.pos, n.parent.pos, n.depth, n.tag, list(n.attrs.items()), n.text(), n.inner_html() if inner else None))
+                    at.append(page)
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in (key, *keep)]
+            yield pa.record_batch([*own, *(pa.array([r[c] for r in rows], k[2]) for c, k in enumerate(kinds))], [key, *keep, *(k[0] for k in kinds)])
+
+    schema = T.StructType([*(pages.schema[c] for c in (key, *keep)), *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t, _ in kinds)).fields])
+    return pages.select(key, *keep, html).mapInArrow(run, schema)
+
+
+def each(pages: DataFrame, css: str, do: Callable[[int, Node], str | None], key: str = "page_id", html: str = "html") -> DataFrame:
+    """What do(idx, node) says of every matching node: key, idx, value; nodes of which it says None give no row."""
     find = compile_selector(css)
 
     def run(batches):
         for batch in batches:
-            rows = [(k, i, n.pos, n.parent.pos, n.depth, n.tag, list(n.attrs.items()), n.text(), n.inner_html()) for k, raw in zip(batch.column(key).to_pylist(), batch.column(html).to_pylist(), strict=True) for i, n in enumerate(find(parse(raw)))]
-            kinds = [batch.column(key).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], [key, "idx", "pos", "parent_pos", "depth", "tag", "attrs", "text", "inner_html"])
+            rows = [(k, i, said) for k, raw in zip(batch.column(key).to_pylist(), batch.column(html).to_pylist(), strict=True) for i, n in enumerate(find(parse(raw))) if (said := do(i, n)) is not None]
+            yield pa.record_batch([pa.array([r[0] for r in rows], batch.column(key).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [key, "idx", "value"])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, idx int, pos int, parent_pos int, depth int, tag string, attrs map<string,string>, text string, inner_html string")
+    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, idx int, value string")
 
 
 def titles(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions import text, urls
-from pagemill.operators.news import simple_news
+from pagemill.operators.news import clustered_pages, simple_news
 
 
 def not_done(rows: DataFrame, done: DataFrame | None, key: str = "url") -> DataFrame:
@@ -24,8 +24,9 @@ def first_seen(rows: DataFrame, seen: DataFrame | None = None, key: str = "title
 
 
 def new_titles(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The monitor's step: headline links with titles not seen before."""
-    return first_seen(simple_news(pages).select("page_id", "title", "link"), seen)
+    """The monitor's step: of pages that have a cluster of news links, headline links with titles not seen before."""
+    found = simple_news(pages).join(clustered_pages(pages), "page_id", "left_semi")
+    return first_seen(found.select("page_id", "title", "link"), seen)
 
 
 def alerts(fresh: DataFrame) -> DataFrame:
@@ -34,11 +35,17 @@ def alerts(fresh: DataFrame) -> DataFrame:
     return fresh.groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("body"))
 
 
-def batches(rows: DataFrame, size: int, key: str, bins: int = 64) -> DataFrame:
+def payloads(fresh: DataFrame) -> DataFrame:
+    """The alerts as JSON objects, for whoever sends them: page_id, payload."""
+    return alerts(fresh).select("page_id", F.to_json(F.struct("page_id", "body")).alias("payload"))
+
+
+def batches(rows: DataFrame, size: int, key: str, bin_rows: int = 1_000_000) -> DataFrame:
     """Adds batch: fixed-size runs of rows in the order of a numeric key.
 
-    The row number is taken in two levels (range bins, then rows in a bin), so no task holds all rows.
+    The row number is taken in two levels (range bins of about bin_rows, then rows in a bin), so no task holds all rows.
     """
+    bins = max(64, -(-rows.count() // bin_rows))
     cuts = rows.agg(F.percentile_approx(key, F.array(*(F.lit(i / bins) for i in range(1, bins))), F.lit(10000)).alias("c")).first()["c"] or []
     binned = rows.withColumn("_bin", F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array(), lambda c: c < F.col(key))))
     counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))

@@ -1,31 +1,46 @@
 """Link tables: page links, file links, and headline anchors.
 
-The native path reads anchors by pattern, inside whole-stage code; the exact path takes them from the tree.
+The native path cuts anchors out by pattern, inside whole-stage code, from pages without comments, scripts and styles; an
+anchor ends at its end tag, at the next anchor, or, without either, at the end of a block.  The exact path takes them
+from the tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.functions.text import trim_ws, unescape
+from pagemill.functions.text import trim_ws, unescape, visible
 from pagemill.operators import dom
 
-ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
+#: Attributes up to the end of a tag: quoted values may hold anything.
+ATTRIBUTES = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)"""
+HREF = r"""(?is)^(?:[^"']|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+BLOCK_END = r"(?i)</(?:address|article|aside|blockquote|body|div|dd|dl|dt|footer|form|h[1-6]|header|html|li|main|nav|ol|p|section|table|td|th|tr|ul)\b"
 
 #: Extensions of linked files.
 FILE_TYPES = [".txt", ".zip", ".m3u", ".jpg", ".png", ".ico", ".rar", ".conf", ".md", ".git"]
 
 
+def _anchor(piece: Column) -> Column:
+    """(href, text) of what follows `<a`; a null href for an anchor without one."""
+    attributes = F.regexp_extract(piece, "(?s)^" + ATTRIBUTES + ">", 1)
+    inside = F.substring(piece, F.length(attributes) + 2, F.lit(2**31 - 1))
+    quoted = F.regexp_extract(attributes, HREF, 1)
+    href = F.when(F.rlike(quoted, F.lit("^[\"']")), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
+    closed = F.rlike(inside, F.lit(r"(?i)</a\b"))
+    text = F.get(F.split(inside, F.when(closed, r"(?i)</a\b").otherwise(BLOCK_END), 2), F.lit(0))
+    return F.struct(F.when(F.rlike(attributes, F.lit(HREF)), unescape(href, attribute=True)).alias("href"), unescape(F.regexp_replace(text, "(?s)<[^>]*>", "")).alias("text"))
+
+
 def anchors(pages: DataFrame, exact: bool = False) -> DataFrame:
     """(page_id, url, html) to one row per anchor with an href: page_id, url, pos, href, text."""
     if exact:
-        found = dom.select(pages, "a[href]").select("page_id", F.col("idx").alias("pos"), F.col("attrs")["href"].alias("href"), "text")
-        return pages.select("page_id", "url").join(found, "page_id")
-    rows = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("_h"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("_t"))
-    rows = rows.select("page_id", "url", F.posexplode(F.arrays_zip("_h", "_t")).alias("pos", "_a"))
-    return rows.select("page_id", "url", "pos", unescape(F.col("_a._h")).alias("href"), unescape(F.regexp_replace(F.col("_a._t"), "(?s)<.*?>", "")).alias("text"))
+        return dom.select(pages, "a[href]", keep=("url",)).select("page_id", "url", F.col("idx").alias("pos"), F.col("attrs")["href"].alias("href"), "text")
+    pieces = F.split(visible(F.col("html")), r"(?i)<a(?=[\s/>])")
+    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _anchor), lambda a: a["href"].isNotNull())
+    return pages.select("page_id", "url", F.posexplode(found).alias("pos", "_a")).select("page_id", "url", "pos", F.col("_a.href").alias("href"), F.col("_a.text").alias("text"))
 
 
 def page_links(pages: DataFrame, include_outer: bool = False, exact: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls
 from pagemill.functions.text import trim_ws
 from pagemill.operators.links import headline_anchors
+from pagemill.sources import shared
 
 
 def simple_news(pages: DataFrame, exact: bool = False) -> DataFrame:
@@ -42,14 +43,23 @@ def news_clusters(pages: DataFrame, by: str = "page_id", rank: int = 3, distance
     """
     links = headline_anchors(pages, exact)
     titled = links.groupBy(by, "link").agg(F.max("title").alias("title"))
-    pairs = link_pairs(links, by, distance)
-    seeds = pairs.groupBy(by, "seed").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    pairs = shared.written(link_pairs(titled, by, distance), "pairs")  # read twice below
+    seeds = _seeds(pairs, by)
     order = W.partitionBy(by).orderBy(F.col("n").desc(), "seed")
     seeds = seeds.withColumn("cluster_rank", F.row_number().over(order) - 1).where(F.col("cluster_rank") < rank)
     rows = pairs.join(seeds, [by, "seed"]).join(titled, (titled[by] == pairs[by]) & (titled["link"] == pairs["member"]))
     return rows.select(pairs[by], "cluster_rank", F.col("seed").alias("seed_url"), F.col("member").alias("member_url"), trim_ws(F.col("title")).alias("title"))
 
 
+def _seeds(pairs: DataFrame, by: str) -> DataFrame:
+    return pairs.groupBy(by, "seed").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+
+
+def clustered_pages(pages: DataFrame, distance: float = 0.3) -> DataFrame:
+    """page_id of the pages that have a cluster."""
+    return _seeds(link_pairs(headline_anchors(pages), "page_id", distance), "page_id").select("page_id").distinct()
+
+
 def cluster(rows: DataFrame, rank: int) -> DataFrame:
     """The links of one rank; empty if there is none."""
     return rows.where(F.col("cluster_rank") == rank).select("title", F.col("link") if "link" in rows.columns else F.col("member_url").alias("link"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import unescape
+from pagemill.sources import shared
 
 
 def locations(maps: DataFrame) -> DataFrame:
@@ -26,30 +27,33 @@ def flagged(url: Column, flags: list[str]) -> Column:
     return keep
 
 
-def traverse(maps: DataFrame, roots: DataFrame, done: DataFrame | None = None, flags: list[str] | None = None, max_depth: int = 50) -> DataFrame:
+def traverse(maps: DataFrame, roots: DataFrame, done: DataFrame | None = None, flags: list[str] | None = None, max_depth: int | None = None, admit: Callable[[Column], Column] | None = None) -> DataFrame:
     """Breadth-first from roots (url): pages found, each once with its least depth, as (url, depth).
 
-    Maps are visited once, so cycles end; maps in done, or refused by the flags, are not entered.  Each level is one
-    join and one anti-join before any further work, and its lineage is cut by a table in the shared folder.
+    Maps are parsed once, into a table of edges.  They are visited once, so cycles end, and the walk ends when no map is
+    left (or, if asked for, at a depth); maps in done, or refused by the flags or by admit(url), are not entered.  Each
+    level is one join and one anti-join, and its lineage is cut by a table in the shared folder.
     """
     spark = maps.sparkSession
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/pagemill').rstrip('/')}/sitemap-{uuid.uuid4().hex}"
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    frontier = cut(roots.select("url").distinct(), "0")
-    visited, pages = frontier, None
+    edges = shared.written(locations(maps).distinct(), "edges")
+    frontier = shared.written(roots.select("url").distinct(), "level")
+    visited, pages, depth = frontier, None, 0
     if done is not None:
         visited = visited.unionByName(done.select("url"))
-    for depth in range(max_depth):
-        locs = cut(locations(maps.join(frontier, "url", "left_semi")).select("loc", "is_map").distinct(), f"locs{depth}")
+    while max_depth is None or depth < max_depth:
+        locs = shared.written(edges.join(frontier, "url", "left_semi").select("loc", "is_map").distinct(), "locs")
         found = locs.where(~F.col("is_map")).select(F.col("loc").alias("url"), F.lit(depth).alias("depth"))
         pages = found if pages is None else pages.unionByName(found)
-        further = locs.where("is_map").select(F.col("loc").alias("url"))
-        frontier = cut(further.where(flagged(F.col("url"), flags or [])).join(visited, "url", "left_anti"), f"level{depth + 1}")
+        further = locs.where("is_map").select(F.col("loc").alias("url")).where(flagged(F.col("url"), flags or []))
+        if admit is not None:
+            further = further.where(admit(F.col("url")))
+        frontier = shared.written(further.join(visited, "url", "left_anti"), "level")
+        depth += 1
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if depth % 20 == 0:  # long chains: one table instead of many
+            visited, pages = shared.written(visited, "visited"), shared.written(pages, "found")
+    if pages is None:
+        return spark.createDataFrame([], "url string, depth int")
     return pages.groupBy("url").agg(F.min("depth").alias("depth"))

@@ -15,30 +15,39 @@ from pyspark.sql import types as T
 ATTEMPTS = 5
 
 
-def handled(rows: DataFrame, column: str, handler: Callable[[object, int], str | None], attempts: int = ATTEMPTS) -> DataFrame:
+def handled(rows: DataFrame, column: str, handler: Callable[[object, int], str | None], attempts: int = ATTEMPTS, after: Callable[[object, str | None, str | None, int], str | None] | None = None, on_error: Callable[[str, int, object], str | None] | None = None) -> DataFrame:
     """The rows with result, error and attempts: handler(value, attempt) is called until it does not raise, at most `attempts` times.
 
-    error is the last failure's text, null after success.
+    error is the last failure's text, null after success.  after(value, result, error, attempt) follows every attempt,
+    on_error(error, attempt, value) every failed one; what they return, but None, is kept in order in the column events.
     """
 
-    def call(value) -> tuple[str | None, str | None, int]:
-        error = None
+    def call(value) -> tuple[str | None, str | None, int, list[str]]:
+        error, events = None, []
         for attempt in range(1, attempts + 1):
+            result, error = None, None
             try:
-                return handler(value, attempt), None, attempt
+                result = handler(value, attempt)
             except Exception as e:  # noqa: BLE001  (whatever the handler raises is the row's error)
                 error = f"{type(e).__name__}: {e}"
-        return None, error, attempts
+            told = [on_error(error, attempt, value)] if error and on_error else []
+            told += [after(value, result, error, attempt)] if after else []
+            events += [x for x in told if x is not None]
+            if error is None:
+                return result, None, attempt, events
+        return None, error, attempts, events
 
-    keep = [c for c in rows.columns if c not in ("result", "error", "attempts")]
+    new = ["result", "error", "attempts", "events"]
+    keep = [c for c in rows.columns if c not in new]
 
     def run(batches):
         for batch in batches:
             found = [call(v) for v in batch.column(column).to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32())], [*keep, "result", "error", "attempts"])
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], [*keep, *new])
 
     rows = rows.select(*keep)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("result string, error string, attempts int").fields]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("result string, error string, attempts int, events array<string>").fields]))
 
 
 def progress(rows: DataFrame) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import templates, text, urls
 from pagemill.operators import article, dom, generators, incremental, links, news, sitemap, tasks
-from pagemill.sources import config, readers, sinks
-from pagemill.streaming import monitor
+from pagemill.operators.pages import Pages
+from pagemill.sources import config, readers, shared, sinks
+from pagemill.streaming import monitor, supervisor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -33,8 +32,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/pagemill"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.new_path(spark, name)
 
 
 # Pieces of oracle SQL.
@@ -43,8 +41,9 @@ TRIM = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def UNESCAPE(c: str) -> str:
-    for entity, char in text.ENTITIES:
-        c = f"replace({c}, '{entity}', '{char}')"
+    """The references that the made-up pages hold."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("#38", "&"), ("copy", "©"), ("eacute", "é"), ("nbsp", "\u00a0"), ("middot", "·"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
     return c
 
 
@@ -62,6 +61,24 @@ linked AS (SELECT page_id, host, pos, text AS title, CASE WHEN {TRIM('href')} LI
     WHEN {TRIM('href')} LIKE 'http%' THEN {TRIM('href')} END AS link FROM anchors WHERE strlen(text) >= 7),
 heads AS (SELECT page_id, host, link, max_by(title, pos) AS title FROM linked WHERE link IS NOT NULL GROUP BY ALL)
 """
+#: Pages whose every third has a list of six similar headlines after its own text, and whose others have none.
+_LIST = """CASE WHEN page_id % 3 = 0 THEN concat(html, '<ul>', {items}, '</ul>') ELSE html END"""
+_ITEM = """'<li><a href="/news/2024/', CAST(page_id AS STRING), '/story-{i}">Headline number {i} of page ', CAST(page_id AS STRING), ', in full</a>'"""
+LISTED = _LIST.format(items=", ".join(_ITEM.format(i=i) for i in range(6)))
+#: Anchors in a comment and in a script, without quotes, in single quotes, with numbered references, unclosed.
+ODD = """concat(html, '<!-- <a href="/hidden">In a comment, hidden</a> --><script>var x = "<a href=', chr(39), '/scripted', chr(39), '>In a script, hidden</a>";</script>',
+  '<p><a class=x href=/plain/', CAST(page_id AS STRING), '>Unquoted, and long enough</a> <a title="a > b" href=', chr(39), '/q?a=1&amp;b=&#38;c', chr(39), '>Quoted &#39;once&#x27;, caf&eacute;</a> <a href="/open/', CAST(page_id AS STRING), '">Left open, to the end</p>')"""
+
+
+def _on(html: str, sql: str) -> str:
+    """The SQL over pages with other html."""
+    return sql.replace("FROM pages", f"FROM (SELECT page_id, url, {html.replace('AS STRING', 'AS VARCHAR')} AS html FROM pages) pages")
+
+
+def with_html(spark: SparkSession, sf: str, html: str) -> DataFrame:
+    return table(spark, sf, "pages").withColumn("html", F.expr(html))
+
+
 LINKS = f"""WITH {ANCHORS}, page_links AS (SELECT DISTINCT page_id, regexp_replace(site, '/$', '') || href AS link FROM anchors WHERE href LIKE '/%' AND href <> '/')"""
 
 
@@ -73,6 +90,21 @@ def page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.title(F.col("html")).alias("title"))
 
 
+_TITLED = "concat('<!-- <title>none</title> --><title>One &amp; &#39;two&#39; &eacute;</title>', html, '<title lang=x>three </title>')"
+_TITLES = _on(_TITLED, f"SELECT page_id, 'One & ''two'' é' || {UNESCAPE("regexp_extract(replace(html, '<!-- <title>none</title> --><title>One &amp; &#39;two&#39; &eacute;</title>', ''), '(?is)<title[^>]*>(.*?)</title>', 1)")} || 'three ' AS title FROM pages")
+
+
+@query(_TITLES)
+def page_titles(spark, sf):
+    """All titles of pages that have three, one of them in a comment besides."""
+    return with_html(spark, sf, _TITLED).select("page_id", text.title(F.col("html")).alias("title"))
+
+
+@query(_TITLES)
+def page_titles_dom(spark, sf):
+    return dom.titles(with_html(spark, sf, _TITLED))
+
+
 @query(ORACLES["page_title"])
 def page_title_dom(spark, sf):
     return dom.titles(table(spark, sf, "pages"))
@@ -138,12 +170,30 @@ def header_json(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.header_json(h).alias("as_json"), text.header_lines(h).alias("as_lines"))
 
 
-@query()
+def _murmur3(raw: str) -> str:
+    """The hash of text as SQL over its hexadecimal digits."""
+    m = "4294967295::HUGEINT"
+    turn = lambda x, r: f"((({x}) * {1 << r}) % 4294967296 + ({x}) // {1 << 32 - r})"
+    number = lambda digits: f"('0x' || {digits})::UBIGINT::HUGEINT"
+    scramble = lambda k: f"(({turn(f'(({k}) * 3432918353) % 4294967296', 15)}) * 461845907) % 4294967296"
+    word = "substr(x, k * 8 + 7, 2) || substr(x, k * 8 + 5, 2) || substr(x, k * 8 + 3, 2) || substr(x, k * 8 + 1, 2)"
+    return f"""WITH b AS (SELECT page_id, lower(hex(encode({raw}))) AS x, strlen({raw}) AS bytes FROM pages),
+k AS (SELECT page_id, x, bytes, list_transform(range(0, bytes // 4), lambda k: {scramble(number(word))}) AS ks,
+  CASE WHEN bytes % 4 = 0 THEN 0 ELSE ('0x' || regexp_replace(reverse(substr(x, (bytes // 4) * 8 + 1)), '(.)(.)', '\\2\\1', 'g'))::UBIGINT::HUGEINT END AS rest FROM b),
+t AS (SELECT page_id, bytes, list_reduce(ks, lambda h, k: (({turn('xor(h, k)', 13)}) * 5 + 3864292196) % 4294967296, 0::HUGEINT) AS h, {scramble('rest')} AS rest FROM k),
+a AS (SELECT page_id, bytes, xor(xor(h, rest), bytes::HUGEINT) AS h FROM t),
+f AS (SELECT page_id, bytes, (xor(h, h // 65536) * 2246822507) % 4294967296 AS h FROM a),
+g AS (SELECT page_id, bytes, (xor(h, h // 8192) * 3266489909) % 4294967296 AS h FROM f),
+z AS (SELECT page_id, bytes, xor(h, h // 65536) AS h FROM g)
+SELECT page_id, CAST(CASE WHEN bytes <= 28 THEN 0 WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS mmh3 FROM z"""
+
+
+@query(_murmur3("html"))
 def mmh3_body(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.mmh3_body(F.col("html")).alias("mmh3"))
 
 
-@query()
+@query(_murmur3("CASE WHEN html = '' THEN '' ELSE regexp_replace(base64(encode(html)), '(.{76}|.+$)', '\\1' || chr(10), 'g') END"))
 def mmh3_base64(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.mmh3_base64(F.col("html")).alias("mmh3"))
 
@@ -213,6 +263,25 @@ def page_links_dom(spark, sf):
     return links.page_links(table(spark, sf, "pages"), exact=True)
 
 
+_ODD_LINKS = f"""{LINKS} SELECT page_id, link FROM page_links UNION SELECT page_id, regexp_replace({SITE}, '/$', '') || unnest(['/plain/' || page_id, '/q?a=1&b=&c', '/open/' || page_id]) FROM pages"""
+
+
+@query(_ODD_LINKS)
+def odd_links(spark, sf):
+    """Links of pages with anchors hidden, unquoted, numbered and unclosed."""
+    return links.page_links(with_html(spark, sf, ODD))
+
+
+@query(_ODD_LINKS)
+def odd_links_dom(spark, sf):
+    return links.page_links(with_html(spark, sf, ODD), exact=True)
+
+
+@query(f"WITH {NEWS} SELECT page_id, host, link, title FROM heads UNION SELECT page_id, {HOST}, {HOST} || unnest(['/plain/' || page_id, '/q?a=1&b=&c', '/open/' || page_id]), unnest(['Unquoted, and long enough', 'Quoted ''once'', café', 'Left open, to the end']) FROM pages")
+def odd_headlines(spark, sf):
+    return links.headline_anchors(with_html(spark, sf, ODD)).select("page_id", "host", "link", "title")
+
+
 @query(f"{LINKS} SELECT regexp_extract(link, '^[a-z]+://([^/?#:]*)', 1) AS host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM page_links GROUP BY 1")
 def page_links_by_host(spark, sf):
     rows = links.page_links(table(spark, sf, "pages")).withColumn("host", urls.hostname(F.col("link")))
@@ -222,9 +291,10 @@ def page_links_by_host(spark, sf):
 _NAMED = "CASE page_id % 4 WHEN 0 THEN '/f.txt' WHEN 1 THEN '/a.b/c.txt' WHEN 2 THEN '/F.TXT' ELSE '/pic.png' END"
 
 
-@query(f"SELECT page_id, {SITE} || {_NAMED} AS link FROM pages WHERE page_id % 4 IN (0, 3)")
+@query(f"{LINKS}, named AS (SELECT page_id, {SITE} || {_NAMED} AS link FROM pages) SELECT DISTINCT page_id, link FROM (FROM page_links UNION FROM named) WHERE regexp_extract(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.[a-zA-Z0-9]+', 0) IN ('.txt', '.png', '.md', '.jpg', '.ico', '.zip', '.rar', '.conf', '.m3u', '.git')")
 def file_links(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("html", F.concat(F.lit('<a href="'), F.expr(_NAMED), F.lit('">file</a>')))
+    """Of the pages' own links, and one to a file in each."""
+    pages = table(spark, sf, "pages").withColumn("html", F.concat("html", F.lit('<a href="'), F.expr(_NAMED), F.lit('">file</a>')))
     return links.file_links(links.page_links(pages))
 
 
@@ -254,9 +324,9 @@ SELECT r.g AS {by}, CAST(cluster_rank AS INTEGER) AS cluster_rank, seed AS seed_
 FROM ranked r JOIN titled t ON r.g = t.g AND r.member = t.link WHERE cluster_rank < 3"""
 
 
-@query(_clusters("page_id"))
+@query(_on(LISTED, _clusters("page_id")))
 def news_clusters_by_page(spark, sf):
-    return news.news_clusters(table(spark, sf, "pages"))
+    return news.news_clusters(with_html(spark, sf, LISTED))
 
 
 @query(_clusters("host"))
@@ -279,10 +349,12 @@ def node_selections(spark, sf):
     return both.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("idx").cast("long").alias("last_idx"))
 
 
-@query(f"WITH t AS (SELECT {HOST} AS host, md5({TEXT}) AS text_hash FROM pages, (SELECT unnest([1, 2]))) SELECT host, text_hash, count(*) AS n_pages FROM t GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH t AS (SELECT {HOST} AS host, md5({TEXT}) AS text_hash FROM pages UNION ALL SELECT {HOST}, md5('No such page on ' || {HOST}) FROM pages) SELECT host, text_hash, count(*) AS n_pages FROM t GROUP BY ALL HAVING count(*) > 1")
 def soft_404_groups(spark, sf):
-    pages = table(spark, sf, "pages")
-    return incremental.soft_404(pages.unionByName(pages))
+    """Stored pages, and for each a missing one that its host answers with the same words."""
+    pages = table(spark, sf, "pages").select("url", "html")
+    missing = pages.select(F.concat("url", F.lit("?missing")).alias("url"), F.concat(F.lit("<p>No such page on "), urls.hostname(F.col("url")), F.lit("</p>")).alias("html"))
+    return incremental.soft_404(pages.unionByName(missing))
 
 
 @query("SELECT page_id, CAST(100 + strlen(url) % 5 * 100 AS INTEGER) AS status FROM pages WHERE 100 + strlen(url) % 5 * 100 BETWEEN 200 AND 399 AND url LIKE 'https%'")
@@ -316,6 +388,23 @@ def article_text(spark, sf):
     return article.articles(table(spark, sf, "pages"))
 
 
+_DATED = "concat(html, '<div>Posted 2024-03-', lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0'), ' 06:07:08, updated 1999/1/2</div>')"
+
+
+@query(ARTICLE.replace("CAST(NULL AS TIMESTAMP) AS date", f"CASE WHEN strlen({TRIM('t')}) >= 30 THEN CAST('2024-03-01 06:07:08' AS TIMESTAMP) + to_days(CAST(page_id % 28 AS INTEGER)) END AS date"))
+def article_dates(spark, sf):
+    """Articles of pages with two dates after their text."""
+    return article.articles(with_html(spark, sf, _DATED))
+
+
+@query(f"SELECT text, title, date, author, link FROM ({ARTICLE}) WHERE text <> ''")
+def stream_articles(spark, sf):
+    """The streaming sink of articles."""
+    path = scratch(spark, "articles")
+    monitor.article_sink(_stream(spark, sf), f"{path}/out", f"{path}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema("text string, title string, date timestamp, author string, link string").json(f"{path}/out")
+
+
 @query(f"WITH {ANCHORS} SELECT page_id, {TRIM(ORACLES['page_title'].split('page_id, ', 1)[1].rsplit(' AS title', 1)[0])} AS title, (SELECT string_agg(href, ' ' ORDER BY pos) FROM anchors a WHERE a.page_id = p.page_id) AS hrefs FROM pages p")
 def css_extract(spark, sf):
     rows = dom.css_extract(table(spark, sf, "pages").select("page_id", "html"), {"title": "head > title", "hrefs": "a[href] | href"})
@@ -326,12 +415,28 @@ def css_extract(spark, sf):
 n AS (SELECT page_id, class, count(*) AS n, max(pos) AS reached FROM d GROUP BY ALL HAVING count(*) >= 2)
 SELECT page_id, arg_min(class, -n * 100 + reached) AS class FROM n GROUP BY page_id""")
 def modal_div(spark, sf):
+    """Six divs after each page's own."""
     pages = table(spark, sf, "pages")
     divs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit('<div class="c'), ((F.col("page_id") + i * i) % 4).cast("string"), F.lit('">x</div>')))
-    nodes = dom.select(pages.select("page_id", F.array_join(divs, "").alias("html")), "div[class]")
+    nodes = dom.select(pages.select("page_id", F.concat("html", F.array_join(divs, "")).alias("html")), "div[class]")
     return article.modal_classes(nodes.select("page_id", "pos", F.col("attrs")["class"].alias("class")))
 
 
+@query(f"WITH {ANCHORS} SELECT page_id, CAST(pos - 1 AS INTEGER) AS idx, href || '#' || (pos - 1) AS value FROM anchors WHERE (pos - 1) % 2 = 0")
+def each_node(spark, sf):
+    """A callback over every other anchor."""
+    return Pages.of(table(spark, sf, "pages")).each("a[href]", lambda i, node: f"{node.attrs['href']}#{i}" if i % 2 == 0 else None)
+
+
+@query(f"WITH {ANCHORS}, g AS (SELECT page_id, 'links' AS what, count(*) AS n FROM anchors WHERE page_id % 5 <> 0 GROUP BY ALL) FROM g UNION ALL SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'timed out' ELSE 'no document' END, 0 FROM pages WHERE page_id % 5 = 0")
+def pages_with_errors(spark, sf):
+    """The chain over pages of which every fifth has failed or is missing."""
+    rows = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 10 != 5, F.col("html")).alias("html"), F.when(F.col("page_id") % 10 == 0, "timed out").alias("err"))
+    pages = Pages.of(rows).select("a[href]")
+    counts = pages.selected.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select("page_id", F.lit("links").alias("what"), "n")
+    return counts.unionByName(pages.errors.select("page_id", F.col("err").alias("what"), F.lit(0).cast("long").alias("n")))
+
+
 # -- generators, templates, values, arrays ------------------------------------------------------------------------------------
 
 
@@ -345,6 +450,20 @@ def enumerate_list(spark, sf):
     return generators.enumerate_urls("https://s/{id}", {"id": generators.listed(spark, ["a", "", "c"])})
 
 
+@query("SELECT CAST(i AS BIGINT) AS pos, CAST(1 << i AS VARCHAR) AS value FROM (SELECT unnest(range(0, 30)) AS i)")
+def enumerate_steps(spark, sf):
+    """A generator of one's own: doubles until it ends."""
+    return generators.stepped(spark, lambda last: "1" if last is None else str(2 * int(last)) if int(last) < 1 << 29 else None)
+
+
+@query("SELECT CAST(i AS BIGINT) AS pos, 'https://example.org/p/' || i AS url, html FROM (SELECT unnest(range(0, 401)) AS i) LEFT JOIN pages ON page_id = i")
+def enumerate_pages(spark, sf):
+    """Enumerated URLs with the stored pages, where there are any."""
+    wanted = generators.enumerate_urls("https://example.org/p/{id}", {"id": generators.int_range(spark, 0, 399)})
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("https://example.org/p/"), F.col("page_id").cast("string")).alias("url"), "html")
+    return generators.looked_up(wanted, pages).select("pos", "url", "html")
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS pos, 'https://' || lower(replace(r_name, ' ', '-')) || '.example.org/' || n_name || '/' || r_name AS url FROM nation JOIN region ON n_nationkey = r_regionkey")
 def zip_templates(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("value"))
@@ -390,16 +509,32 @@ def resume_anti(spark, sf):
     return incremental.not_done(pages, done)
 
 
-@query(f"WITH {NEWS}, s AS ({SIMPLE}), seen AS (SELECT DISTINCT title FROM s JOIN pages USING (page_id) WHERE url LIKE 'https%') SELECT page_id, title, link FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s WHERE title NOT IN (SELECT title FROM seen)) WHERE k = 1")
+_GATED = f"""WITH {NEWS}, titled AS (SELECT page_id AS g, link, max(title) AS title FROM heads GROUP BY ALL),
+pairs AS (SELECT a.g, a.link AS seed, b.link AS member FROM titled a JOIN titled b ON a.g = b.g AND a.link < b.link), {PAIR_SQL},
+gate AS (SELECT DISTINCT g FROM (SELECT g, seed FROM dist WHERE distance < 0.3::FLOAT GROUP BY g, seed HAVING count(*) > 3)),
+every AS ({SIMPLE}), s AS (SELECT * FROM every WHERE page_id IN (SELECT g FROM gate))"""
+_FIRST = "SELECT page_id, title, link FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s) WHERE k = 1"
+
+
+@query(_on(LISTED, f"{_GATED}, seen AS (SELECT DISTINCT title FROM every WHERE page_id % 2 = 0) {_FIRST.replace('FROM s)', 'FROM s WHERE title NOT IN (SELECT title FROM seen))')}"))
 def first_seen_titles(spark, sf):
-    pages = table(spark, sf, "pages")
-    seen = news.simple_news(pages.where("url LIKE 'https%'")).select("title")
+    """What the pages that have clusters say that the even ones have not said."""
+    pages = with_html(spark, sf, LISTED)
+    seen = news.simple_news(pages.where("page_id % 2 = 0")).select("title")
     return incremental.new_titles(pages, seen)
 
 
-@query(f"WITH {NEWS}, s AS ({SIMPLE}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, link) AS k FROM s) WHERE k = 1) SELECT page_id, string_agg(title || ' ( ' || link || ' ) ' || chr(10), '' ORDER BY link, title) AS body FROM f GROUP BY page_id")
+_ALERTS = f"{_GATED}, f AS ({_FIRST}), a AS (SELECT page_id, string_agg(title || ' ( ' || link || ' ) ' || chr(10), '' ORDER BY link, title) AS body FROM f GROUP BY page_id)"
+
+
+@query(_on(LISTED, f"{_ALERTS} FROM a"))
 def alert_texts(spark, sf):
-    return incremental.alerts(incremental.new_titles(table(spark, sf, "pages")))
+    return incremental.alerts(incremental.new_titles(with_html(spark, sf, LISTED)))
+
+
+@query(_on(LISTED, f"{_ALERTS} SELECT page_id, CAST(to_json({{'page_id': page_id, 'body': body}}) AS VARCHAR) AS payload FROM a"))
+def alert_payloads(spark, sf):
+    return incremental.payloads(incremental.new_titles(with_html(spark, sf, LISTED)))
 
 
 @query("SELECT page_id, CAST((row_number() OVER (ORDER BY page_id) - 1) // 30 AS BIGINT) AS batch FROM pages")
@@ -423,7 +558,7 @@ def state_map(spark, sf):
 def raw_response(spark, sf):
     raw = F.concat(F.lit("HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nSet-Cookie: a\r\nset-cookie:  b\r\n\r\n"), "html")
     rows = readers.raw_responses(table(spark, sf, "pages").select("page_id", raw.cast("binary").alias("raw")))
-    return rows.select("page_id", "status", F.col("headers")["Content-Type"][0].alias("content_type"), F.col("headers")["Set-Cookie"][1].alias("second_cookie"), "body")
+    return rows.select("page_id", "status", F.col("headers")["Content-Type"][0].alias("content_type"), F.col("headers")["Set-Cookie"][1].alias("second_cookie"), text.decode_charset("body").alias("body"))
 
 
 # -- sitemaps -----------------------------------------------------------------------------------------------------------------
@@ -450,6 +585,12 @@ def sitemap_bfs(spark, sf):
     return sitemap.traverse(maps, spark.createDataFrame([("http://maps/root.xml",)], "url string"), flags=["+http", "-.org.xml"])
 
 
+@query(f"SELECT DISTINCT url, 1 AS depth FROM pages WHERE {HOST} LIKE '%e%'")
+def sitemap_predicate(spark, sf):
+    """Maps admitted by a test of their URL."""
+    return sitemap.traverse(_maps(spark, sf), spark.createDataFrame([("http://maps/root.xml",)], "url string"), admit=lambda url: F.contains(F.regexp_replace(url, r"^http://maps/|\.xml$", ""), F.lit("e")))
+
+
 @query("SELECT page_id, CASE WHEN contains(url, 'net') THEN false WHEN contains(url, 'example') THEN true ELSE false END AS a, CASE WHEN contains(url, 'example') THEN true ELSE false END AS b, true AS c FROM pages")
 def channel_flags(spark, sf):
     u = F.col("url")
@@ -488,7 +629,18 @@ def handled_rows(spark, sf):
             raise ValueError("not yet")
         return f"ok {value}"
 
-    return tasks.handled(table(spark, sf, "pages").select("page_id"), "page_id", handler)
+    return tasks.handled(table(spark, sf, "pages").select("page_id"), "page_id", handler).drop("events")
+
+
+@query("""SELECT page_id, array_to_string(list_transform(range(1, least(page_id % 7 + 1, 5) + 1), lambda k: CASE WHEN k <= page_id % 7 THEN 'error ' || k || ';' ELSE '' END || 'after ' || k || CASE WHEN k <= page_id % 7 THEN ' -' ELSE ' ok' END), ';') AS events FROM pages""")
+def handled_hooks(spark, sf):
+    def handler(value, attempt):
+        if attempt <= value % 7:
+            raise ValueError("not yet")
+        return "ok"
+
+    rows = tasks.handled(table(spark, sf, "pages").select("page_id"), "page_id", handler, after=lambda v, result, error, k: f"after {k} {result or '-'}", on_error=lambda error, k, v: f"error {k}")
+    return rows.select("page_id", F.array_join("events", ";").alias("events"))
 
 
 @query("SELECT CASE WHEN page_id % 7 < 5 THEN 'done' ELSE 'failed' END AS outcome, count(*) AS n FROM pages GROUP BY 1")
@@ -511,25 +663,75 @@ def state_sink(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS ts, 'ok' AS level, '2024-01-01 00:00:00 ' || url AS message FROM pages")
+@query("SELECT CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS ts, CASE WHEN page_id % 7 < 5 THEN 'ok' ELSE 'err' END AS level, '2024-01-01 00:00:00 | ' || CASE WHEN page_id % 7 < 5 THEN 'ok ' || page_id ELSE 'ValueError: not yet' END AS message FROM pages")
 def log_sink(spark, sf):
-    return sinks.log_rows(table(spark, sf, "pages"), "ok", "url", "2024-01-01 00:00:00")
+    """Results and errors of handled rows, written and read back."""
+    path = scratch(spark, "log")
+    sinks.write_log(sinks.result_log(handled_rows(spark, sf), "2024-01-01 00:00:00"), path)
+    return spark.read.schema("ts timestamp, level string, message string").json(path)
+
+
+def _nation_pages(spark, sf) -> DataFrame:
+    return table(spark, sf, "nation").select(F.concat(F.lit("http://s/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit('<h1 class="t big"> '), "n_name", F.lit('</h1><img id=main src="i'), F.col("n_nationkey").cast("string"), F.lit('">')).alias("html"))
+
+
+_SPEC = config.MARK + '---\n{"names": ["name", "image"], "css": {"name": "h1.t", "image": "img#main | src"}}'
 
 
-@query("SELECT n_name AS name, 'i' || n_nationkey AS image FROM nation WHERE n_nationkey BETWEEN 2 AND 11")
+@query("SELECT n_name AS name, 'i' || n_nationkey AS image FROM nation")
 def extract_job(spark, sf):
-    job = config.read_config("domain: http://s/{id}\nstartId: 2\nendId: 10\n# note: x\n" + config.MARK + '---\n{"names": ["name", "image"], "css": {"name": "h1.t", "image": "img#main | src"}}')
-    pages = table(spark, sf, "nation").select(F.concat(F.lit("http://s/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit('<h1 class="t big"> '), "n_name", F.lit('</h1><img id=main src="i'), F.col("n_nationkey").cast("string"), F.lit('">')).alias("html"))
-    return generators.extract(spark, job, pages)
+    """A range of numbers that goes beyond the pages."""
+    return generators.extract(spark, config.read_config("domain: http://s/{id}\nstartId: 0\nendId: 40\n# note: x\n" + _SPEC), _nation_pages(spark, sf))
 
 
-@query(f"WITH {NEWS}, s AS ({SIMPLE}) SELECT DISTINCT title FROM s")
+@query("SELECT n_name AS _c0, 'i' || n_nationkey AS _c1 FROM nation")
+def extract_to_file(spark, sf):
+    """A job from its file of ids, some of them without a page, to its output."""
+    path = scratch(spark, "job")
+    table(spark, sf, "nation").select(F.explode(F.array(F.concat(F.lit(" "), F.col("n_nationkey").cast("string")), F.concat(F.lit("x"), F.col("n_nationkey").cast("string")))).alias("value")).write.text(f"{path}/ids")
+    generators.run_job(spark, config.read_config(f"domain: http://s/{{id}}\nid_file: {path}/ids\noutput: {path}/out\n" + _SPEC), _nation_pages(spark, sf))
+    return spark.read.csv(f"{path}/out")
+
+
+def _stream(spark, sf, pages: DataFrame | None = None) -> DataFrame:
+    """The stored pages, or others written first, as a stream of files."""
+    where = f"{sf}/pages.parquet"
+    if pages is not None:
+        where = scratch(spark, "pages")
+        pages.repartition(4, "page_id").write.parquet(where)
+    schema = spark.read.parquet(where).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    is_dir = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return monitor.page_stream(spark, where if is_dir else sf, schema, "*.parquet" if is_dir else "pages.parquet", files=2)
+
+
+@query(_on(LISTED, f"{_GATED} SELECT DISTINCT title FROM s"))
 def stream_first_seen(spark, sf):
     path = scratch(spark, "stream")
-    schema = table(spark, sf, "pages").schema
-    where = f"{sf}/pages.parquet"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(where)
-    is_dir = fs.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs).isDirectory()
-    pages = monitor.page_stream(spark, where if is_dir else sf, schema, "*.parquet" if is_dir else "pages.parquet", files=2)
-    monitor.watch(pages, f"{path}/seen", f"{path}/checkpoint", f"{path}/alerts").awaitTermination()
+    monitor.watch(_stream(spark, sf, with_html(spark, sf, LISTED)), f"{path}/seen", f"{path}/checkpoint", f"{path}/alerts").awaitTermination()
     return spark.read.parquet(f"{path}/seen").select("title")
+
+
+@query("SELECT count(*) AS n_rows FROM pages")
+def stream_progress(spark, sf):
+    """Rows that a supervised stream reports, batch by batch, with one restart after a failure."""
+    path, failed, seen = scratch(spark, "progress"), [], supervisor.Progress()
+
+    def step(batch, epoch):
+        if not failed:
+            failed.append(epoch)
+            raise RuntimeError("fails once")
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    def start():
+        stream = _stream(spark, sf, table(spark, sf, "pages")) if not failed else start.stream
+        start.stream = stream
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    spark.streams.addListener(seen)
+    try:
+        supervisor.supervise(start, every=1.0)
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(seen)
+    return spark.createDataFrame([(sum(seen.batches.values()),)], "n_rows long")

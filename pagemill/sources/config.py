@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+#: Fixed value: what begins the line before the object.
 MARK = "------------------- TEMP EXTRACT "
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import trim_ws
+from pagemill.sources import shared
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -13,9 +14,10 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds status, headers (name to values, in order) and body from raw HTTP responses; null where there is no head."""
-    text = F.col(raw).cast("string")
-    head, ok = F.substring_index(text, "\r\n\r\n", 1), F.rlike(text, F.lit(r"(?s)^HTTP/[0-9.]+ [0-9]{3}.*?\r\n\r\n"))
+    """Adds status, headers (name to values, in order) and body, as bytes, from raw HTTP responses; null where there is no head."""
+    data = F.col(raw).cast("binary")
+    head = F.substring_index(data.cast("string"), "\r\n\r\n", 1)
+    ok = F.rlike(head, F.lit(r"^HTTP/[0-9.]+ [0-9]{3}")) & (F.octet_length(data) >= F.octet_length(head) + 4)
     lines = F.filter(F.split(head, "\r\n"), lambda line, i: (i > 0) & F.contains(line, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.initcap(F.replace(trim_ws(F.substring_index(x, ":", 1)), F.lit("-"), F.lit(" "))).alias("k"), trim_ws(F.substring(x, F.instr(x, ":") + 1, F.lit(2**31 - 1))).alias("v")))
     pairs = F.transform(pairs, lambda p: F.struct(F.replace(p["k"], F.lit(" "), F.lit("-")).alias("k"), p["v"].alias("v")))
@@ -25,7 +27,7 @@ def raw_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
         {
             "status": F.when(ok, F.regexp_extract(head, r"^HTTP/[0-9.]+ ([0-9]{3})", 1).try_cast("int")),
             "headers": F.when(ok, headers),
-            "body": F.when(ok, F.substring(text, F.length(head) + 5, F.lit(2**31 - 1))),
+            "body": F.when(ok, F.substring(data, F.octet_length(head) + 5, F.lit(2**31 - 1))),
         }
     )
 
@@ -45,6 +47,12 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(trim_ws(F.col("value")).alias("value"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, value): trimmed lines in file order, which pos keeps without a count over all of them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.select(F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("pos"), trim_ws(F.col("value")).alias("value"))
+
+
 def done_urls(lines: DataFrame, maps_only: bool = False) -> DataFrame:
     """Of lines (value): trimmed ones that start with http, and for maps end in .xml."""
     rows = lines.select(trim_ws(F.col("value")).alias("url")).where(F.startswith("url", F.lit("http")))
@@ -53,8 +61,7 @@ def done_urls(lines: DataFrame, maps_only: bool = False) -> DataFrame:
 
 def done_set(spark: SparkSession, path: str, maps_only: bool = False) -> DataFrame:
     """A missing file is an empty set."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not shared.exists(spark, path):
         return spark.createDataFrame([], "url string")
     return done_urls(spark.read.text(path), maps_only)
 

@@ -29,4 +29,14 @@ def save_state(seen: DataFrame, path: str) -> None:
 def log_rows(rows: DataFrame, level: str, message: str, at: str) -> DataFrame:
     """(ts, level, message) with the message after its time."""
     ts = F.to_timestamp(F.lit(at))
-    return rows.select(ts.alias("ts"), F.lit(level).alias("level"), F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.col(message)).alias("message"))
+    return rows.select(ts.alias("ts"), F.lit(level).alias("level"), F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), F.col(message)).alias("message"))
+
+
+def result_log(handled: DataFrame, at: str) -> DataFrame:
+    """The log of handled rows: their results as `ok`, their errors as `err`."""
+    return log_rows(handled.where("error IS NULL AND result IS NOT NULL"), "ok", "result", at).unionByName(log_rows(handled.where("error IS NOT NULL"), "err", "error", at))
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """Appends one JSON object per row."""
+    log.select("ts", "level", "message").write.mode("append").json(path)

@@ -1,11 +1,15 @@
 import datetime
+import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from pagemill.functions import text
 from pagemill.operators import article, dom, generators, incremental, links, news, sitemap
+from pagemill.operators.pages import Pages
 from pagemill.sources import config, readers, sinks
-from pagemill.streaming import monitor
+from pagemill.streaming import monitor, supervisor
 
 PAGES = "page_id long, url string, html string"
 
@@ -148,7 +152,13 @@ def test_extract_job(spark, tmp_path):
     assert config.read_config("startId: x\nproxy: p\n") == config.ExtractJob()
     assert '"start_id": 1' in job.to_json()
     stored = spark.createDataFrame([(1, "https://example.org/item/7", '<h1 class="title">T</h1>'), (2, "https://example.org/item/8", "<p></p>")], PAGES)
-    assert [tuple(r) for r in generators.extract(spark, job, stored, ["7", "8", "9"]).collect()] == [("T", "")]
+    assert [tuple(r) for r in generators.extract(spark, job, stored, generators.listed(spark, ["7", "8", "9"])).collect()] == [("T", "")]
+    (tmp_path / "ids").write_text("8\n 7 \n9\n")
+    job.id_file, job.output = str(tmp_path / "ids"), str(tmp_path / "out")
+    generators.run_job(spark, job, stored)
+    assert [tuple(r) for r in spark.read.csv(job.output).collect()] == [("T", None)]
+    wanted = generators.looked_up(generators.enumerate_urls(job.domain, {"id": generators.listed(spark, ["7", "9"])}), stored.select("url", "page_id"))
+    assert {(r.url[-1], r.page_id) for r in wanted.collect()} == {("7", 1), ("9", None)}
 
 
 def test_sitemap(spark):
@@ -160,6 +170,14 @@ def test_sitemap(spark):
     assert got(done=spark.createDataFrame([("a.xml",)], "url string")) == {("p0", 0), ("p1", 1), ("p3&q", 2)}
     assert got(flags=["+xml", "-b"]) == {("p0", 0), ("p1", 1), ("p2", 1)}
     assert got(max_depth=1) == {("p0", 0)}
+    assert got(max_depth=0) == set()
+    assert got(admit=lambda u: u != "b.xml") == {("p0", 0), ("p1", 1), ("p2", 1)}
+
+
+def test_long_chain_of_sitemaps(spark):
+    maps = spark.createDataFrame([(f"{i}.xml", f"<loc>{i + 1}.xml</loc><loc>p{i}</loc>") for i in range(60)], "url string, xml string").coalesce(1)
+    got = sitemap.traverse(maps, spark.createDataFrame([("0.xml",)], "url string"))
+    assert {tuple(r) for r in got.collect()} == {(f"p{i}", i) for i in range(60)}
 
 
 def test_incremental(spark, tmp_path):
@@ -180,7 +198,9 @@ def test_incremental(spark, tmp_path):
 def test_raw_response(spark):
     raw = [(b"HTTP/1.1 404 Not Found\r\nX-A: 1\r\nx-a: 2\r\n\r\nbody\r\n\r\nmore",), (b"junk",), (None,)]
     got = readers.raw_responses(spark.createDataFrame(raw, "raw binary")).collect()
-    assert (got[0].status, got[0].headers, got[0].body) == (404, {"X-A": ["1", "2"]}, "body\r\n\r\nmore")
+    assert (got[0].status, got[0].headers, got[0].body) == (404, {"X-A": ["1", "2"]}, b"body\r\n\r\nmore")
+    binary = readers.raw_responses(spark.createDataFrame([(b"HTTP/1.1 200 OK\r\n\r\n\xff\x00\xfe",)], "raw binary")).first()
+    assert bytes(binary.body) == b"\xff\x00\xfe"
     assert got[1].status is None and got[1].body is None and got[2].status is None
 
 
@@ -192,11 +212,23 @@ def test_sinks(spark, tmp_path):
     assert len(lines) == 2 and '"date":null' in lines[0]
 
 
+def listed(name: str, *more: str) -> str:
+    """Five similar links, so that the page has a cluster, and others."""
+    return "".join(f'<a href="/{name}/2024/story-{i}">Headline number {i} of {name}, in full</a>' for i in range(5)) + "".join(more)
+
+
+def test_monitor_gate(spark):
+    """Only pages with a cluster of news links are told of; on these every headline is."""
+    with_cluster, without = listed("one", '<a href="/n9">Another headline, far away</a>'), '<a href="/n1">A first headline, one</a>'
+    got = {r.title for r in incremental.new_titles(pages(spark, with_cluster, without)).collect()}
+    assert got == {f"Headline number {i} of one, in full" for i in range(5)} | {"Another headline, far away"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    html = ['<a href="/n1">A first headline, one</a>', '<a href="/n2">A first headline, one</a><a href="/n3">Another headline, two</a>', '<a href="/n4">Another headline, two</a>']
+    html = [listed("one"), listed("one", '<a href="/n3">Another headline, two</a>'), '<a href="/n4">Alone, and not told of</a>', listed("two", '<a href="/n5">Another headline, two</a>')]
     all_pages = pages(spark, *html)
     folder = str(tmp_path / "in")
-    for i in range(3):
+    for i in range(len(html)):
         all_pages.where(f"page_id = {i}").coalesce(1).write.mode("append").parquet(folder)
 
     def run():
@@ -205,6 +237,88 @@ def test_stream_equals_batch(spark, tmp_path):
         return sorted(r.title for r in spark.read.parquet(str(tmp_path / "seen")).collect())
 
     want = sorted(r.title for r in incremental.new_titles(all_pages).collect())
-    assert run() == want == ["A first headline, one", "Another headline, two"]
+    assert run() == want and len(want) == 11
     assert run() == want  # nothing new
-    assert "".join(r.body for r in spark.read.parquet(str(tmp_path / "alerts")).collect()).count("\n") == 2
+    assert "".join(r.body for r in spark.read.parquet(str(tmp_path / "alerts")).collect()).count("\n") == 11
+
+
+def test_supervisor_restarts(spark, tmp_path):
+    """A stream that stands still is stopped and started again; one that keeps failing raises its failure."""
+    pages(spark, "a", "b").write.parquet(str(tmp_path / "in"))
+    starts = []
+
+    def start():
+        starts.append(1)
+        stream = monitor.page_stream(spark, str(tmp_path / "in"), pages(spark).schema)
+
+        def step(batch, epoch):
+            if len(starts) == 1:
+                time.sleep(60)
+            batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+
+    told = []
+    supervisor.supervise(start, stall=2.0, restarts=1, report=told.append, every=0.5)
+    assert len(starts) == 2 and spark.read.parquet(str(tmp_path / "out")).count() == 2 and told
+
+    def broken():
+        stream = monitor.page_stream(spark, str(tmp_path / "in"), pages(spark).schema)
+        return stream.writeStream.foreachBatch(lambda batch, epoch: 1 / 0).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+
+    with pytest.raises(StreamingQueryException):
+        supervisor.supervise(broken, restarts=1, every=0.5)
+
+
+def test_deep_pages():
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    root = dom.parse(deep + "<p>a<b>&lt;</b><br></p>")
+    assert dom.compile_selector("div")(root)[0].inner_html().count("<div>") == 2999
+    assert dom.compile_selector("p")(root)[0].inner_html() == "a<b>&lt;</b><br/>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<!-- <a href="/c">c</a> --><a href="/x">X</a>', [("/x", "X")]),
+        ("<a href=/unq>U</a>", [("/unq", "U")]),
+        ('<a href="/q?a=1&#38;b=2">&#65;&#x42; &eacute;</a>', [("/q?a=1&b=2", "AB é")]),
+        ('<script>"<a href=/s>s</a>"</script><A HREF = \'/y\' class=k>Y</A>', [("/y", "Y")]),
+        ('<a title="1 > 0" href="/t">T</a>', [("/t", "T")]),
+        ('<a href="/1">one<a href="/2">two</a>', [("/1", "one"), ("/2", "two")]),
+        ('<a title="href=no">none</a><abbr href="/no">n</abbr>', []),
+        ('<div><a href="/open">open</div>rest', [("/open", "open")]),
+        ("", []),
+    ],
+)
+def test_anchors_alike_in_both_paths(spark, html, want):
+    for exact in (False, True):
+        got = links.anchors(pages(spark, html, None), exact).orderBy("page_id", "pos").collect()
+        assert [(r.href, r.text) for r in got] == want
+
+
+def test_references_in_queries(spark):
+    """Names before an equals sign are parameters."""
+    got = links.anchors(pages(spark, '<a href="/?copy=1&copy=2&copy;">c &copy c</a>')).first()
+    assert (got.href, got.text) == ("/?copy=1&copy=2©", "c © c")
+
+
+def test_titles_joined(spark):
+    rows = pages(spark, "<!--<title>no</title>--><title>a &amp; b</title><svg><title x=1>c</title></svg>", "none", None)
+    native = rows.select("page_id", text.title(F.col("html")).alias("t")).orderBy("page_id").collect()
+    assert [r.t for r in native] == ["a & bc", "", None]
+    assert [r.title for r in dom.titles(rows).orderBy("page_id").collect()] == ["a & bc", "", ""]
+
+
+def test_unescape(spark):
+    raw = ["&#x1F600;&#8364;&#150;", "&amp;lt;", "&unknown; & &;", "&#0;&#xD800;", "&hearts;&hearts", "", None]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(text.unescape(F.col("r"))).collect()
+    assert [g[0] for g in got] == ["😀€–", "&lt;", "&unknown; & &;", "\ufffd\ufffd", "♥&hearts", "", None]
+
+
+def test_pages_chain(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a</p><p>b</p>", None), (2, "u", None, None), (3, "u", "<p>c</p>", "timed out")], "page_id long, url string, html string, err string")
+    chain = Pages.of(rows).select("p").select("b")
+    assert [r.text for r in chain.selected.orderBy("pos").collect()] == ["a", "b"]
+    assert {(r.page_id, r.err) for r in chain.errors.collect()} == {(2, "no document"), (3, "timed out")}
+    assert [r.value for r in chain.each("p", lambda i, n: n.text() if i else None).collect()] == ["b"]
