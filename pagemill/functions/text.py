@@ -7,6 +7,7 @@ dialects read alike: white space is written out, flags are inline, no lookaround
 from __future__ import annotations
 
 import gzip
+import json
 import re
 import zlib
 from html.entities import name2codepoint
@@ -31,7 +32,7 @@ REFERENCE = r"^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});?"
 
 def _character(n: Column) -> Column:
     """The character of a number; 128 to 159 mean those of windows-1252, and what is no character U+FFFD."""
-    high = F.array(*(F.lit(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)))
+    high = F.split(F.lit(",".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))), ",")
     bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
     return F.when(n.between(128, 159), F.try_element_at(high, (n - 127).cast("int"))).otherwise(plain)
@@ -42,16 +43,15 @@ def unescape(c: Column, attribute: bool = False) -> Column:
 
     In an attribute a name without semicolon stays before an equals sign, so that queries survive.
     """
-    known = sorted(name2codepoint.items())
-    names = F.map_from_arrays(F.array(*(F.lit(k) for k, _ in known)), F.array(*(F.lit(chr(v)) for _, v in known)))
-    latin = F.array(*(F.lit(k) for k, v in known if v < 256))
+    # As JSON, so that plans carry one literal and not hundreds.
+    names, latin = (F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items() if v < limit})), "map<string,string>") for limit in (1 << 20, 256))
 
     def decoded(piece: Column) -> Column:
         found = F.regexp_extract(piece, REFERENCE, 0)
         name, rest = F.rtrim(found, F.lit(";")), F.substring(piece, F.length(found) + 1, F.lit(2**31 - 1))
         closed = F.endswith(found, F.lit(";"))
         number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("bigint")
-        loose = F.array_contains(latin, name)
+        loose = F.map_contains_key(latin, name)
         if attribute:
             loose = loose & ~F.startswith(rest, F.lit("="))
         named = F.when(closed | loose, F.try_element_at(names, name))

@@ -7,7 +7,7 @@ from the tree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
@@ -23,24 +23,18 @@ BLOCK_END = r"(?i)</(?:address|article|aside|blockquote|body|div|dd|dl|dt|footer
 FILE_TYPES = [".txt", ".zip", ".m3u", ".jpg", ".png", ".ico", ".rar", ".conf", ".md", ".git"]
 
 
-def _anchor(piece: Column) -> Column:
-    """(href, text) of what follows `<a`; a null href for an anchor without one."""
-    attributes = F.regexp_extract(piece, "(?s)^" + ATTRIBUTES + ">", 1)
-    inside = F.substring(piece, F.length(attributes) + 2, F.lit(2**31 - 1))
-    quoted = F.regexp_extract(attributes, HREF, 1)
-    href = F.when(F.rlike(quoted, F.lit("^[\"']")), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
-    closed = F.rlike(inside, F.lit(r"(?i)</a\b"))
-    text = F.get(F.split(inside, F.when(closed, r"(?i)</a\b").otherwise(BLOCK_END), 2), F.lit(0))
-    return F.struct(F.when(F.rlike(attributes, F.lit(HREF)), unescape(href, attribute=True)).alias("href"), unescape(F.regexp_replace(text, "(?s)<[^>]*>", "")).alias("text"))
-
-
 def anchors(pages: DataFrame, exact: bool = False) -> DataFrame:
-    """(page_id, url, html) to one row per anchor with an href: page_id, url, pos, href, text."""
+    """(page_id, url, html) to one row per anchor with an href: page_id, url, pos, href, text; pos is in document order."""
     if exact:
         return dom.select(pages, "a[href]", keep=("url",)).select("page_id", "url", F.col("idx").alias("pos"), F.col("attrs")["href"].alias("href"), "text")
     pieces = F.split(visible(F.col("html")), r"(?i)<a(?=[\s/>])")
-    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _anchor), lambda a: a["href"].isNotNull())
-    return pages.select("page_id", "url", F.posexplode(found).alias("pos", "_a")).select("page_id", "url", "pos", F.col("_a.href").alias("href"), F.col("_a.text").alias("text"))
+    rows = pages.select("page_id", "url", F.posexplode(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("pos", "_piece"))
+    rows = rows.withColumn("_attributes", F.regexp_extract("_piece", "(?s)^" + ATTRIBUTES + ">", 1))
+    rows = rows.select("page_id", "url", "pos", F.regexp_extract("_attributes", HREF, 1).alias("_href"), F.substring("_piece", F.length("_attributes") + 2, F.lit(2**31 - 1)).alias("_inside")).where("_href <> ''")
+    href = F.when(F.substring("_href", 1, 1).isin("'", '"'), F.substring("_href", F.lit(2), F.length("_href") - 2)).otherwise(F.col("_href"))
+    closed = F.regexp_extract("_inside", r"(?is)^(.*?)</a\b", 0)
+    text = F.when(closed != "", F.substring(closed, F.lit(1), F.length(closed) - 3)).otherwise(F.regexp_replace("_inside", "(?s)" + BLOCK_END + ".*", ""))
+    return rows.select("page_id", "url", "pos", unescape(href, attribute=True).alias("href"), unescape(F.regexp_replace(text, "(?s)<[^>]*>", "")).alias("text"))
 
 
 def page_links(pages: DataFrame, include_outer: bool = False, exact: bool = False) -> DataFrame:
