@@ -116,8 +116,22 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)][: len(cuts)], strict=True))
 
 
-ASKED = "grp long, part int, asked binary"
-ANSWER = "grp long, part int, answer binary"
+ASKED = "grp long, part long, asked binary"
+ANSWER = "grp long, part long, answer binary"
+
+
+def even_parts(spark, least: int) -> np.ndarray:
+    """Names of parts, at least so many and as many for each shuffle partition: Spark's hash deals them out evenly."""
+    buckets = storage.shuffle_partitions(spark)
+    each, tried = max(1, -(-least // buckets)), 0
+    found = np.zeros(0, np.int64)
+    while len(found) < each * buckets:
+        tried = 2 * tried or 8 * each * buckets + 1000
+        at = storage.bucket(np.arange(tried), buckets)
+        order = np.argsort(at, kind="stable")
+        rank = np.arange(tried) - np.searchsorted(at[order], at[order])
+        found = order[rank < each][np.argsort(rank[rank < each], kind="stable")]
+    return found
 
 
 class _Asked:
@@ -132,7 +146,7 @@ class _Asked:
         self.items.append(items)
         self.size += sum(a.nbytes for a in items)
 
-    def rows(self, group: int) -> pa.RecordBatch:
+    def rows(self, group: int, parts: np.ndarray) -> pa.RecordBatch:
         """One per part that has items: chunks, their numbers of items, and the items, which keep their order within a chunk."""
         part, n = np.concatenate(self.parts), len(self.chunks)
         at = np.repeat(np.arange(n), [len(p) for p in self.parts])
@@ -141,21 +155,21 @@ class _Asked:
         part, at = part[order], at[order]
         spans, numbers = runs(part), np.array(self.chunks, "<u4")
         blobs = [pack(numbers, np.bincount(at[x:y], minlength=n).astype("<u4"), *(a[x:y] for a in items)) for x, y in spans]
-        return pa.record_batch([pa.array([group] * len(spans), pa.int64()), pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["grp", "part", "asked"])
+        return pa.record_batch([pa.array([group] * len(spans), pa.int64()), pa.array([int(parts[part[x]]) for x, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], ["grp", "part", "asked"])
 
 
-def asks(batches: Iterator[pa.RecordBatch], question: Callable[..., tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
-    """Rows of ASKED for chunks; question(row) gives the part of each item of a chunk, and the items as arrays."""
+def asks(batches: Iterator[pa.RecordBatch], parts: np.ndarray, question: Callable[..., tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ASKED for chunks; question(row) gives the number of each item's part in parts, and the items as arrays."""
     held, now = _Asked(), None
     for batch in batches:
         for row in rows_in(batch):
             if held.chunks and (row["grp"] != now or held.size > ASKED_BYTES):
-                yield held.rows(now)
+                yield held.rows(now, parts)
                 held = _Asked()
             now = row["grp"]
             held.add(row["chunk"], *question(row))
     if held.chunks:
-        yield held.rows(now)
+        yield held.rows(now, parts)
 
 
 def rows_in(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -179,7 +193,7 @@ def answer_rows(table: pa.Table, heads: list, *answers: np.ndarray, extra: bytes
     groups = table.column("grp").to_pylist()
     if extra is not None:
         groups, out = [*groups, -1], [*out, extra]
-    return pa.table([pa.array(groups, pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["grp", "part", "answer"])
+    return pa.table([pa.array(groups, pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array(out, pa.binary())], ["grp", "part", "answer"])
 
 
 def gathered(answers: DataFrame, name: str) -> DataFrame:
@@ -190,11 +204,11 @@ def gathered(answers: DataFrame, name: str) -> DataFrame:
 class Said:
     """The answers to a group, unpacked once for all its chunks."""
 
-    def __init__(self, *kinds: str):
-        self.kinds, self.group, self.by = kinds, None, {}
+    def __init__(self, parts: np.ndarray, *kinds: str):
+        self.parts, self.kinds, self.group, self.by = parts, kinds, None, {}
 
     def to(self, row: dict, said: list[dict] | None, part: np.ndarray) -> list[np.ndarray]:
-        """Of each kind, the answers in the order of the chunk's items, whose parts are given as when they were asked."""
+        """Of each kind, the answers in the order of the chunk's items, whose parts' numbers are given as when they were asked."""
         if self.group != row["grp"]:
             self.group, self.by = row["grp"], {}
             for x in said or []:
@@ -204,7 +218,7 @@ class Said:
                     if b > a:
                         self.by[x["part"], c] = [v[a:b] for v in answers]
         order = np.argsort(part, kind="stable")
-        found = [self.by[int(part[order[x]]), row["chunk"]] for x, _ in runs(part[order])]
+        found = [self.by[int(self.parts[part[order[x]]]), row["chunk"]] for x, _ in runs(part[order])]
         out = []
         for k, kind in enumerate(self.kinds):
             back = np.empty(len(part), kind)

@@ -234,18 +234,18 @@ def _count_words(table: pa.Table) -> pa.Table:
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[kind[order]]
     sizes[0] = c.sum()  # the tokens, in the place of the unknown words
-    stats = table.column("part")[0].as_py().to_bytes(4, "little") + chunks.pack(sizes.astype("<i8"))
+    stats = table.column("part")[0].as_py().to_bytes(8, "little") + chunks.pack(sizes.astype("<i8"))
     return chunks.answer_rows(table, heads, place[inverse].astype("<u8"), c[inverse].astype("<u8"), extra=stats)
 
 
-def _numbering(stats: list[bytes], parts: int) -> tuple[np.ndarray, int, int]:
+def _numbering(stats: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, int, int]:
     """By magnitude and part, the number of the first word there, frequent ones first; V; and N."""
-    sizes = np.zeros((64, parts), np.int64)
+    sizes, at = np.zeros((64, len(parts)), np.int64), {int(x): k for k, x in enumerate(parts)}
     for x in stats:
-        sizes[:, int.from_bytes(x[:4], "little")] = chunks.unpack(x[4:], "<i8")[0]
+        sizes[:, at[int.from_bytes(x[:8], "little")]] = chunks.unpack(x[8:], "<i8")[0]
     n, sizes[0] = int(sizes[0].sum()), 0
     falling = sizes[::-1].ravel()
-    return (np.cumsum(falling) - falling).reshape(64, parts)[::-1] + FIRST, int(falling.sum()), n
+    return (np.cumsum(falling) - falling).reshape(64, len(parts))[::-1] + FIRST, int(falling.sum()), n
 
 
 # -- step 2: pairs ----------------------------------------------------------------------------------------------------
@@ -370,21 +370,22 @@ class Seats:
         x = gammas(STRENGTH / DISCOUNT + tables, 4 * step, self.contexts)
         return draw_tables(self.c, x[self.at] * base[self.word], DISCOUNT, 4 * step + 1, self.contexts[self.at], self.words[self.word])
 
-    def told(self, part: int, tables: np.ndarray, roots: int) -> pa.Table:
+    def told(self, part: int, tables: np.ndarray, roots: np.ndarray) -> pa.Table:
         """Tables by word and by context, for the parent's parts."""
         value = np.concatenate([np.bincount(self.word, tables, len(self.words)), np.bincount(self.at, tables, len(self.contexts))])[self.order]
         keys = self.keys[self.order]
-        root = _part((keys >> 1).astype(np.uint64), roots)
+        root = _part((keys >> 1).astype(np.uint64), len(roots))
         order = np.argsort(root, kind="stable")
         spans = chunks.runs(root[order])
         blobs = [chunks.pack(np.diff(keys[order[x:y]].astype("<u8"), prepend=np.uint64(0)), value[order[x:y]].astype("<u8")) for x, y in spans]
-        return pa.table([pa.array([part] * len(spans), pa.int32()), pa.array([int(root[order[x]]) for x, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["part", "root", "asked"])
+        return pa.table([pa.array([part] * len(spans), pa.int64()), pa.array([int(roots[root[order[x]]]) for x, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], ["part", "root", "asked"])
 
-    def heard(self, said: list[dict], roots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def heard(self, said: list[dict], roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The parent's customers and tables of each word, and the tables of each context."""
-        root = _part((self.keys[self.order] >> 1).astype(np.uint64), roots)
+        root = _part((self.keys[self.order] >> 1).astype(np.uint64), len(roots))
         order = self.order[np.argsort(root, kind="stable")]
-        by = sorted((x["root"], x["answer"]) for x in said)
+        at = {int(x): k for k, x in enumerate(roots)}
+        by = sorted((at[x["root"]], x["answer"]) for x in said)
         found = [np.concatenate(x).astype(np.int64) for x in zip(*(chunks.unpack(a, "<u8", "<u8") for _, a in by), strict=True)]
         values = np.zeros((2, len(self.keys)), np.int64)
         values[:, order] = found
@@ -414,26 +415,26 @@ class Parent:
         return (np.maximum(own, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * self.tables) * share) / (ROOT_STRENGTH + self.customers)
 
 
-TOLD = "part int, root int, asked binary"
+TOLD = "part long, root long, asked binary"
 
 
-def _open(roots: int):
+def _open(roots: np.ndarray):
     """Merges a part's pairs, and tells the first seating: every dish at one table."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         seats = Pairs(table).seats
         told = seats.told(part, np.minimum(seats.c, 1), roots)
-        own = pa.table([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([seats.packed()], pa.binary())], ["part", "root", "asked"])
+        own = pa.table([pa.array([part], pa.int64()), pa.array([-1], pa.int64()), pa.array([seats.packed()], pa.binary())], ["part", "root", "asked"])
         return pa.concat_tables([own, told])
 
     return run
 
 
-def _sweep(roots: int, step: int, parent: Parent):
+def _sweep(roots: np.ndarray, step: int, parent: Parent):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return pa.schema([("part", pa.int32()), ("root", pa.int32()), ("asked", pa.binary())]).empty_table()
+            return pa.schema([("part", pa.int64()), ("root", pa.int64()), ("asked", pa.binary())]).empty_table()
         seats = Seats.unpacked(left.column("asked")[0].as_py())
         customers, tables, own = seats.heard(right.column("said")[0].as_py(), roots)
         return seats.told(left.column("part")[0].as_py(), seats.draw(step, own, parent.probability(seats.words, customers, tables)), roots)
@@ -454,7 +455,7 @@ def _seat_parent(step: int, parent: Parent):
         tables[word] = parent.draw(step, keys[word] >> np.uint64(1), n[word])
         out = [chunks.pack(n[i].astype("<u8"), tables[i].astype("<u8")) for i in np.split(inverse, np.cumsum([len(a[0]) for a in asked])[:-1])]
         stats = chunks.pack(np.array([n[word].sum(), tables[word].sum()], "<i8"))
-        return pa.table([pa.array([*table.column("part").to_pylist(), -1], pa.int32()), pa.array([root] * (len(out) + 1), pa.int32()), pa.array([*out, stats], pa.binary())], ["part", "root", "answer"])
+        return pa.table([pa.array([*table.column("part").to_pylist(), -1], pa.int64()), pa.array([root] * (len(out) + 1), pa.int64()), pa.array([*out, stats], pa.binary())], ["part", "root", "answer"])
 
     return run
 
@@ -475,7 +476,7 @@ def predictive(seats: Seats, samples: list[tuple[int, Parent, tuple]]) -> np.nda
     return p / (len(samples) - 1)
 
 
-def _sums(roots: int, parents: dict[int, Parent]):
+def _sums(roots: np.ndarray, parents: dict[int, Parent]):
     """One row per chunk: its documents' sums of log10 probabilities, in units of 1 / SCALE."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -496,56 +497,56 @@ def score_texts(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = chunks.chunked(docs.select("doc_id", "held_out", "text"), "texts", CHUNK_BYTES)
-    parts = max(storage.shuffle_partitions(spark), table.count() // 16)
+    parts = chunks.even_parts(spark, table.count() // 16)
 
     def ask_words(batches):
         def question(row):
             c = Chunk(row["blob"])
             n = np.bincount(c.index[c.doc < c.n_train], minlength=len(c.words))
-            return _range(c.words, parts), (c.words, n.astype("<u4"))
+            return _range(c.words, len(parts)), (c.words, n.astype("<u4"))
 
-        yield from chunks.asks(batches, question)
+        yield from chunks.asks(batches, parts, question)
 
     words = table.mapInArrow(ask_words, chunks.ASKED).groupBy("part").applyInArrow(_count_words, chunks.ANSWER)
     words = storage.written(chunks.gathered(words, "said"), "words")
     storage.release(spark)
     stats = words.where("grp = -1").select(F.explode("said")).select("col.answer").collect()  # 64 numbers a part
     offsets, v, n = _numbering([bytes(r[0]) for r in stats], parts)
-    pair_parts = max(storage.shuffle_partitions(spark), n // TOKENS_PER_PART)
+    pair_parts = chunks.even_parts(spark, n // TOKENS_PER_PART)
 
     def send_pairs(batches):
-        said, held, now = chunks.Said("<u8", "<u8"), _Sent(), None
+        said, held, now = chunks.Said(parts, "<u8", "<u8"), _Sent(), None
 
         def row(group, part, asked, chunk=None, info=None):
-            return pa.record_batch([pa.array([group], pa.int64()), pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([asked], pa.binary()), pa.array([info], pa.binary())], ["grp", "chunk", "part", "asked", "info"])
+            return pa.record_batch([pa.array([group], pa.int64()), pa.array([chunk], pa.int32()), pa.array([part], pa.int64()), pa.array([asked], pa.binary()), pa.array([info], pa.binary())], ["grp", "chunk", "part", "asked", "info"])
 
         for batch in batches:
             for one in chunks.rows_in(batch):
                 if held.chunks and (one["grp"] != now or held.size > chunks.ASKED_BYTES):
-                    yield from (row(now, *x) for x in held.rows())
+                    yield from (row(now, int(pair_parts[k]), asked) for k, asked in held.rows())
                     held = _Sent()
                 now, c = one["grp"], Chunk(one["blob"])
-                place, count = (x.astype(np.int64) for x in said.to(one, one["said"], _range(c.words, parts)))
-                info, pairs, doc = _chunk_pairs(c, place, count, offsets, parts, pair_parts, n, v)
+                place, count = (x.astype(np.int64) for x in said.to(one, one["said"], _range(c.words, len(parts))))
+                info, pairs, doc = _chunk_pairs(c, place, count, offsets, len(parts), len(pair_parts), n, v)
                 yield row(now, -1 - (now + one["chunk"]) % (1 << 30), chunks._seal(c.batch.select(["doc_id", "held_out"])), one["chunk"], info)
                 held.add(one["chunk"], pairs, doc)
         if held.chunks:
-            yield from (row(now, *x) for x in held.rows())
+            yield from (row(now, int(pair_parts[k]), asked) for k, asked in held.rows())
 
     # Bucketed by part, so that no reading below shuffles the pairs again.
-    rows = chunks.answered(table, words).mapInArrow(send_pairs, "grp long, chunk int, part int, asked binary, info binary")
+    rows = chunks.answered(table, words).mapInArrow(send_pairs, "grp long, chunk int, part long, asked binary, info binary")
     rows = storage.bucketed(rows.repartition(storage.shuffle_partitions(spark), "part"), "pairs", "part")
     storage.delete(table)
     storage.delete(words)
     storage.release(spark)
 
     sent = rows.where("part >= 0").select("grp", "part", "asked")
-    roots = storage.shuffle_partitions(spark)
+    roots = chunks.even_parts(spark, 1)
     seats = storage.bucketed(sent.groupBy("part").applyInArrow(_open(roots), TOLD), "seats", "part")
     told, parent, heard = seats.where("root >= 0"), Parent(v, 0, v), {}
     parents: dict[int, Parent] = {}
     for step in range(burn_in + samples + 1):  # the first is the first seating
-        answers = told.groupBy("root").applyInArrow(_seat_parent(step, parent), "part int, root int, answer binary")
+        answers = told.groupBy("root").applyInArrow(_seat_parent(step, parent), "part long, root long, answer binary")
         answers = storage.written(answers.groupBy("part").agg(F.collect_list(F.struct("root", "answer")).alias("said")), "parents")
         storage.release(spark)
         stats = [chunks.unpack(bytes(x["answer"]), "<i8")[0] for r in answers.where("part = -1").collect() for x in r["said"]]

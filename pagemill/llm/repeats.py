@@ -227,42 +227,42 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = chunks.chunked(docs.select("doc_id", "text"), "substrings")
     # A part's items follow the shuffle partitions, and the chunks where these are set too few for the input.
-    parts = max(storage.shuffle_partitions(spark), table.count() // 64)
+    parts = chunks.even_parts(spark, table.count() // 64)
 
     def ask_names(batches):
         def question(row):
             c = Chunk(row["blob"], window)
-            return _part(c.distinct, parts), ((c.distinct << np.uint64(1)) | c.repeated_names().astype(np.uint64),)
+            return _part(c.distinct, len(parts)), ((c.distinct << np.uint64(1)) | c.repeated_names().astype(np.uint64),)
 
-        yield from chunks.asks(batches, question)
+        yield from chunks.asks(batches, parts, question)
 
     names = table.mapInArrow(ask_names, chunks.ASKED).groupBy("part").applyInArrow(_more_than_once, chunks.ANSWER)
     names = storage.written(chunks.gathered(names, "names"), "anchors")
     storage.release(spark)
 
     def ask_windows(batches):
-        said = chunks.Said("u1")
+        said = chunks.Said(parts, "u1")
 
         def question(row):
             c = Chunk(row["blob"], window)
-            (opened,) = said.to(row, row["names"], _part(c.distinct, parts))
+            (opened,) = said.to(row, row["names"], _part(c.distinct, len(parts)))
             *_, lead = c.distinct_windows(opened.astype(bool))
-            return _part(lead[0], parts), lead
+            return _part(lead[0], len(parts)), lead
 
-        yield from chunks.asks(batches, question)
+        yield from chunks.asks(batches, parts, question)
 
     windows = chunks.answered(table, names).mapInArrow(ask_windows, chunks.ASKED).groupBy("part").applyInArrow(_is_first, chunks.ANSWER)
     windows = storage.written(chunks.gathered(windows, "windows"), "windows")
     storage.release(spark)
 
     def cut(batches):
-        names_said, windows_said = chunks.Said("u1"), chunks.Said("u1")
+        names_said, windows_said = chunks.Said(parts, "u1"), chunks.Said(parts, "u1")
         for batch in batches:
             for one in chunks.rows_in(batch):
                 c = Chunk(one["blob"], window)
-                (opened,) = names_said.to(one, one["names"], _part(c.distinct, parts))
+                (opened,) = names_said.to(one, one["names"], _part(c.distinct, len(parts)))
                 piece, place, doc, start, group, lead = c.distinct_windows(opened.astype(bool))
-                (is_first,) = windows_said.to(one, one["windows"], _part(lead[0], parts))
+                (is_first,) = windows_said.to(one, one["windows"], _part(lead[0], len(parts)))
                 stays = (is_first[group] > 0) & (doc == lead[2][group]) & (start == lead[3][group]) if len(group) else np.zeros(0, bool)
                 n_words, n_removed, left = [], [], []
                 text, row = c.batch.column("text"), 0
