@@ -8,7 +8,8 @@ Since a window must occur whole, one word of it is a sufficient prefix: its rare
 documents.  Document words meet these prefix words in an equi-join; a meeting fixes the place that the whole window
 would have, which must lie inside the document (the positional and length bounds), and then the words of that place
 are compared with the window's.  The benchmark's prefix table is broadcast only if its measured size is under
-``BROADCAST_BYTES``; otherwise it is shuffled, and what is shuffled of a document is then its words by place.
+``BROADCAST_BYTES``; otherwise it is shuffled, and what is shuffled of a document is then its prefix words by place
+(all its words, if the prefix words themselves are over that size).
 
 Defined results: null or empty texts have no words and no hits; null ids are ids of their own; documents that share a
 doc_id are told apart by their text's hash, so each gets its own counts, and equal rows get equal counts; items that
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.llm import storage
+
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # those of the contract that are not A-Z, which are lowered later
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
@@ -67,6 +70,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     prefixes = ranked.where((F.col("_r") == 1) & (F.col("_have") == F.size("win"))).select("_word", F.struct("win", "_off", "items").alias("w"))
     prefixes = prefixes.groupBy("_word").agg(F.collect_list("w").alias("_wins"))
 
+    if not small:  # the prefix words alone may be few: then only their places are shuffled
+        prefixes = storage.written(prefixes, "prefixes")
+        if prefixes.agg(F.coalesce(F.sum(F.octet_length("_word") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+            exploded = exploded.join(F.broadcast(prefixes.select("_word")), "_word", "left_semi")
     met = exploded.join(maybe(prefixes), "_word")
     if small:
         good = F.filter("_wins", lambda w: (F.col("_at") >= w["_off"]) & (F.col("_at") - w["_off"] + F.size(w["win"]) <= F.size("_words")) & (F.when((F.col("_at") >= w["_off"]), F.transform(F.slice("_words", F.greatest(F.col("_at") - w["_off"] + 1, F.lit(1)), F.size(w["win"])), lowered)).otherwise(F.array(F.lit(""))) == w["win"]))

@@ -274,7 +274,10 @@ def _cell(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to one row per document: doc_id, class_id (the least doc_id of its class), n_links, n_shingles."""
+    """(doc_id, text) to one row per document: doc_id, class_id (the least doc_id of its class), n_links, n_shingles.
+
+    And h, its text's hash, and class_h, that of the class's first text: ids may be null, or shared by several texts.
+    """
     spark = docs.sparkSession
     storage.bound_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
@@ -315,12 +318,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     roots = components.components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "rep", "weight").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select(F.col("node").alias("_node"), "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = rows.select("doc_id", "node", "n").join(known, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
+    known = classes.select("node", "rep", "rep_h", "weight").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Written first: AQE splits the hot partition of a join only where both sides are plain shuffles.
+    least = storage.written(known.groupBy("root").agg(F.min(F.struct(F.isnull("rep").alias("last"), "rep", "rep_h")).alias("first")), "least")
+    known = known.join(least, "root").select(F.col("node").alias("_node"), F.col("first.rep").alias("class_id"), F.col("first.rep_h").alias("class_h"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = rows.select("doc_id", "h", "node", "n").join(known, F.col("node") == F.col("_node"), "left")
+    own = lambda c, other: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col(other)).alias(c)
+    return out.select("doc_id", "h", own("class_id", "doc_id"), own("class_h", "h"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("h", "class_h")

@@ -83,7 +83,7 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> np.ndarray:
 
 
 def platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn scores into probabilities."""
+    """Slope and offset that turn scores into probabilities; a slope of 0 for scores that tell nothing, or the wrong way."""
     if len(scores) < 2 or y.min() == y.max():
         return 1.0, 0.0
     scale = float(scores.std()) or 1.0

@@ -6,8 +6,8 @@ every other is a repeat; a line covered by any repeat is removed, and covered po
 the input, not on what is left.
 
 Windows are known by two independent 64-bit hashes.  The first place of each comes from a partially aggregated minimum,
-so a window that fills a third of the corpus shrinks before its shuffle, and joining the places back is a plain
-equi-join whose hot partitions AQE splits.
+so a window that fills a third of the corpus shrinks before its shuffle.  Those minima are written before the places
+join them: AQE splits the hot partition of a join only where both sides are plain shuffles, not one an aggregate.
 
 Defined results: a null text stays null and has no lines; a text of fewer than three lines is unchanged; a null doc_id
 comes last in the order; rows that share a doc_id count as one document, whose places tie, and a line removed from one
@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm import storage
+
 WINDOW = 3
 
 
@@ -34,6 +36,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*part(i, "a")).alias("a"), F.xxhash64(*part(i, "b")).alias("b"), reduce(Column.__or__, part(i, "w")).alias("w")))
     places = lines.select("_id", F.explode(keys).alias("k")).where("k.w").select("k.a", "k.b", F.struct(F.isnull("_id").alias("last"), "_id", F.col("k.at").alias("at")).alias("place"))
     firsts = places.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = storage.written(firsts, "firsts")
     repeats = places.join(firsts, ["a", "b"]).where(F.col("place") > F.col("first"))
     covered = repeats.groupBy("place._id").agg(F.array_sort(F.collect_set("place.at")).alias("starts"))
     return covered.select("_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))).alias("_removed"))

@@ -11,7 +11,8 @@ source's stream is trained on at the time where the demand reaches x, found by i
 
 A source's stream is its documents in the order of a hash of their ids, repeated whole while the target allows; the
 last round takes documents up to the boundary nearest the target.  Running sums are taken in two levels (bins of the
-hash, then rows in a bin), so a source that holds a third of all rows is spread over ``BINS`` groups.
+hash, then rows in a bin), so a source that holds a third of all rows is spread over 4096 bins, or 16 times as many as
+often as a bin of all rows would have over ``BIN_ROWS``.  Texts are read once, for their sizes.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; repeated rows are rows of
 their own and tie by (doc_id, size), where equal rows are interchangeable; a source whose size is 0 has target 0; an
@@ -26,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.llm import storage
+
 WORD = r"[^\x20\x09-\x0D]+"
-BINS_HEX = 3  # 4096 bins of each source's stream
+BINS_HEX = 3  # at least 4096 bins of each source's stream
+BIN_ROWS = 1 << 20
 MAX_REPEATS = 3
 
 
@@ -59,10 +63,18 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_rep
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of the documents, as a table."""
+    return storage.written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+
+
 def streamed(rows: DataFrame) -> DataFrame:
-    """Adds _from: the words of the same source before each row, in the order of the id's hash."""
-    rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_bin", F.substring("_hash", 1, BINS_HEX))
+    """Adds _from: the words of the same source before each row, in the order of the id's hash; without an id, of the size's."""
+    digits, n = BINS_HEX, rows.count()
+    while n >> (4 * digits) > BIN_ROWS:
+        digits += 1
+    rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))))
+    rows = rows.withColumn("_bin", F.substring("_hash", 1, digits))
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_n"))
     ahead = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = bins.select("source", "_bin", (F.sum("_n").over(ahead) - F.col("_n")).alias("_bin_from"))
@@ -74,7 +86,11 @@ def streamed(rows: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, source, text) to one row per document: doc_id, source, size, source_size, target, taken, stream_from."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mixed_sizes(sized(docs), cycle, max_repeats)
+
+
+def mixed_sizes(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """As `mixed`, of what `sized` gives."""
     targets = source_targets(sizes.select("source", "size"), cycle, max_repeats).select(F.col("source").alias("_t"), "source_size", "target")
     rows = streamed(sizes).join(targets, F.col("source").eqNullSafe(F.col("_t"))).drop("_t")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -85,7 +101,7 @@ def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 
 def with_position(rows: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Adds position: the time at which the source's demand reaches the share _x of its target.
+    """Adds positions: for each share in _x, the time at which the source's demand reaches that share of its target.
 
     schedules: (source, time, intensity) knots, times from 0 to 1, intensities not negative and not all zero; a source
     without knots has intensity 1 throughout.
@@ -97,20 +113,34 @@ def with_position(rows: DataFrame, schedules: DataFrame) -> DataFrame:
     parts = parts.withColumn("before", F.sum("area").over(upto) - F.col("area"))
     plans = parts.groupBy(F.col("source").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("before", "area", "t0", "t1", "w0", "w1"))).alias("_parts"), F.sum("area").alias("_whole"))
     rows = rows.join(plans, F.col("source").eqNullSafe(F.col("_p")), "left")
-    rows = rows.withColumn("_x", F.least(F.col("_x"), F.lit(1.0)) * F.coalesce("_whole", F.lit(1.0)))
-    rows = rows.withColumn("_part", F.try_element_at(F.filter("_parts", lambda p: (p["before"] <= F.col("_x")) & (p["area"] > 0)), F.lit(-1)))
-    p, need = F.col("_part"), F.col("_x") - F.col("_part.before")
-    slope = (p["w1"] - p["w0"]) / (p["t1"] - p["t0"])
-    root = 2 * need / (p["w0"] + F.sqrt(F.greatest(p["w0"] * p["w0"] + 2 * slope * need, F.lit(0.0))))
-    time = F.when(p.isNull(), F.col("_x")).when(need <= 0, p["t0"]).otherwise(p["t0"] + root)
-    return rows.withColumn("position", time).drop("_p", "_parts", "_whole", "_part", "_x")
+
+    def part_of(x: Column) -> Column:
+        """The share scaled to the schedule's integral, and the piece in which it lies."""
+        x = F.least(x, F.lit(1.0)) * F.coalesce("_whole", F.lit(1.0))
+        return F.struct(x.alias("x"), F.try_element_at(F.filter("_parts", lambda p: (p["before"] <= x) & (p["area"] > 0)), F.lit(-1)).alias("p"))
+
+    def time(found: Column) -> Column:
+        x, p = found["x"], found["p"]
+        need, slope = x - p["before"], (p["w1"] - p["w0"]) / (p["t1"] - p["t0"])
+        root = 2 * need / (p["w0"] + F.sqrt(F.greatest(p["w0"] * p["w0"] + 2 * slope * need, F.lit(0.0))))
+        return F.when(p.isNull(), x).when(need <= 0, p["t0"]).otherwise(p["t0"] + root)
+
+    rows = rows.withColumn("_found", F.transform("_x", part_of))
+    return rows.withColumn("positions", F.transform("_found", time)).drop("_p", "_parts", "_whole", "_found", "_x")
+
+
+def scheduled(mix: DataFrame, schedules: DataFrame) -> DataFrame:
+    """`mixed` with the times of all taken copies of each document, in order; none taken, none."""
+    n = F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    begin = lambda k: (F.col("stream_from") + k * F.col("source_size")).cast("double") / F.col("target")
+    shares = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), begin)).otherwise(F.array().cast("array<double>"))
+    return with_position(mix.withColumn("_x", shares), schedules)
 
 
 def curriculum(mix: DataFrame, schedules: DataFrame) -> DataFrame:
     """One row per taken copy of a document of `mixed`, range-sorted by its training time."""
-    copies = mix.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)))
-    copies = copies.withColumn("_x", (F.col("stream_from") + F.col("copy") * F.col("source_size")).cast("double") / F.col("target"))
-    return with_position(copies, schedules).orderBy("position", "source", "doc_id", "copy")
+    rows = scheduled(mix, schedules)
+    return rows.select(*mix.columns, F.posexplode("positions").alias("copy", "position")).orderBy("position", "source", "doc_id", "copy")
 
 
 def default_schedules(targets: DataFrame) -> DataFrame:
@@ -121,17 +151,20 @@ def default_schedules(targets: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """`mixed` with the time of each document's first copy (null if none is taken), range-sorted by it."""
-    sizes = docs.select("source", n_words(F.col("text")).alias("size"))
-    rows = mixed(docs).withColumn("_x", F.when(F.col("taken") > 0, F.col("stream_from").cast("double") / F.col("target")))
-    rows = with_position(rows, default_schedules(source_targets(sizes)))
-    return rows.withColumn("position", F.when(F.col("taken") > 0, F.col("position"))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """`mixed` with the times of each document's copies (positions), of the first (position) and of the last (last_position).
+
+    Range-sorted by the first; documents of which none is taken come last, with null times.
+    """
+    sizes = sized(docs)
+    rows = scheduled(mixed_sizes(sizes), default_schedules(source_targets(sizes.select("source", "size"))))
+    ends = {"position": F.try_element_at("positions", F.lit(1)), "last_position": F.try_element_at("positions", F.lit(-1))}
+    return rows.withColumns(ends).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, range-sorted by the time at which each is first trained on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return placed(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return placed(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 SQL = r"""
@@ -157,9 +190,12 @@ t AS (
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 ), k AS (
   SELECT *, CAST(size * (rounds + CASE WHEN CAST(before AS DOUBLE) + CAST(size AS DOUBLE) / 2 <= target - CAST(rounds * source_size AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-    CAST(before AS DOUBLE) / target AS x, 2 - CAST(weight AS DOUBLE) / 2 AS w0, CAST(weight AS DOUBLE) / 2 AS w1 FROM r
+    2 - CAST(weight AS DOUBLE) / 2 AS w0, CAST(weight AS DOUBLE) / 2 AS w1 FROM r
+), x AS (
+  SELECT *, CAST(before AS DOUBLE) / target AS x1, least(CAST(before + (taken // size - 1) * source_size AS DOUBLE) / target, 1.0::DOUBLE) AS x2 FROM k
 )
 SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE 2 * x / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * x)) END END AS position
-FROM k
+  CASE WHEN taken > 0 THEN CASE WHEN x1 <= 0 THEN 0.0::DOUBLE ELSE 2 * x1 / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * x1)) END END AS position,
+  CASE WHEN taken > 0 THEN CASE WHEN x2 <= 0 THEN 0.0::DOUBLE ELSE 2 * x2 / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * x2)) END END AS last_position
+FROM x
 """

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.ndarr
     weights = linear.fit_sparse(*packed(~held), y[~held], 3 * BUCKETS, 1e-5)
     starts, idx, val = packed(held)
     slope, offset = linear.platt(np.add.reduceat(val * weights[idx], starts[:-1]) + weights[-1], y[held])
-    weights = weights * (slope or 1.0)
+    weights = weights * slope  # without a slope every text has the rate of the held rows
     weights[-1] += offset
     return weights.astype(np.float32)
 

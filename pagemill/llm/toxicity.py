@@ -5,7 +5,7 @@ Tokens that show one of these marks are decoded: every character spans a lattice
 (or none, for separators and repeats), and the Viterbi path under a character trigram model gives the restored word.
 Tokens of any length and script are decoded: accents fold or fall away, and letters of other scripts among Latin ones
 count as look-alikes.  A token with separators is read as one word and as the words between them; spaced letters as one
-word and as several.
+word, as several, and as every run of 4 to 12 letters, since nothing tells where words begin in them.
 The trigram model counts the plain words of all documents.  Texts are then scored by their plain and restored words.
 
 The score: a lexicon of words and word beginnings, each with its smoothed log-odds between toxic and other labelled
@@ -46,6 +46,7 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "κ": "k",
 }
 SEPARATORS = ".-_*~'/ "
+SPACED_PARTS = 4, 13  # lengths (the last not included) of the words that spaced letters may hide anywhere
 LOG_BOUNDARY = np.log(0.1)  # of a word that ends within spaced letters
 LOG_SWAP, LOG_DROP_SEPARATOR, LOG_DROP_REPEAT, LOG_KEEP_REPEAT, LOG_WILD = np.log(0.3), np.log(0.5), np.log(0.9), np.log(0.05), np.log(0.02)
 
@@ -138,12 +139,15 @@ def arcs_at(token: str, i: int) -> list[tuple[int, float]]:
     if "a" <= sign <= "z":
         arcs.append((ord(sign) - 96, LOG_KEEP_REPEAT if run else 0.0))
     else:
+        accented = not sign.isascii() and sign not in LOOKALIKES and not "\uff00" < sign < "\uff5f"
         options = LOOKALIKES.get(sign) or folded(sign)
         for o in options:
-            arcs.append((ord(o) - 96, (LOG_WILD if len(options) > 2 else LOG_SWAP) + (LOG_KEEP_REPEAT if run else 0.0)))
+            arcs.append((ord(o) - 96, (0.0 if accented else LOG_WILD if len(options) > 2 else LOG_SWAP) + (LOG_KEEP_REPEAT if run else 0.0)))
+        if accented and not repeat:
+            arcs.append((-1, LOG_DROP_SEPARATOR))
     if repeat:
         arcs.append((-1, LOG_DROP_REPEAT if run else LOG_DROP_SEPARATOR - 2))
-    elif sign in SEPARATORS or not sign.isascii():
+    elif sign in SEPARATORS:
         arcs.append((-1, LOG_DROP_SEPARATOR))
     return arcs or [(-1, LOG_WILD)]
 
@@ -260,7 +264,8 @@ def restored(s: tokens.Slice, model: list, cache: dict[str, str]) -> tuple[np.nd
             if out is None:
                 out = decode(token, model)
                 if spaced or any(c in SEPARATORS for c in token):  # one word, or several
-                    out = " ".join(dict.fromkeys([out, *(w for x in ([token] if spaced else _SEPARATED.split(token)) for w in decode(x, model, spaced).split(" "))]))
+                    parts = [out[a : a + n] for n in range(*SPACED_PARTS) for a in range(len(out) - n + 1)] if spaced else []
+                    out = " ".join(dict.fromkeys([out, *parts, *(w for x in ([token] if spaced else _SEPARATED.split(token)) for w in decode(x, model, spaced).split(" "))]))
                 if len(cache) > 200_000:
                     cache.clear()
                 if len(key) <= 64:

@@ -6,7 +6,8 @@ transfer framing.  Of equal payloads of at least ``REVISIT_BYTES`` that of the l
 become revisit records with the payload's digest and no body.  Records go through Spark's own text writer, with CRLF
 as separator, so archives lie wherever Spark can write; a file holds at most ``FILE_RECORDS`` records of bounded size.
 
-Reading: each archive file is one binary row, parsed by the records' Content-Length.  Records in segments are grouped
+Reading: each archive file is one binary row, inflated as it is parsed by the records' Content-Length, so that a worker
+holds the file as it lies and one record besides.  Records in segments are grouped
 by origin, ordered by segment number, and accepted if the numbers are 1..n and the lengths sum to the stated total;
 then the HTTP head is taken off and chunked framing decoded.  A revisit gets its payload's size from the response that
 it refers to.
@@ -104,10 +105,13 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) with digest and refers_to, the page whose record holds the same payload."""
+    """(page_id, url, html) with digest and refers_to, the page whose record holds the same payload.
+
+    What payloads share is written first: then AQE can split the join of a payload that very many pages have.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "size": F.octet_length("html")})
     shared = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, ["digest", "size"], "left")
+    joined = rows.join(storage.written(shared, "shared"), ["digest", "size"], "left")
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("keeper")).alias("refers_to"))
 
@@ -126,34 +130,67 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     records.write.options(**{"lineSep": "\r\n", "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_RECORDS}).text(path)
 
 
-def inflate(raw: bytes) -> bytes:
-    """A plain or gzip file; gzip files may have a member per record."""
+INFLATE_BYTES = 1 << 20
+
+
+def inflated(raw: bytes) -> Iterator[bytes]:
+    """Pieces of bounded size of a plain or gzip file; gzip files may have a member per record."""
+    view = memoryview(raw)
     if raw[:2] != b"\x1f\x8b":
-        return raw
-    out = []
-    while raw:
-        inflater = zlib.decompressobj(31)
-        out += [inflater.decompress(raw), inflater.flush()]
-        if not inflater.eof:
-            raise ValueError("archive cut short")
-        raw = inflater.unused_data.lstrip(b"\0")
-    return b"".join(out)
+        for a in range(0, len(raw), INFLATE_BYTES):
+            yield bytes(view[a : a + INFLATE_BYTES])
+        return
+    at, inflater, rest = 0, zlib.decompressobj(31), b""
+    while at < len(raw) or rest:
+        if not rest:
+            rest, at = bytes(view[at : at + INFLATE_BYTES]), at + INFLATE_BYTES
+        if inflater.eof:  # another member, or zeros that fill up a block
+            rest = rest.lstrip(b"\0")
+            if not rest:
+                continue
+            inflater = zlib.decompressobj(31)
+        piece = inflater.decompress(rest, INFLATE_BYTES)
+        rest = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+        if piece:
+            yield piece
+    if not inflater.eof:
+        raise ValueError("archive cut short")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, lower-case keys, and block of every record."""
-    at = 0
+    """Headers, lower-case keys, and block of every record of a file."""
+    pieces, held, done = inflated(data), bytearray(), False
+
+    def more() -> bool:
+        nonlocal done
+        piece = next(pieces, None)
+        done = piece is None
+        held.extend(piece or b"")
+        return not done
+
+    passed = 0
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while held[:2] == b"\r\n" or (len(held) < 2 and not done):
+            if held[:2] == b"\r\n":
+                del held[:2]
+                passed += 2
+            else:
+                more()
+        if not held:
             return
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        at = end + 4 + int(fields["content-length"])
-        yield fields, data[end + 4 : at]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held.startswith(b"WARC/") or end < 0:
+            raise ValueError(f"no record at byte {passed}")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[:end].decode("utf-8", "replace").split("\r\n")[1:])}
+        whole = end + 4 + int(fields["content-length"])
+        while len(held) < whole and more():
+            pass
+        if len(held) < whole:
+            raise ValueError("archive cut short")
+        yield fields, bytes(held[end + 4 : whole])
+        del held[:whole]
+        passed += whole
 
 
 RECORDS = "record_id string, kind string, page_id long, url string, digest string, refers_to long, number int, origin_id string, total long, block binary"
@@ -167,6 +204,19 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded number and size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= 500 or size >= storage.BATCH_BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 def _number(x: str | None) -> int | None:
     return None if x is None else int(x)
 
@@ -199,9 +249,7 @@ def read_records(spark, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = [record_row(f, block) for f, block in parse_archive(inflate(content.as_py()))]
-                for a in range(0, len(rows), 500):
-                    yield _batch(rows[a : a + 500], RECORDS)
+                yield from _batches((record_row(f, block) for f, block in parse_archive(content.as_py())), RECORDS)
 
     return archives(spark, path).mapInArrow(run, RECORDS)
 
@@ -247,19 +295,16 @@ def read_pages(spark, path: str) -> DataFrame:
     """
     schema = RECORDS + ", bytes long, sha1 string, problem string"
 
+    def judged(row):
+        if row[6] is not None:
+            return (*row, None, None, None)
+        payload, problem = payload_of(row[1], row[-1])
+        return (*row[:-1], None, *((None, None) if payload is None else (len(payload), hashlib.sha1(payload).hexdigest())), problem)
+
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for row in (record_row(f, block) for f, block in parse_archive(inflate(content.as_py()))):
-                    if row[6] is None:
-                        payload, problem = payload_of(row[1], row[-1])
-                        row = (*row[:-1], None, *((None, None) if payload is None else (len(payload), hashlib.sha1(payload).hexdigest())), problem)
-                    else:
-                        row = (*row, None, None, None)
-                    rows.append(row)
-                for a in range(0, len(rows), 500):
-                    yield _batch(rows[a : a + 500], schema)
+                yield from _batches(map(judged, (record_row(f, block) for f, block in parse_archive(content.as_py()))), schema)
 
     parsed = storage.written(archives(spark, path).mapInArrow(run, schema), "records")
     names = ["kind", "page_id", "url", "digest", "refers_to", "bytes", "sha1", "problem"]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import chat, components, decontaminate, jaccard, lines, linear, mixing, pitman_yor, queries, repeats, rules, tokens, toxicity, warc
+from pagemill.llm import chat, chunks, components, decontaminate, jaccard, lines, linear, mixing, pitman_yor, queries, repeats, rules, tokens, toxicity, warc
 from tests.conftest import same_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +78,30 @@ def test_hashes_know_words_not_places():
     assert h[0] == h[2] == h[5] and h[1] == h[3] and len({h[0], h[1], h[4]}) == 3
 
 
+def lookalikes(n: int) -> tuple[str, str]:
+    """Two different words of n letters whose sums with any odd factor's powers are equal modulo 2**64: a known sequence and its complement."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_names_tell_words_apart():
+    words = [*lookalikes(1024), *lookalikes(8192), "", "a", "a" * 15, "a" * 16, "a" * 15 + "\x00", "é" * 7]
+    spans = pa.array([w.encode() for w in words], pa.large_binary())
+    assert len({tuple(x) for x in tokens.names_of(spans).tolist()}) == len(words)
+    again = tokens.names_of(pa.array([w.encode() for w in reversed(words)], pa.large_binary()))
+    assert (again[::-1] == tokens.names_of(spans)).all()
+    assert len({tuple(x) for x in tokens.names_of(spans, 5).tolist()}) == 6  # by beginnings
+
+
+def test_groups_are_exact():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 30, 5000) // (1 << 24) * (1 << 24) for _ in range(4)]
+    want = {}
+    for row, g in zip(zip(*(c.tolist() for c in columns), strict=True), tokens.grouped(*columns).tolist(), strict=True):
+        assert want.setdefault(row, g) == g
+    assert len(set(want.values())) == len(want)
+
+
 # -- 1 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -114,6 +140,40 @@ def test_warc_empty(spark, tmp_path):
     assert warc.read_pages(spark, str(tmp_path / "w")).count() == 0
 
 
+def test_warc_files_of_many_members():
+    """Plain, one member, a member per record with zeros between, and files that are cut short."""
+    records = [warc.record("response", bytes([i % 251]) * (i * 1000), WARC_Record_ID=f"r{i}") + b"\r\n" for i in range(30)]
+    want = [bytes([i % 251]) * (i * 1000) for i in range(30)]
+    for raw in (b"".join(records), gzip.compress(b"".join(records)), b"".join(gzip.compress(r) + b"\0" * 3 for r in records)):
+        assert [block for _, block in warc.parse_archive(raw)] == want
+    assert list(warc.parse_archive(b"")) == []
+    for bad in (b"".join(records)[:-900], gzip.compress(b"".join(records))[:-9], b"junk\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(bad))
+
+
+def joins_of(df) -> str:
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def skewed(spark):
+    """Thresholds under which a hot key of a small table is split."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(old, ("-1", "16k", "16k", "1.5", "16", "false"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_payload_is_split(spark, skewed):
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("hot "), 300)).otherwise(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 250)).alias("html")).repartition(8)
+    assert "skew=true" in joins_of(warc.revisits(pages))
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -163,6 +223,21 @@ def test_jaccard_blocks_left_empty(spark, monkeypatch):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i - i % 10, 1) for i, _ in rows}
 
 
+def test_jaccard_null_ids(spark):
+    """Rows without an id are copies of each other by their texts only, and the class is read once."""
+    rows = [(None, "a b c d e f g h")] * 5 + [(None, "i j k l m n o p")] * 2 + [(None, None), (None, "")]
+    got = sorted(r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [0, 0, 1, 1, 4, 4, 4, 4, 4]
+
+
+def test_jaccard_long_words(spark):
+    """Different words of 8,192 letters are different shingles."""
+    a, b = lookalikes(8192)
+    rows = [(1, f"x y z w {a}"), (2, f"x y z w {b}"), (3, f"x y z w {a}")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+
+
 def test_jaccard_prune_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(1)
     sets = []
@@ -225,6 +300,44 @@ def test_substrings(docs, window):
     assert got == brute_repeats(rows, window)
 
 
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_substrings_of_long_words(spark, n):
+    a, b = lookalikes(n)
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}")]
+    got = {r.doc_id: r.n_removed for r in repeats.dedup_substrings(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substrings_empty(spark, empty):
+    assert repeats.dedup_substrings(empty).count() == 0
+    with pytest.raises(ValueError):
+        repeats.dedup_substrings(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("substrings", "texts", "pairs", "seats"))]
+
+
+def test_questions_in_many_groups(docs, monkeypatch):
+    """Small chunks, groups and rows change nothing."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(chunks, "GROUP_BYTES", 10_000)
+    monkeypatch.setattr(chunks, "ASKED_BYTES", 4000)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = sorted(str(tuple(r)) for r in repeats.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "text").collect())
+    assert got == brute_repeats(rows, 20)
+
+
+@pytest.mark.parametrize(("buckets", "least"), [(4, 1), (51, 120), (211, 211)])
+def test_parts_fill_partitions_evenly(spark, buckets, least):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    try:
+        parts = chunks.even_parts(spark, least)
+        rows = spark.createDataFrame([(int(p),) for p in parts], "p long").groupBy(F.pmod(F.hash("p"), F.lit(buckets))).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(set(parts.tolist())) == len(parts) >= least and {r["count"] for r in rows} == {len(parts) // buckets} and len(rows) == buckets
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(5)
     passage = [rng.choice("abc") for _ in range(40)]
@@ -268,6 +381,32 @@ def test_mix(docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
 
 
+def test_placed_has_every_copy(docs):
+    """The positions of a document are those of its rows in the curriculum."""
+    mix = mixing.mixed(docs)
+    targets = mixing.source_targets(mix.select("source", "size"))
+    rows = mixing.curriculum(mix, mixing.default_schedules(targets)).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    want = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.copy):
+        want[r.doc_id, r.size, r.stream_from].append(r.position)
+    got = mixing.placed(docs).collect()
+    assert len(got) == mix.count() and sum(len(r.positions) for r in got) == len(rows)
+    for r in got:
+        assert r.positions == want.get((r.doc_id, r.size, r.stream_from), []) and len(r.positions) == (r.taken // r.size if r.taken else 0)
+        assert (r.position, r.last_position) == ((r.positions[0], r.positions[-1]) if r.positions else (None, None))
+
+
+def test_many_rows_without_an_id(spark, monkeypatch):
+    """They are dealt over bins by their sizes, and the sums stay exact."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 0)  # the most bins that rows allow
+    rows = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"))
+    got = mixing.mixed(rows).collect()
+    assert len(got) == 300 and sum(r.taken for r in got) == sum(r.size for r in got) == got[0].source_size
+    ends = sorted((r.stream_from, r.size) for r in got if r.size)
+    assert all(a + n == b for (a, n), (b, _) in itertools.pairwise(ends))
+
+
 def test_curriculum_inverts_the_schedule(spark):
     mix = spark.createDataFrame([(i, "a", 10, 1000, 2000.0, 20, 10 * i) for i in range(100)], "doc_id long, source string, size long, source_size long, target double, taken long, stream_from long")
     schedule = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.5, 2.0), ("a", 1.0, 1.0)], "source string, time double, intensity double")
@@ -294,12 +433,74 @@ def test_decode(trigrams, hidden, plain):
     assert toxicity.decode(hidden, trigrams) == plain
 
 
+@pytest.mark.parametrize("token", ["1d10t", "sh!t", "a$$", "st-p", "0h1", "iiid", "é1t", "x*y", "аss"])
+@pytest.mark.parametrize("spaced", [False, True])
+def test_decode_against_brute_force(trigrams, token, spaced):
+    """Viterbi finds the best of all paths through the lattice."""
+    best = (-math.inf, "")
+    for arcs in itertools.product(*(toxicity.arcs_at(token, i) for i in range(len(token)))):
+        cost, letters = sum(c for _, c in arcs), [x for x, _ in arcs if x > 0]
+        for cuts in itertools.product([False, True], repeat=max(0, len(letters) - 1)) if spaced else [()]:
+            words = [[]]
+            for k, x in enumerate(letters):
+                if k and spaced and cuts[k - 1]:
+                    words.append([])
+                words[-1].append(x)
+            score = cost + toxicity.LOG_BOUNDARY * (len(words) - 1)
+            for w in words:
+                path = [0, 0, *w, 0]
+                score += sum(trigrams[a][b][c] for a, b, c in zip(path, path[1:], path[2:], strict=False))
+            best = max(best, (score, " ".join("".join(chr(96 + x) for x in w) for w in words)))
+    assert toxicity.decode(token, trigrams, spaced) == best[1]
+
+
+def brute_numbers(text: str, model, lexicon: dict) -> list[float]:
+    """The six numbers of a text, word by word."""
+    plain = [m for m in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in w) for w in plain]
+    s = next(tokens.slices(pa.array([text])))
+    hits = []
+    for w in [*low, *toxicity.restored(s, model, {})[1]]:
+        names, stems = toxicity.hash_words(pa.array([w.encode()], pa.large_binary()))
+        hits += [lexicon[x] for x in (int(names[0]), int(stems[0])) if x in lexicon]
+    return [max(hits, default=0.0), math.log1p(sum(hits)), math.log1p(len(hits)), math.log1p(100 * len(hits) / max(1, len(plain))), float(bool(hits)), math.log1p(len(plain)) / 10]
+
+
+def test_toxicity_numbers_against_brute_force(spark, sf, trigrams):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    lexicon = dict(zip(model.lexicon.tolist(), model.odds.tolist(), strict=True))
+    rows = docs.select("doc_id", "text").collect()
+    score = {r.doc_id: r.score for r in toxicity.op5_toxicity(spark, sf).collect()}
+    for r in rows:
+        x = np.array(brute_numbers(r.text, model.trigrams, lexicon))
+        assert score[r.doc_id] == pytest.approx(linear.sigmoid(x @ model.weights[:-1] + model.weights[-1]), abs=1e-9)
+
+
+@pytest.mark.parametrize("hidden", ["é1d10t", "1d10t" + "-" * 45 + "x", "i d i o t " * 9, "a n i d i o t", "y o u i d i o t", "ｉｄｉｏｔ", "іdіоt", "idio7", "(1d10t)"])
+def test_hidden_words_are_found(spark, sf, hidden):
+    sf = sf.replace("sf0.001", "sf0.1")
+    if "model" not in _FITTED:
+        _FITTED["model"] = toxicity.fit(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    carrier = "The of and in {} of the that was for it with as his on be at by"
+    scores = toxicity.scorer(_FITTED["model"])(pa.array([carrier.format(hidden), carrier.format("an item")]))
+    assert scores[0] > 0.5 > scores[1]
+
+
+_FITTED: dict = {}
+
+
 def test_suspects():
     texts = ["an 1d10t and stuuupid, s c u m here.", "555-6503 https://x.org/a plain words*** a b", None, "x", "spaced: m o r o n"]
     got = [(r, w) for s in tokens.slices(pa.array(texts)) for r, w in toxicity.suspects(s)]
     assert got == [(0, "1d10t"), (0, "stuuupid"), (0, "scum"), (4, "moron")]
 
 
+def test_other_scripts_are_marks_among_latin_letters():
+    texts = ["іdіоt ｍｏｒｏｎ été 第1章 привет ἀρετή naïve x²y"]
+    assert [w for s in tokens.slices(pa.array(texts)) for _, w in toxicity.suspects(s)] == ["іdіоt", "ｍｏｒｏｎ"]
+
+
 def test_toxicity_held_out(spark, sf):
     """Trained on four fifths of the labels, right on the rest; the learning rows are those that the rule allows."""
     sf = sf.replace("sf0.001", "sf0.1")
@@ -371,6 +572,11 @@ def test_lines(docs):
     assert {"node", "_row", "size"} <= set(out.columns)
 
 
+def test_hot_window_is_split(spark, skewed):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a\nb\nc\n"), F.col("id").cast("string"), F.lit("\nx\n"), F.col("id").cast("string")).alias("text")).repartition(8)
+    assert "skew=true" in joins_of(lines.repeated_lines(docs))
+
+
 # -- 7 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -397,6 +603,15 @@ def test_chat(spark):
     assert chat.digest(chat.expand_prefixes(turns.where("conv_id = 99"))).count() == 0
 
 
+def test_very_long_conversation(spark):
+    """Of 400 turns, and one of a very long text."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <s>[x]") for i in range(400)] + [(2, 0, "user", "[<" * 200_000), (2, 1, "assistant", "\\" * 200_000)]
+    got = {r.conv_id: r for r in chat.digest(chat.expand_prefixes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    told = "".join(f"{r[2]}\n{r[3]}\n" for r in rows[:400])
+    assert (got[1].n_turns, got[1].turns_sha256) == (400, hashlib.sha256(told.encode()).hexdigest())
+    assert got[2].loss_chars == 200_000 and got[2].loss_sha256 == hashlib.sha256(b"\\" * 200_000).hexdigest()
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -632,6 +847,15 @@ def test_rules(docs, labels, empty):
     assert all(r.kept != r.base_failed for r in rules.judge(docs, None).collect())
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_rules_of_long_words(spark, n):
+    """Different long lines and words are not taken for equal ones."""
+    a, b = lookalikes(n)
+    text = f"{a}\n{b}\n{a}\np {a} q p {b} q p {a} q"
+    row = rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).first()
+    assert (row.n_dup_lines, row.n_repeat_words) == (1, 6)
+
+
 def test_rules_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -657,37 +881,102 @@ def test_oracle(spark, sf, duck, name):
     same_rows(queries.QUERIES[name](spark, sf), duck, queries.ORACLES[name])
 
 
+def contaminated(text: str | None, items: list[str | None]) -> bool:
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    wins = {tuple(w[s : s + 13]) for w in map(split, items) if w for s in range(max(1, len(w) - 12))}
+    w, hit = split(text), set()
+    for n in {len(x) for x in wins}:
+        for s in range(len(w) - n + 1):
+            if tuple(w[s : s + n]) in wins:
+                hit |= set(range(s, s + n))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def brute_lines(rows):
+    order = lambda d: (d is None, d or 0)
+    first, gone = {}, collections.defaultdict(set)
+    for step in range(2):
+        for doc_id, text in rows:
+            ls = (text or "").split("\n")
+            for i in range(len(ls) - 2):
+                win, at = tuple(ls[i : i + 3]), (order(doc_id), i)
+                if re.fullmatch("[\n\t\r\x0b\x0c ]*", "\n".join(win)):
+                    continue
+                if step == 0:
+                    first[win] = min(first.get(win, at), at)
+                elif first[win] < at:
+                    gone[doc_id] |= {i, i + 1, i + 2}
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows]
+
+
+def fails_base(text: str | None) -> bool:
+    w = WORD.findall(text or "")
+    c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cov = {k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    return len(w) < 50 or 100 * len(cov) > 50 * len(w)
+
+
+def hold(stage: str, spark, before, sf) -> list:
+    """A stage's rows on a table, held against brute force; returned as they are."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rows, out = before.collect(), run(spark, before, sf).collect()
+    key = lambda r: (str(r.doc_id), str(r.text))
+    if stage == "quality rules":
+        weights = rules.fit(before, spark.read.parquet(f"{sf}/labels.parquet"))
+        good = [True] * len(rows) if weights is None else [bool(linear.sigmoid(rules.scores(next(tokens.slices(pa.array([r.text or ""]))), weights))[0] >= rules.KEEP_AT) for r in rows]
+        want = [r for r, g in zip(rows, good, strict=True) if g and not fails_base(r.text)]
+    elif stage == "line dedup":
+        texts = brute_lines([(r.doc_id, r.text) for r in rows])
+        assert sorted((str(r.doc_id), str(t)) for r, t in zip(rows, texts, strict=True)) == sorted(map(key, out))
+        changed = {(str(r.doc_id), str(t)): len(t) for r, t in zip(rows, texts, strict=True) if t != r.text}
+        assert all(r.n_chars == changed.get(key(r), r.n_chars) for r in out)
+        return out
+    elif stage == "n-gram Jaccard join":
+        _, root = brute_links([r.text for r in rows])
+        least = {}
+        for r, k in zip(rows, root, strict=True):
+            if r.doc_id is not None and shingles(r.text):
+                least[k] = min(least.get(k, r.doc_id), r.doc_id)
+        stays = [r for r, k in zip(rows, root, strict=True) if not shingles(r.text) or r.doc_id == least.get(k)]
+        want = list({key(r): r for r in stays}.values())
+    elif stage == "benchmark decontamination":
+        items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+        want = [r for r in rows if not contaminated(r.text, items)]
+    else:
+        sizes = collections.Counter()
+        for r in rows:
+            sizes[r.source] += len(WORD.findall(r.text or ""))
+        assert len(out) == len(rows) and sum(r.size for r in out) == sum(sizes.values())
+        assert [r.position for r in out if r.position is not None] == sorted(r.position for r in out if r.position is not None)
+        taken, by = sum(r.taken for r in out), collections.Counter()
+        for r in out:
+            by[r.source_size, r.target] += r.taken
+            assert r.taken <= 3 * r.size and (r.taken == 0) == (r.position is None)
+        most = max((r.size for r in out), default=0)
+        assert all(abs(t - target) <= most for (_, target), t in by.items()) or len(set(sizes.values())) < len(sizes)
+        assert abs(taken - sum(sizes.values())) <= most * len(sizes)
+        return out
+    assert sorted(map(key, want)) == sorted(map(key, out))
+    return out
+
+
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
 def test_stage_on_hostile_rows(spark, docs, empty, sf, stage):
-    _, run = corpus_pipeline.STAGES[stage]
-    for table in (docs, empty):
-        out = run(spark, table, sf)
-        rows = out.collect()
-        if stage < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == table.columns
-        if table is empty:
-            assert rows == []
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, sf)
+    if stage < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == docs.columns
+    hold(name, spark, docs, sf)
+    assert run(spark, empty, sf).collect() == []
 
 
 def test_pipeline(spark, sf):
-    """Each stage against brute force on what its predecessor kept."""
-    stages = dict(corpus_pipeline.STAGES)
+    """Each stage against brute force on what its predecessor kept; and the run is their chain."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = stages["quality rules"](spark, docs, sf)
-    verdict = {r.doc_id: r.kept for r in rules.judge(docs, rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
-    assert {r.doc_id for r in kept.collect()} == {d for d, k in verdict.items() if k}
-    lined = stages["line dedup"](spark, kept, sf)
-    assert lined.count() == kept.count()
-    rows = sorted(lined.collect(), key=lambda r: r.doc_id)
-    single = stages["n-gram Jaccard join"](spark, lined, sf)
-    _, root = brute_links([r.text for r in rows])
-    least = {}
-    for r, k in zip(rows, root, strict=True):
-        least[k] = min(least.get(k, r.doc_id), r.doc_id)
-    assert {r.doc_id for r in single.collect()} == set(least.values())
-    clean = stages["benchmark decontamination"](spark, single, sf)
-    bad = {r.doc_id for r in decontaminate.hits(single, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
-    assert {r.doc_id for r in clean.collect()} == set(least.values()) - bad
-    last = stages["mixing sources to target weights"](spark, clean, sf)
-    run = corpus_pipeline.run(spark, sf)
-    assert sorted(map(str, run.collect())) == sorted(map(str, last.collect()))
+    for k, (name, _) in enumerate(corpus_pipeline.STAGES):
+        rows = hold(name, spark, docs, sf)
+        assert rows
+        if k < len(corpus_pipeline.STAGES) - 1:
+            docs = spark.createDataFrame(rows, docs.schema)
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, rows))
