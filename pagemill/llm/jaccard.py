@@ -20,6 +20,7 @@ none; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 
@@ -303,17 +304,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_cells = max(storage.shuffle_partitions(spark), n_classes * 2 // BLOCK_DOCS)
     members = members.join(sizes, "group")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    packed = F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(n_cells)).cast("string"))
-    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.concat_ws("/", F.hex("group"), F.least(k, "block").cast("string"), F.greatest(k, "block").cast("string")))
+    # The cells of a component are dealt in turn, so that no task gets several of them by chance.
+    n_parts = storage.shuffle_partitions(spark)
+    parts = F.from_json(F.lit(json.dumps(chunks.even_parts(spark, n_parts).tolist())), "array<bigint>")
+    cell = lambda name, turn: F.struct(name.alias("cell"), F.get(parts, F.pmod(turn, F.lit(n_parts)).cast("int")).alias("part"))
+    home = F.pmod(F.xxhash64("group"), F.lit(n_cells))
+    packed = cell(F.concat(F.lit("c"), home.cast("string")), home)
+
+    def pair(k):
+        a, b = F.least(k, "block"), F.greatest(k, "block")
+        return cell(F.concat_ws("/", F.hex("group"), a.cast("string"), b.cast("string")), F.pmod(F.xxhash64("group"), F.lit(n_parts)) + a * F.col("blocks").cast("bigint") - a * (a + 1) / 2 + b)
+
+    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
     members = members.select(F.col("rep").alias("_rep"), F.col("rep_h").alias("_rep_h"), "node", "weight", "block", F.when(F.col("blocks") == 1, F.array(packed)).otherwise(paired).alias("cells"), "group")
     members = storage.written(members.drop("group"), "members")
-    size = members.agg(F.coalesce(F.sum(72 + F.octet_length(F.array_join("cells", ",")) + 16 * F.size("cells")), F.lit(0))).first()[0]
+    size = members.agg(F.coalesce(F.sum(72 + F.octet_length(F.array_join("cells.cell", ",")) + 40 * F.size("cells")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:  # few candidates: texts need no shuffle
         members = F.broadcast(members)
     told = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("h") == F.col("_rep_h"))).select("text", "node", "weight", "block", "cells")
-    entries = told.mapInArrow(_cell_rows, "cells array<string>, block int, node binary, weight long, items binary")
-    entries = entries.select(F.explode("cells").alias("cell"), "block", "node", "weight", "items").withColumn("group", F.when(F.col("cell").startswith("c"), F.lit("")).otherwise(F.col("cell")))
-    found = storage.written(entries.groupBy("cell").applyInArrow(_cell, "node binary, links long, other binary"), "links")
+    entries = told.mapInArrow(_cell_rows, "cells array<struct<cell:string,part:bigint>>, block int, node binary, weight long, items binary")
+    entries = entries.select(F.explode("cells").alias("_c"), "block", "node", "weight", "items").select("_c.cell", "_c.part", "block", "node", "weight", "items").withColumn("group", F.when(F.col("cell").startswith("c"), F.lit("")).otherwise(F.col("cell")))
+    found = storage.written(entries.repartition(n_parts, "part").groupBy("part", "cell").applyInArrow(_cell, "node binary, links long, other binary"), "links")
     storage.delete(groups)
 
     roots = components.components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
