@@ -251,6 +251,14 @@ def _numbering(stats: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, int,
 # -- step 2: pairs ----------------------------------------------------------------------------------------------------
 
 
+def _by_pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The stable order by context and word: one sort where both fit a number."""
+    wide = int(w.max()) + 1 if len(w) else 1
+    if len(u) and (int(u.max()) + 1) * wide < 1 << 63:
+        return np.argsort(u * wide + w, kind="stable")
+    return np.lexsort((w, u))
+
+
 class _Sent:
     """The pairs of chunks of one group, until they are sent."""
 
@@ -296,7 +304,7 @@ def _chunk_pairs(c: Chunk, place: np.ndarray, count: np.ndarray, offsets: np.nda
     u, cu = np.empty_like(w), np.empty_like(per)
     u[1:], cu[1:] = w[:-1], per[:-1]
     u[first], cu[first] = START, train_docs
-    order = np.lexsort((c.doc, w, u))
+    order = _by_pair(u, w)  # documents stay in order
     u, w, cu, doc = u[order], w[order], cu[order], c.doc[order]
     new = np.ones(len(u), bool)
     new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
@@ -318,17 +326,18 @@ class Pairs:
         self.groups = table.column("grp").to_pylist()
         got = [chunks.unpack(x, "<u4", "<u4", "<u8", "<u8", "<u8", "<u4", "<u4", "<u4") for x in table.column("asked").to_pylist()]
         u, w, cu, c = (np.concatenate(x).astype(np.int64) for x in zip(*((np.cumsum(g[2]), g[3], np.cumsum(g[4]), g[5]) for g in got), strict=True))
-        order = np.lexsort((w, u))
+        order = _by_pair(u, w)
+        su, sw = u[order], w[order]
         new = np.ones(len(order), bool)
-        new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
+        new[1:] = (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         self.sent = [(g[0], g[1], p, g[6], g[7]) for g, p in zip(got, np.split(pair, np.cumsum([len(g[3]) for g in got])[:-1]), strict=True)]
         lead = order[new]
-        words, contexts = np.unique(w[lead]), np.unique(u[lead])
-        customers = np.zeros(len(contexts), np.int64)
-        customers[np.searchsorted(contexts, u[lead])] = cu[lead]
-        self.seats = Seats(words, contexts, customers, np.searchsorted(contexts, u[lead]), np.searchsorted(words, w[lead]), np.bincount(pair, c, len(lead)).astype(np.int64))
+        pu = u[lead]
+        turn = np.append(True, pu[1:] != pu[:-1])  # contexts come in order
+        at, (words, word) = np.cumsum(turn) - 1, np.unique(w[lead], return_inverse=True)
+        self.seats = Seats(words, pu[turn], cu[lead][turn], at, word.ravel(), np.bincount(pair, c, len(lead)).astype(np.int64))
 
     def sums(self, log: np.ndarray):
         """(group, chunk, packed document numbers and sums) of the integers log, one per pair."""
