@@ -693,6 +693,20 @@ def extract_to_file(spark, sf):
     return spark.read.csv(f"{path}/out")
 
 
+@query("SELECT 'https://example.org/item/{id}' AS domain, 1 AS start_id, 100 AS end_id, 'title,image' AS names, 'h1.title' AS title_rule, 'items.csv' AS output")
+def config_sample(spark, sf):
+    """The sample configuration, read and written as JSON."""
+    rows = spark.createDataFrame([(config.read_config(config.SAMPLE).to_json(),)], "j string")
+    job = F.from_json("j", "domain string, output string, names array<string>, start_id int, end_id int, template map<string,string>").alias("job")
+    return rows.select(job).select("job.domain", "job.start_id", "job.end_id", F.array_join("job.names", ",").alias("names"), F.col("job.template")["title"].alias("title_rule"), "job.output")
+
+
+@query("SELECT doc_id, CAST(least(strlen(text), 500) AS BIGINT) AS least_of, CAST(greatest(strlen(text), 500) AS BIGINT) AS greatest_of FROM documents")
+def min_max(spark, sf):
+    size = F.octet_length("text").cast("long")
+    return table(spark, sf, "documents").select("doc_id", F.least(size, F.lit(500).cast("long")).alias("least_of"), F.greatest(size, F.lit(500).cast("long")).alias("greatest_of"))
+
+
 def _stream(spark, sf, pages: DataFrame | None = None) -> DataFrame:
     """The stored pages, or others written first, as a stream of files."""
     where = f"{sf}/pages.parquet"
