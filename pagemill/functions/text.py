@@ -65,7 +65,7 @@ def unescape(c: Column, attribute: bool = False) -> Column:
 
 def visible(html: Column) -> Column:
     """Without comments, scripts and styles, whichever begins first."""
-    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", "")
+    return F.regexp_replace(html, r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))", "")
 
 
 def title(html: Column) -> Column:
