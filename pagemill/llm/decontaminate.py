@@ -5,9 +5,10 @@ words of an item; an item of fewer words, but not none, is one window.  A docume
 window is hit.
 
 Since a window must occur whole, one word of it is a sufficient prefix: its rarest by the count of that word in all
-documents.  Document words meet these prefix words in an equi-join; a meeting fixes the place that the whole window
+documents.  Document words meet these prefix words in an equi-join on 64 bits of the word; a meeting fixes the place that the whole window
 would have, which must lie inside the document (the positional and length bounds), and then the words of that place
-are compared with the window's.  The benchmark's prefix table is broadcast only if its measured size is under
+are compared with the window's.  Texts are cut into words once: the counts, the meetings and the sizes read a written
+table of lowered words joined by one space.  The benchmark's prefix table is broadcast only if its measured size is under
 ``BROADCAST_BYTES``; otherwise it is shuffled, and what is shuffled of a document is then its prefix words by place
 (all its words, if the prefix words themselves are over that size).
 
@@ -30,60 +31,61 @@ WINDOW = 13
 BROADCAST_BYTES = 32 << 20
 
 
-def words_of(text: Column) -> Column:
-    """The words in their original case."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, other letters unchanged; all-ASCII texts take the fast way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def lowered(word: Column) -> Column:
-    """A-Z in lower case, other letters unchanged; all-ASCII words take the fast way."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+def spaced(text: Column) -> Column:
+    """The lowered words, joined by one space; empty if there are none."""
+    return F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), BREAKS, " "))
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: their words and the items (as strings) that have them."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.transform(words_of(F.col("text")), lowered).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), spaced(F.col("text")).alias("line")).where("line != ''").select("item", F.split("line", " ").alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     return items.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s, window))).alias("win")).groupBy("win").agg(F.collect_set(F.coalesce("item", F.lit("null"))).alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text) and (item_id, text) to one row per document: the contract's counts."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    placed = docs.select("doc_id", F.xxhash64("text").alias("_h"), spaced(F.col("text")).alias("_line"))
+    placed = storage.written(placed.withColumn("_n_words", F.when(F.col("_line") == "", 0).otherwise(F.size(F.split("_line", " "))).cast("long")), "words")
+    words = F.split("_line", " ")  # of an empty line, one that equals no word
     wins = windows_of(benchmark, window)
     n_windows, n_bytes = wins.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("win", " ")) + 16 * window + F.octet_length(F.array_join("items", " ")) + 64), F.lit(0))).first()
     small = n_bytes <= BROADCAST_BYTES
     maybe = F.broadcast if small else (lambda x: x)
 
-    placed = docs.select("doc_id", "_h", words_of(F.col("text")).alias("_words"))
-    exploded = placed.select("doc_id", "_h", "_words", F.posexplode("_words").alias("_at", "_raw"))
-    if not small:
-        exploded = exploded.drop("_words")
-    exploded = exploded.withColumn("_word", lowered(F.col("_raw")))
+    # Joins on words use 64 bits of them: a word that shares another's only meets windows in vain.
+    key = F.xxhash64("_word").alias("_key")
+    exploded = placed.select("doc_id", "_h", words.alias("_words")).select("doc_id", "_h", "_words", F.posexplode("_words").alias("_at", "_word"))
+    exploded = exploded.select("doc_id", "_h", "_at", key, *(["_words"] if small else []))
 
     # Rarity of the benchmark's words, counted over all documents.
-    vocabulary = wins.select(F.explode("win").alias("_word")).distinct()
-    counts = exploded.select("_word").join(maybe(vocabulary), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    vocabulary = wins.select(F.explode("win").alias("_word")).select(key).distinct()
+    counts = placed.select(F.explode(words).alias("_word")).select(key).join(maybe(vocabulary), "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     parts = wins.withColumn("_id", F.xxhash64(F.array_join("win", " "))).select("_id", "win", "items", F.posexplode("win").alias("_off", "_word"))
-    parts = parts.join(counts, "_word")  # a word that no document has: its windows occur nowhere, and are dropped below
+    parts = parts.withColumn("_key", key).join(counts, "_key")  # a word that no document has: its windows occur nowhere, and are dropped below
     ranked = parts.withColumns({"_r": F.row_number().over(W.partitionBy("win").orderBy("_n", "_word", "_off")), "_have": F.count(F.lit(1)).over(W.partitionBy("win"))})
-    prefixes = ranked.where((F.col("_r") == 1) & (F.col("_have") == F.size("win"))).select("_word", F.struct("win", "_off", "items").alias("w"))
-    prefixes = prefixes.groupBy("_word").agg(F.collect_list("w").alias("_wins"))
+    prefixes = ranked.where((F.col("_r") == 1) & (F.col("_have") == F.size("win"))).select("_key", F.struct("win", "_off", "items").alias("w"))
+    prefixes = prefixes.groupBy("_key").agg(F.collect_list("w").alias("_wins"))
 
     if not small:  # the prefix words alone may be few: then only their places are shuffled
         prefixes = storage.written(prefixes, "prefixes")
-        if prefixes.agg(F.coalesce(F.sum(F.octet_length("_word") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES:
-            exploded = exploded.join(F.broadcast(prefixes.select("_word")), "_word", "left_semi")
-    met = exploded.join(maybe(prefixes), "_word")
+        if 64 * prefixes.count() <= BROADCAST_BYTES:
+            exploded = exploded.join(F.broadcast(prefixes.select("_key")), "_key", "left_semi")
+    met = exploded.join(maybe(prefixes), "_key")
     if small:
-        good = F.filter("_wins", lambda w: (F.col("_at") >= w["_off"]) & (F.col("_at") - w["_off"] + F.size(w["win"]) <= F.size("_words")) & (F.when((F.col("_at") >= w["_off"]), F.transform(F.slice("_words", F.greatest(F.col("_at") - w["_off"] + 1, F.lit(1)), F.size(w["win"])), lowered)).otherwise(F.array(F.lit(""))) == w["win"]))
+        good = F.filter("_wins", lambda w: (F.col("_at") >= w["_off"]) & (F.col("_at") - w["_off"] + F.size(w["win"]) <= F.size("_words")) & (F.when((F.col("_at") >= w["_off"]), F.slice("_words", F.greatest(F.col("_at") - w["_off"] + 1, F.lit(1)), F.size(w["win"]))).otherwise(F.array(F.lit(""))) == w["win"]))
         found = met.select("doc_id", "_h", "_at", F.explode(good).alias("w"))
         found = found.select("doc_id", "_h", (F.col("_at") - F.col("w._off")).alias("_start"), F.size("w.win").alias("_len"), F.col("w.items").alias("items"))
     else:
         met = met.select("doc_id", "_h", "_at", F.explode("_wins").alias("w")).select("doc_id", "_h", (F.col("_at") - F.col("w._off")).alias("_start"), F.col("w.win").alias("win"), F.col("w.items").alias("items")).where("_start >= 0").distinct()
         met = met.withColumn("_try", F.struct("_start", "win", "items")).groupBy("doc_id", "_h").agg(F.collect_list("_try").alias("_tries"))
-        back = placed.dropDuplicates(["doc_id", "_h"]).alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d._h").eqNullSafe(F.col("m._h")))
-        good = F.filter("m._tries", lambda t: F.transform(F.slice("d._words", t["_start"] + 1, F.size(t["win"])), lowered) == t["win"])
+        back = placed.dropDuplicates(["doc_id", "_h"]).withColumn("_words", words).alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d._h").eqNullSafe(F.col("m._h")))
+        good = F.filter("m._tries", lambda t: F.slice("d._words", t["_start"] + 1, F.size(t["win"])) == t["win"])
         found = back.select("d.doc_id", "d._h", F.explode(good).alias("t")).select("doc_id", "_h", F.col("t._start").alias("_start"), F.size("t.win").alias("_len"), F.col("t.items").alias("items"))
     per = found.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("_start", "_len")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
     per = per.select(
@@ -92,7 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         F.size(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_start"], s["_start"] + s["_len"] - 1))))).cast("long").alias("_n_hit"),
         "_items",
     )
-    sizes = docs.select("doc_id", "_h", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    sizes = placed.select("doc_id", "_h", F.col("_n_words").alias("n_words"))
     rows = sizes.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_h").eqNullSafe(F.col("_g")), "left")
     n_hit = F.coalesce("_n_hit", F.lit(0)).cast("long")
     items = F.coalesce("_items", F.array().cast("array<string>"))
