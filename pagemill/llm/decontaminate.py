@@ -8,7 +8,8 @@ Since a window must occur whole, one word of it is a sufficient prefix: its rare
 documents.  Document words meet these prefix words in an equi-join on 64 bits of the word; a meeting fixes the place that the whole window
 would have, which must lie inside the document (the positional and length bounds), and then the words of that place
 are compared with the window's.  Texts are cut into words once: the counts, the meetings and the sizes read a written
-table of lowered words joined by one space.  The benchmark's prefix table is broadcast only if its measured size is under
+table of lowered words joined by one space.  A meeting carries a block of its text, not all of it, so a frequent prefix
+word in a very long text costs no more than elsewhere.  The benchmark's prefix table is broadcast only if its measured size is under
 ``BROADCAST_BYTES``; otherwise it is shuffled, and what is shuffled of a document is then its prefix words by place
 (all its words, if the prefix words themselves are over that size).
 
@@ -29,6 +30,7 @@ BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # those of the contract tha
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 BROADCAST_BYTES = 32 << 20
+BLOCK = 1024  # words of a text that a meeting carries, besides those of a window before and after
 
 
 def lowered(text: Column) -> Column:
@@ -60,8 +62,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     # Joins on words use 64 bits of them: a word that shares another's only meets windows in vain.
     key = F.xxhash64("_word").alias("_key")
-    exploded = placed.select("doc_id", "_h", words.alias("_words")).select("doc_id", "_h", "_words", F.posexplode("_words").alias("_at", "_word"))
-    exploded = exploded.select("doc_id", "_h", "_at", key, *(["_words"] if small else []))
+    exploded = placed.select("doc_id", "_h", F.posexplode(words).alias("_at", "_word")).select("doc_id", "_h", "_at", key)
+    if small:
+
+        def block(k):
+            base = F.greatest(k * BLOCK - (window - 1), F.lit(0))
+            return F.struct((k * BLOCK).alias("home"), base.alias("base"), F.slice("_words", base + 1, (k + 1) * BLOCK + (window - 1) - base).alias("words"))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest("_n_words", F.lit(1)) - 1) / BLOCK).cast("int")), block)
+        exploded = placed.select("doc_id", "_h", "_n_words", words.alias("_words")).select("doc_id", "_h", F.explode(blocks).alias("_b"))
+        exploded = exploded.select("doc_id", "_h", F.col("_b.home").alias("_home"), F.col("_b.base").alias("_base"), F.col("_b.words").alias("_words"))
+        exploded = exploded.select("*", F.posexplode("_words").alias("_in", "_word")).where((F.col("_base") + F.col("_in") >= F.col("_home")) & (F.col("_base") + F.col("_in") < F.col("_home") + BLOCK))
+        exploded = exploded.select("doc_id", "_h", "_base", "_words", "_in", key)
 
     # Rarity of the benchmark's words, counted over all documents.
     vocabulary = wins.select(F.explode("win").alias("_word")).select(key).distinct()
@@ -78,8 +90,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             exploded = exploded.join(F.broadcast(prefixes.select("_key")), "_key", "left_semi")
     met = exploded.join(maybe(prefixes), "_key")
     if small:
-        good = F.filter("_wins", lambda w: (F.col("_at") >= w["_off"]) & (F.col("_at") - w["_off"] + F.size(w["win"]) <= F.size("_words")) & (F.when((F.col("_at") >= w["_off"]), F.slice("_words", F.greatest(F.col("_at") - w["_off"] + 1, F.lit(1)), F.size(w["win"]))).otherwise(F.array(F.lit(""))) == w["win"]))
-        found = met.select("doc_id", "_h", "_at", F.explode(good).alias("w"))
+        # A block lacks what a window takes before or after it only where the text does.
+        here = lambda w: F.slice("_words", F.greatest(F.col("_in") - w["_off"] + 1, F.lit(1)), F.size(w["win"]))
+        good = F.filter("_wins", lambda w: (F.col("_in") >= w["_off"]) & (F.col("_in") - w["_off"] + F.size(w["win"]) <= F.size("_words")) & (here(w) == w["win"]))
+        found = met.select("doc_id", "_h", (F.col("_base") + F.col("_in")).alias("_at"), F.explode(good).alias("w"))
         found = found.select("doc_id", "_h", (F.col("_at") - F.col("w._off")).alias("_start"), F.size("w.win").alias("_len"), F.col("w.items").alias("items"))
     else:
         met = met.select("doc_id", "_h", "_at", F.explode("_wins").alias("w")).select("doc_id", "_h", (F.col("_at") - F.col("w._off")).alias("_start"), F.col("w.win").alias("win"), F.col("w.items").alias("items")).where("_start >= 0").distinct()

@@ -798,9 +798,10 @@ def test_pitman_yor_empty(empty):
 # -- 9 ----------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("broadcast", [1 << 25, -1])
-def test_decontaminate(spark, docs, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "block"), [(1 << 25, 1024), (1 << 25, 3), (-1, 1024)])
+def test_decontaminate(spark, docs, monkeypatch, broadcast, block):
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     texts = dict((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     shared = texts[7].split()
     items = [(1, " ".join(shared[:13])), (2, " ".join(shared[5:30])), (10, "W1 é"), (3, None), (4, ""), (5, "absent words only here"), (6, "ONE"), (None, "two Words"), (1, "two"), (11, " ".join(["a"] * 14)), (12, "İ")]
@@ -826,6 +827,13 @@ def test_decontaminate(spark, docs, monkeypatch, broadcast):
     assert decontaminate.hits(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_frequent_prefix_in_a_long_text(spark):
+    """Every word of a text of 200,000 is the prefix of a one-word item; carrying it whole would be quadratic."""
+    docs = spark.createDataFrame([(1, "Yes " * 200_000), (2, "no"), (3, None)], "doc_id long, text string")
+    got = decontaminate.hits(docs, spark.createDataFrame([(1, "yes"), (2, "yes yes")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == [(1, 200_000, 200_000, 2), (2, 1, 0, 0), (3, 0, 0, 0)]
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------------
 
 
