@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +91,52 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(near > F.lit(0.4).cast("float"), far).otherwise(near)
 
 
+def _prefixes(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Equal leading bytes of each x and y: along both, sorted together, the least of those of neighbours."""
+    every = sorted({*xs, *ys})
+    at = {x: i for i, x in enumerate(every)}
+    size = np.array([len(x) for x in every], np.int32)
+    near = np.zeros(len(every) + 1, np.int32)  # of each with the one before
+    for i in range(1, len(every)):
+        x, y = every[i - 1], every[i]
+        n = min(len(x), len(y))
+        differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+        near[i] = n - (differ.bit_length() + 7) // 8
+    to = np.array([at[y] for y in ys], np.int64)
+    out = np.empty((len(xs), len(ys)), np.int32)
+    row = np.empty(len(every), np.int32)
+    for k, x in enumerate(xs):
+        i = at[x]
+        row[i] = size[i]
+        np.minimum.accumulate(near[i + 1 : -1], out=row[i + 1 :])
+        np.minimum.accumulate(near[i:0:-1], out=row[:i][::-1])
+        np.take(row, to, out=out[k])
+    return out
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """distance() of each of a and each of b, as a matrix: the same numbers, from what equal segments share."""
+    x, y = [u.encode() for u in a], [u.encode() for u in b]
+    longer = lambda p, q: np.maximum(np.array([len(z) for z in p], np.int32)[:, None], np.array([len(z) for z in q], np.int32))
+    with np.errstate(invalid="ignore"):
+        near = np.float32(1) - (_prefixes(x, y) / longer(x, y)).astype(np.float32)
+    s, t = ([re.split("[^0-9A-Za-z_]", u) for u in z] for z in (a, b))
+    total = np.zeros(near.shape, np.float32)
+    for k in range(min(max(map(len, s), default=0), max(map(len, t), default=0))):
+        p, q = ({v: i for i, v in enumerate({u[k] for u in z if len(u) > k})} for z in (s, t))
+        if len(p) == len(q) == 1 and p == q and all(len(u) > k for z in (s, t) for u in z):
+            total += np.float32(1)
+            continue
+        score = np.zeros((len(p) + 1, len(q) + 1), np.float32)  # the last ones: no such segment
+        score[:-1, :-1] = _prefixes([v.encode() for v in p], [v.encode() for v in q]) / np.maximum(longer(p, q), 1)
+        if "" in p and "" in q:
+            score[p[""], q[""]] = 1
+        i, j = (np.array([d[u[k]] if len(u) > k else len(d) for u in z], np.int64) for z, d in ((s, p), (t, q)))
+        total += np.take(np.take(score, j, axis=1), i, axis=0)
+    far = np.float32(1) - (total / longer(s, t).astype(np.float64)).astype(np.float32)
+    return np.where(near > np.float32(0.4), far, near)
+
+
 def is_headline(title: Column, link: Column) -> Column:
     """The headline rule; lengths are bytes of the untrimmed title."""
     n = F.octet_length(title)

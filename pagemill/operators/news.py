@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions import urls
 from pagemill.functions.text import trim_ws
@@ -21,18 +24,61 @@ def simple_news(pages: DataFrame, exact: bool = False) -> DataFrame:
 def link_pairs(links: DataFrame, group: str, limit: float | None = None) -> DataFrame:
     """Distinct links of one group, each pair once: group, seed, member (seed < member), distance.
 
-    An equi-join on the group keeps pairs within it; AQE splits a group with very many links.  Before the distance is
-    computed, pairs that cannot be under the limit fall to bounds on their lengths, which lose none.
+    Without a limit, all pairs, from cells().  With one, an equi-join on the group keeps pairs within it; AQE splits a group
+    with very many links.  Before the distance is computed, pairs that cannot be under the limit fall to bounds on their
+    lengths, which lose none.
     """
+    if limit is None:
+        return cells(links, group)
     one = links.select(group, F.col("link").alias("seed")).distinct()
     two = one.select(group, F.col("seed").alias("member"))
     pairs = one.join(two, group).where(F.col("seed") < F.col("member"))
-    if limit is not None:
-        least = 1 - limit - 1e-3
-        ratio = lambda f: F.least(f("seed"), f("member")) / F.greatest(f("seed"), f("member"))
-        pairs = pairs.where((ratio(F.octet_length) > least) | (ratio(lambda c: F.size(urls.segments(F.col(c)))) > least))
+    least = 1 - limit - 1e-3
+    ratio = lambda f: F.least(f("seed"), f("member")) / F.greatest(f("seed"), f("member"))
+    pairs = pairs.where((ratio(F.octet_length) > least) | (ratio(lambda c: F.size(urls.segments(F.col(c)))) > least))
     pairs = pairs.withColumn("distance", urls.distance(F.col("seed"), F.col("member")))
-    return pairs if limit is None else pairs.where(F.col("distance") < F.lit(limit).cast("float"))
+    return pairs.where(F.col("distance") < F.lit(limit).cast("float"))
+
+
+#: Links of a block, about, and pairs that a task makes, about.
+BLOCK, TASK_PAIRS = 512, 4_000_000
+
+
+def cells(links: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """All pairs of distinct links of one group, as link_pairs gives them.
+
+    A group's links are dealt into blocks by their hashes, and each two blocks, or one with itself, are a cell: so a large
+    group is made by many tasks, none of which holds more than a cell.  A cell's distances are one matrix.
+    """
+    spark = links.sparkSession
+    one = shared.written(links.select(F.col(group).alias("g"), "link").where("g IS NOT NULL AND link IS NOT NULL").distinct(), "links")
+    sizes = one.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -int(-pairs // TASK_PAIRS))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = one.join(sizes, "g").select("g", "link", blocks.alias("m"), F.pmod(F.xxhash64("link"), blocks).cast("int").alias("own"))
+    sent = dealt.select("g", "link", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
+    sent = sent.select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "link").repartition(tasks, "g", "x", "y")
+
+    def one_cell(cell: pa.Table) -> pa.Table:
+        x, y, own = cell.column("x")[0].as_py(), cell.column("y")[0].as_py(), cell.column("own").to_numpy()
+        link = np.array(cell.column("link").to_pylist(), object)
+        a = sorted(link[own == x].tolist())
+        b = a if x == y else sorted(link[own == y].tolist())
+        near = urls.distances(a, b)
+        before = np.searchsorted(np.array(b, object), np.array(a, object), "right")[:, None] <= np.arange(len(b))  # a's link is the seed
+        parts = [(a, b, before, near)] if x == y else [(a, b, before, near), (b, a, ~before.T, near.T)]
+        out = []
+        for seeds, members, mine, d in parts:
+            to = np.broadcast_to(np.arange(len(members)), d.shape)[mine]
+            ends = pa.array(np.concatenate([[0], np.cumsum(mine.sum(1))]), pa.int32())
+            out.append(pa.table([pa.array(seeds, pa.string()), pa.ListArray.from_arrays(ends, pa.array(members, pa.string()).take(pa.array(to))), pa.ListArray.from_arrays(ends, pa.array(d[mine], pa.float32()))], ["seed", "members", "distances"]))
+        out = pa.concat_tables(out)
+        return out.add_column(0, "g", pa.repeat(cell.column("g")[0], len(out)))
+
+    made = T.StructType([T.StructField("g", one.schema["g"].dataType), *T.StructType.fromDDL("seed string, members array<string>, distances array<float>").fields])
+    rows = sent.groupBy("g", "x", "y").applyInArrow(one_cell, made)
+    return rows.select(F.col("g").alias(group), "seed", "distances", F.posexplode("members").alias("at", "member")).select(group, "seed", "member", F.get("distances", F.col("at")).alias("distance"))
 
 
 def news_clusters(pages: DataFrame, by: str = "page_id", rank: int = 3, distance: float = 0.3, exact: bool = False) -> DataFrame:

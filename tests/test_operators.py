@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from pagemill.functions import text
+from pagemill.functions import text, urls
 from pagemill.operators import article, dom, generators, incremental, links, news, sitemap
 from pagemill.operators.pages import Pages
 from pagemill.sources import config, readers, sinks
@@ -322,3 +322,26 @@ def test_pages_chain(spark):
     assert [r.text for r in chain.selected.orderBy("pos").collect()] == ["a", "b"]
     assert {(r.page_id, r.err) for r in chain.errors.collect()} == {(2, "no document"), (3, "timed out")}
     assert [r.value for r in chain.each("p", lambda i, n: n.text() if i else None).collect()] == ["b"]
+
+
+def test_link_pairs_native_distance(spark):
+    odd = ["", "a", "http://h.org/a/b", "http://h.org/a/b/", "http://h.org/á/b?x=1", "http://h.org/à/b?x=12", "//", "x.y", "http://h.org//a", "😀/a", "😁/a"]
+    rows = spark.createDataFrame([(g, u) for g in (1, 2, None) for u in [*odd, *(f"http://h.org/{g}/{i * i}?p={i % 3}" for i in range(30)), odd[2], None]] + [(3, "alone")], "g int, link string")
+    want = rows.where("g IS NOT NULL AND link IS NOT NULL").distinct()
+    want = want.alias("a").join(want.alias("b"), "g").where("a.link < b.link").select("g", F.col("a.link").alias("seed"), F.col("b.link").alias("member"), urls.distance(F.col("a.link"), F.col("b.link")).alias("distance"))
+    for block in (7, 512):
+        assert sorted(news.cells(rows, "g", block).collect()) == sorted(want.collect())
+    assert news.link_pairs(rows.limit(0), "g").count() == 0
+
+
+def test_link_pairs_large_group(spark):
+    """The pairs of one host come from several tasks, also where the links are not broadcast."""
+    rows = spark.createDataFrame([("h", f"http://h/{i}") for i in range(700)], "host string, link string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = news.link_pairs(rows, "host").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sum(r["count"] for r in got) == 700 * 699 // 2
+    assert len(got) > 1
