@@ -82,12 +82,15 @@ def read_article(root: dom.Node) -> tuple[str, str, str]:
     return ("" if len(dom.strip(text).encode()) < 30 else text), title, root.text(GONE)
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to page_id, text, title, date, author, link; a text under 30 bytes is none, and has no date."""
+def articles(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """(page_id, url, html) to page_id, text, title, date, author, link; a text under 30 bytes is none, and has no date.
+
+    closed: as in dom.parse.
+    """
 
     def run(batches):
         for batch in batches:
-            found = [read_article(dom.parse(h)) for h in batch.column("html").to_pylist()]
+            found = [read_article(dom.parse(h, closed)) for h in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), *(pa.array([f[k] for f in found], pa.string()) for k in range(3)), batch.column("url")], ["page_id", "text", "title", "raw", "link"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
