@@ -38,23 +38,24 @@ def _character(n: Column) -> Column:
     return F.when(n.between(128, 159), F.try_element_at(high, (n - 127).cast("int"))).otherwise(plain)
 
 
-def unescape(c: Column, attribute: bool = False) -> Column:
+def unescape(c: Column, attribute: bool = False, closed: bool = False) -> Column:
     """Character references decoded: numbers, and the names of HTML 4; those of Latin-1 may lack the semicolon.
 
     In an attribute a name without semicolon stays before an equals sign, so that queries survive.
+    closed: without a semicolon, names and numbers stay as written.
     """
     # As JSON, so that plans carry one literal and not hundreds.
     names, latin = (F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items() if v < limit})), "map<string,string>") for limit in (1 << 20, 256))
 
     def decoded(piece: Column) -> Column:
-        found = F.regexp_extract(piece, REFERENCE, 0)
+        found = F.regexp_extract(piece, REFERENCE.removesuffix("?") if closed else REFERENCE, 0)
         name, rest = F.rtrim(found, F.lit(";")), F.substring(piece, F.length(found) + 1, F.lit(2**31 - 1))
-        closed = F.endswith(found, F.lit(";"))
+        ended = F.endswith(found, F.lit(";"))
         number = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("bigint")
         loose = F.map_contains_key(latin, name)
         if attribute:
             loose = loose & ~F.startswith(rest, F.lit("="))
-        named = F.when(closed | loose, F.try_element_at(names, name))
+        named = F.when(ended | loose, F.try_element_at(names, name))
         sign = F.when(found == "", F.lit(None)).when(F.startswith(name, F.lit("#")), _character(number)).otherwise(named)
         return F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), piece))
 
@@ -68,9 +69,9 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))", "")
 
 
-def title(html: Column) -> Column:
-    """Text of all title elements, joined, untrimmed."""
-    return unescape(F.array_join(F.regexp_extract_all(visible(html), F.lit(r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"), F.lit(1)), ""))
+def title(html: Column, closed: bool = False) -> Column:
+    """Text of all title elements, joined, untrimmed; closed as in unescape."""
+    return unescape(F.array_join(F.regexp_extract_all(visible(html), F.lit(r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"), F.lit(1)), ""), closed=closed)
 
 
 def page_text(html: Column) -> Column:
