@@ -51,9 +51,12 @@ def _started(writer, every: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def article_sink(pages: DataFrame, path: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
-    """Appends one JSON object per article that has text, every so often (None: what there is, and then end)."""
-    rows = articles(pages).where("text <> ''").select("text", "title", "date", "author", "link")
+def article_sink(pages: DataFrame, path: str, checkpoint: str, every: str | None = "3 seconds", closed: bool = False) -> StreamingQuery:
+    """Appends one JSON object per article that has text, every so often (None: what there is, and then end).
+
+    closed: as in dom.parse.
+    """
+    rows = articles(pages, closed).where("text <> ''").select("text", "title", "date", "author", "link")
     writer = rows.writeStream.format("json").option("path", path).option("ignoreNullFields", "false").option("checkpointLocation", checkpoint)
     return _started(writer, every)
 
